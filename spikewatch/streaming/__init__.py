@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is a batch job: its rolling windows are centred (they
+need the three periods *after* each period) and the screening picks top values
+over the whole history, so a streaming form would be a different feature.  No
+streaming operator is claimed; see README.md.
+"""
