@@ -121,7 +121,7 @@ def q_slice_totals_wildcard(spark, d):
 
 def q_value_totals(spark, d):
     v = value_totals(_fact(spark, d), FACT_SPEC)
-    return v.select("variable", "value", "o_orderdate", _value("total_units"), "num_data_points", "description")
+    return v.select("variable", "value", "o_orderdate", _value("total_units"), "num_data_points")
 
 
 def q_lagged(spark, d):
@@ -293,28 +293,24 @@ def _detect_day_sql(rules=DETECT) -> str:
 
 
 def _value_totals_sql() -> str:
-    parts = []
-    for c in TESTS:
-        desc = "n_name" if c == "c_nationkey" else "CAST(NULL AS VARCHAR)"
-        parts.append(f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, o_orderdate, "
-                     f"{O.units('o_totalprice')} AS u, {desc} AS description FROM {FACT} _f")
+    parts = [f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, o_orderdate, "
+             f"{O.units('o_totalprice')} AS u FROM {FACT} _f" for c in TESTS]
     stacked = " UNION ALL ".join(parts)
-    return (f"SELECT variable, value, o_orderdate, CAST(SUM(u) AS BIGINT) AS tu, COUNT(*) AS n, "
-            f"MIN(description) AS description FROM ({stacked}) _u GROUP BY variable, value, o_orderdate")
+    return (f"SELECT variable, value, o_orderdate, CAST(SUM(u) AS BIGINT) AS tu, COUNT(*) AS n "
+            f"FROM ({stacked}) _u GROUP BY variable, value, o_orderdate")
 
 
 def _screen_sql() -> str:
-    return O.detect_sql(_value_totals_sql(), "o_orderdate", SCREEN, keys=("variable", "value"),
-                        carry=("description",))
+    return O.detect_sql(_value_totals_sql(), "o_orderdate", SCREEN, keys=("variable", "value"))
 
 
 def _counts_sql() -> str:
     return (f"SELECT variable, value, CAST(COALESCE(SUM(CAST(is_outlier AS INTEGER)), 0) AS BIGINT) "
-            f"AS anomaly_count, MIN(description) AS description FROM ({_screen_sql()}) _x GROUP BY variable, value")
+            f"AS anomaly_count FROM ({_screen_sql()}) _x GROUP BY variable, value")
 
 
 def _top_sql() -> str:
-    return (f"SELECT variable, value, anomaly_count, description FROM (SELECT *, ROW_NUMBER() OVER "
+    return (f"SELECT variable, value, anomaly_count FROM (SELECT *, ROW_NUMBER() OVER "
             f"(PARTITION BY variable ORDER BY anomaly_count DESC, value ASC) AS _r FROM ({_counts_sql()}) _c "
             f"WHERE value IS NOT NULL) _t WHERE _r = 1")
 
@@ -336,8 +332,7 @@ def _lattice_series_sql() -> str:
             cols.append(f"MIN({c}) AS {c}" if i in s else f"CAST(NULL AS {_NATIVE[c]}) AS {c}")
         cols += [f"CAST(SUM({O.units('o_totalprice')}) AS BIGINT) AS tu", "COUNT(*) AS n"]
         grouped = f"SELECT {', '.join(cols)} FROM {FACT} _f{where} GROUP BY o_orderdate"
-        desc = ("(SELECT description FROM " + top + " _q WHERE variable = 'c_nationkey')"
-                if 1 in s else "CAST(NULL AS VARCHAR)")
+        desc = (f"(SELECT MIN(n_name) FROM {FACT} _d{where})" if 1 in s else "CAST(NULL AS VARCHAR)")
         label = ", ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in TESTS)
         selects.append(
             f"SELECT o_orderdate, {', '.join(TESTS)}, {desc} AS n_name, CAST({len(s)} AS INTEGER) AS n_keys, "
@@ -452,7 +447,7 @@ def oracle_sql() -> dict[str, str]:
                                         "o_orderdate"),
         "slice_totals_wildcard": _totals_sql(_day_series_sql("o_orderstatus = 'O'"), "o_orderdate"),
         "value_totals": (f"SELECT variable, value, o_orderdate, {O.to_value('tu')} AS total_metric, "
-                         f"n AS num_data_points, description FROM ({_value_totals_sql()}) _v"),
+                         f"n AS num_data_points FROM ({_value_totals_sql()}) _v"),
         "lagged": (f"SELECT o_orderdate, total_metric, num_data_points, prev_total_metric, prev_num_data_points "
                    f"FROM ({rolled}) _r"),
         "rolling_stats": f"SELECT o_orderdate, total_metric, rolling_mean, rolling_std FROM ({rolled}) _r",

@@ -2,16 +2,19 @@
 
 The naive plan filters the fact table once per subset (2^k scans).  Here the
 fact table is scanned once: each row is tagged, per test column, with the top
-value it matches (broadcast left joins against a table of at most one row per
-column), pre-aggregated by (period, tags) -- at most periods x 2^k groups, so
-a skewed value collapses to one partial row per map task -- and the small
-result is rolled up with ``groupingSets`` over every subset of the tags.  A
-grouping-set row is kept when every grouped tag actually matched.
+value when it matches (a literal comparison: the top values are at most one
+per test column, known before this pass), pre-aggregated by (period, tags)
+with hash aggregation -- at most periods x 2^k groups, so a skewed value
+collapses to one partial row per map task -- and the small result is rolled up
+with ``groupingSets`` over every subset of the tags.  A grouping-set row is
+kept when every grouped tag actually matched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_of, metric_units, slice_label
@@ -26,42 +29,43 @@ def _dtag(i: int) -> str:
     return f"_desc{i}"
 
 
-def subset_series(df: DataFrame, spec: AnalysisSpec, top: DataFrame) -> DataFrame:
+def subset_series(df: DataFrame, spec: AnalysisSpec, top: Mapping[str, str]) -> DataFrame:
     """One row per (subset slice, period) with ``total_units`` and
     ``num_data_points``.
 
+    ``top`` maps test column -> its top value (as string, the form of
+    ``screening.top_values``); a column without a top value has no subsets.
     Output columns: the time column; each test column holding the top value
     when the subset contains it and NULL when rolled up ("All"); the
-    description column of each described test column (NULL when rolled up);
+    description column of each described test column (the smallest
+    description seen with the value in the slice, NULL when rolled up);
     ``n_keys`` (subset size), ``slice_ordinal`` (position of the subset in
     size-then-lexicographic order, 0 = all rows) and ``slice_key``.
-    ``top`` is the output of ``screening.top_values`` (<= 1 row per variable).
     """
     t = spec.time_col
     tests = list(spec.test_cols)
     k = len(tests)
-    tagged = df.select(
-        F.col(t),
-        metric_units(F.col(spec.metric_col), spec.metric_scale).alias("_units"),
-        *[F.col(c).cast("string").alias(f"_v{i}") for i, c in enumerate(tests)],
-    )
+    described = [i for i, c in enumerate(tests) if c in spec.desc_cols]
+    tags = []
     for i, c in enumerate(tests):
-        # <= 1 row by construction (row_number = 1 per variable): a proven bound.
-        side = F.broadcast(
-            top.filter(F.col("variable") == c).select(
-                F.col("value").alias(_tag(i)), F.col("description").alias(_dtag(i))))
-        tagged = tagged.join(side, F.col(f"_v{i}") == F.col(_tag(i)), "left")
-
-    tag_cols = [x for i in range(k) for x in (_tag(i), _dtag(i))]
-    pre = tagged.groupBy(t, *tag_cols).agg(
-        F.sum("_units").alias("total_units"),
+        v = top.get(c)
+        match = (F.col(c).cast("string") == F.lit(v)) if v is not None else F.lit(False)
+        tags.append(F.when(match, F.lit(v)).alias(_tag(i)))
+    # Descriptions of matched rows ride along as grouping keys: hash
+    # aggregation throughout the big pass (no string in an aggregation buffer).
+    dkeys = [F.when(F.col(tests[i]).cast("string") == F.lit(top.get(tests[i])),
+                    F.col(spec.desc_cols[tests[i]]).cast("string")).alias(_dtag(i)) for i in described]
+    pre = df.groupBy(F.col(t), *tags, *dkeys).agg(
+        F.sum(metric_units(F.col(spec.metric_col), spec.metric_scale)).alias("total_units"),
         F.count(F.lit(1)).alias("num_data_points"),
     )
-    subsets = spec.subsets()
-    sets = [[t] + [x for i in s for x in (_tag(i), _dtag(i))] for s in subsets]
-    rolled = pre.groupingSets(sets, t, *tag_cols).agg(
+    subsets = [s for s in spec.subsets() if all(tests[i] in top for i in s)]
+    ordinal = {sum(1 << i for i in s): j for j, s in enumerate(spec.subsets())}
+    sets = [[t] + [_tag(i) for i in s] for s in subsets]
+    rolled = pre.groupingSets(sets, t, *[_tag(i) for i in range(k)]).agg(
         F.sum("total_units").alias("total_units"),
         F.sum("num_data_points").alias("num_data_points"),
+        *[F.min(_dtag(i)).alias(_dtag(i)) for i in described],
         *[F.grouping(_tag(i)).alias(f"_g{i}") for i in range(k)],
     )
     keep = all_of((F.col(f"_g{i}") == 1) | F.col(_tag(i)).isNotNull() for i in range(k))
@@ -70,23 +74,27 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: DataFrame) -> DataFram
 
     in_slice = [F.col(f"_g{i}") == 0 for i in range(k)]
     mask = sum((F.when(in_slice[i], F.lit(1 << i)).otherwise(F.lit(0)) for i in range(k)), F.lit(0))
-    ordinal_map = F.create_map(*[F.lit(x) for j, s in enumerate(subsets)
-                                 for x in (sum(1 << i for i in s), j)])
+    ordinal_map = F.create_map(*[F.lit(x) for m, j in ordinal.items() for x in (m, j)])
     types = {f.name: f.dataType for f in df.schema.fields}
     out_cols = [F.col(t)]
     for i, c in enumerate(tests):
         out_cols.append(F.when(in_slice[i], F.col(_tag(i))).cast(types[c]).alias(c))
-    for i, c in enumerate(tests):
-        if c in spec.desc_cols:
-            out_cols.append(F.when(in_slice[i], F.col(_dtag(i))).alias(spec.desc_cols[c]))
     n_keys = sum((F.when(s, F.lit(1)).otherwise(F.lit(0)) for s in in_slice), F.lit(0))
     out = rolled.select(
         *out_cols,
+        *[F.when(in_slice[i], F.col(_dtag(i))).alias(_dtag(i)) for i in described],
         n_keys.cast("int").alias("n_keys"),
         F.element_at(ordinal_map, mask).cast("int").alias("slice_ordinal"),
         F.col("total_units"),
         F.col("num_data_points"),
     )
+    # One description per slice and column (constant over the periods).
+    by_slice = Window.partitionBy("slice_ordinal")
+    out = out.select(
+        *[F.col(c) for c in [t, *tests]],
+        *[F.min(_dtag(i)).over(by_slice).alias(spec.desc_cols[tests[i]]) for i in described],
+        "n_keys", "slice_ordinal", "total_units", "num_data_points",
+    )
     return out.withColumn("slice_key", slice_label(tests))
 
 

@@ -24,7 +24,6 @@ def anomaly_counts(screened: DataFrame) -> DataFrame:
     (variable, value), so this aggregate adds no shuffle."""
     return screened.groupBy(*VALUE_KEYS).agg(
         F.coalesce(F.sum(F.col("is_outlier").cast("int")), F.lit(0)).cast("bigint").alias("anomaly_count"),
-        F.min("description").alias("description"),
     )
 
 

@@ -58,31 +58,22 @@ def period_totals(df: DataFrame, spec: AnalysisSpec,
 
 def value_totals(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """A2 for every test column at once: per (variable, value, period) the
-    metric total and the row count, plus the smallest description of the value
-    (NULL when the column has no description column).
+    metric total and the row count.
 
     Each row is fanned out to one row per test column by ``inline`` and
-    partially aggregated in the same stage, so only (variable, value, period)
-    partials cross the shuffle, however skewed a value is.  Values are cast to
-    string so all dimensions share one column.
+    partially aggregated (hash aggregation) in the same stage, so only
+    (variable, value, period) partials cross the shuffle, however skewed a
+    value is.  Values are cast to string so all dimensions share one column.
     """
     if not spec.test_cols:
         raise ValueError("value_totals needs at least one test column")
-    entries = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.col(c).cast("string").alias("value"),
-            (F.col(spec.desc_cols[c]).cast("string") if c in spec.desc_cols
-             else F.lit(None).cast("string")).alias("description"),
-        )
-        for c in spec.test_cols
-    ]
+    entries = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
+               for c in spec.test_cols]
     units = metric_units(F.col(spec.metric_col), spec.metric_scale)
     stacked = df.select(F.col(spec.time_col), units.alias("_units"), F.inline(F.array(*entries)))
     return stacked.groupBy("variable", "value", spec.time_col).agg(
         F.sum("_units").alias("total_units"),
         F.count(F.lit(1)).alias("num_data_points"),
-        F.min("description").alias("description"),
     )
 
 

@@ -72,9 +72,19 @@ class PeriodAnomalyAnalysis:
     def top(self) -> DataFrame:
         return top_values(self.counts)
 
+    @cached_property
+    def top_map(self) -> dict[str, str]:
+        """The top values as driver-side parameters of the lattice pass.  The
+        collected table has at most one row per test column (row_number = 1
+        per variable), so this is a bounded, tiny action."""
+        rows = self.top.select("variable", "value").collect()
+        if len(rows) > len(self.spec.test_cols):
+            raise AssertionError("more than one top value per test column")
+        return {r["variable"]: r["value"] for r in rows}
+
     @cached_property
     def lattice(self) -> DataFrame:
-        return self._keep(subset_series(self.projected, self.spec, self.top))
+        return self._keep(subset_series(self.projected, self.spec, self.top_map))
 
     @cached_property
     def detected(self) -> DataFrame:
