@@ -392,13 +392,12 @@ def _report_text_sql() -> str:
             f"'  - Z-Score: ' || printf('%.2f', (total_metric - rolling_mean) / rolling_std)]")
     g = _grouping_sql()
     head = (f"['Week: ' || CAST(o_orderdate AS VARCHAR), '{BLOCK_RULE}', {g}, repeat('-', length({g}))]")
-    lines = head
+    lines = f"list_concat(CASE WHEN report_rank = 1 THEN [''] ELSE {empty} END, {head})"
     for cond, sec in (("is_outlier_metric", metric), ("change_point", change), ("is_outlier_z", zsec)):
         lines = f"list_concat({lines}, CASE WHEN {cond} THEN {sec} ELSE {empty} END)"
     lines = f"list_concat({lines}, CASE WHEN report_rank = n_blocks THEN ['', '', ''] ELSE ['', '', '', ''] END)"
     rows = _report_rows_sql()
-    header = (f"SELECT CAST(0 AS INTEGER) AS report_rank, list_concat({lit_list(header_lines(2.1))}, "
-              f"CASE WHEN (SELECT COUNT(*) FROM ({rows}) _c) > 0 THEN ['', ''] ELSE [''] END) AS lines")
+    header = f"SELECT CAST(0 AS INTEGER) AS report_rank, {lit_list(header_lines(2.1) + [''])} AS lines"
     blocks = f"SELECT report_rank, {lines} AS lines FROM ({rows}) _r"
     return (f"SELECT report_rank, CAST(UNNEST(range(len(lines))) AS INTEGER) AS line_no, UNNEST(lines) AS value "
             f"FROM ({header} UNION ALL {blocks}) _l")

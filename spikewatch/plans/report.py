@@ -88,9 +88,12 @@ def block_lines(spec: AnalysisSpec) -> Column:
                    F.concat(F.lit("  - Rolling Mean: "), t("rolling_mean")),
                    F.concat(F.lit("  - Standard Deviation: "), t("rolling_std")),
                    F.concat(F.lit("  - Z-Score: "), t("z")))
+    # one more blank line before the first block (the header ends with one);
     # four blank lines between blocks, three after the last one
+    leading = F.when(F.col("report_rank") == 1, F.array(F.lit(""))).otherwise(empty)
     trailing = F.array_repeat(F.lit(""), F.when(F.col("report_rank") == F.col("n_blocks"), 3).otherwise(4))
     return F.concat(
+        leading,
         F.array(F.concat(F.lit("Week: "), F.col(spec.time_col).cast("string")), F.lit(BLOCK_RULE),
                 F.col("_grouping"), underline(F.col("_grouping"))),
         F.when(_has(types, RULE_JUMP), metric).otherwise(empty),
@@ -106,13 +109,10 @@ def report_lines(selected: DataFrame, spec: AnalysisSpec, rules: RuleSet) -> Dat
     missing = {f"_t_{c}": F.lit(None).cast("string") for c in _MONEY if f"_t_{c}" not in ranked.columns}
     ranked = ranked.withColumns(missing)
     blocks = ranked.select("report_rank", F.posexplode(block_lines(spec)).alias("line_no", "value"))
-    # The header: two blank lines before the first block, one when there is none.
-    header = header_lines(rules.z_cut)
-    head = selected.agg(F.count(F.lit(1)).alias("_n")).select(
+    # The header is fixed text (a one-row leaf, not a second pass over the
+    # findings): its lines and one blank line.
+    head = selected.sparkSession.range(1).select(
         F.lit(0).alias("report_rank"),
-        F.posexplode(F.concat(
-            F.array(*[F.lit(s) for s in header]),
-            F.array_repeat(F.lit(""), F.when(F.col("_n") > 0, 2).otherwise(1)),
-        )).alias("line_no", "value"),
+        F.posexplode(F.array(*[F.lit(s) for s in header_lines(rules.z_cut) + [""]])).alias("line_no", "value"),
     )
     return head.unionByName(blocks)
