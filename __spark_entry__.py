@@ -26,7 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles as O  # noqa: E402
 from spikewatch import DETECT, EDA, SCREEN, AnalysisSpec, PeriodAnomalyAnalysis, RuleSet  # noqa: E402
-from spikewatch.operators import (anomaly_counts, data_profile, detect, findings, hour_start,  # noqa: E402
+from spikewatch.operators import (anomaly_counts, code_descriptions, data_profile, describe_values, detect, findings, hour_start,  # noqa: E402
                                   most_specific, null_profile, period_totals, rolling_columns,
                                   subset_series, top_values, type_profile, value_series,
                                   value_totals, week_start)
@@ -197,6 +197,16 @@ def q_top_values(spark, d):
     return top_values(anomaly_counts(value_series(_fact(spark, d), FACT_SPEC, SCREEN)))
 
 
+def q_code_descriptions(spark, d):
+    return code_descriptions(_fact(spark, d), FACT_SPEC)
+
+
+def q_described_counts(spark, d):
+    fact = _fact(spark, d)
+    counts = anomaly_counts(value_series(fact, FACT_SPEC, SCREEN))
+    return describe_values(counts, code_descriptions(fact, FACT_SPEC))
+
+
 def q_subset_totals(spark, d):
     a = _analysis(spark, d)
     return a.lattice.select(*a.lattice.columns[:-3], _value("total_units"), "num_data_points", "slice_key") \
@@ -469,6 +479,13 @@ def oracle_sql() -> dict[str, str]:
         "screen_series": _screen_sql(),
         "anomaly_counts": _counts_sql(),
         "top_values": _top_sql(),
+        "code_descriptions": (f"SELECT DISTINCT 'c_nationkey' AS variable, CAST(c_nationkey AS VARCHAR) AS value, "
+                              f"CAST(n_name AS VARCHAR) AS description FROM {FACT} _f"),
+        "described_counts": (
+            f"SELECT c.variable, c.value, c.anomaly_count, CASE WHEN c.value IS NULL THEN 'All' "
+            f"ELSE COALESCE(d.description, 'Unknown') END AS description FROM ({_counts_sql()}) c LEFT JOIN "
+            f"(SELECT 'c_nationkey' AS variable, CAST(c_nationkey AS VARCHAR) AS value, MIN(n_name) AS description "
+            f"FROM {FACT} _f GROUP BY c_nationkey) d ON c.variable = d.variable AND c.value = d.value"),
         "subset_totals": (f"SELECT o_orderdate, {', '.join(TESTS)}, n_name, n_keys, slice_ordinal, "
                           f"{O.to_value('tu')} AS total_metric, n AS num_data_points, slice_key "
                           f"FROM ({_lattice_series_sql()}) _l"),
