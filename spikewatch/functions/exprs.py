@@ -1,14 +1,16 @@
 """Column expressions shared by the operators.
 
-Everything here returns a ``pyspark.sql.Column`` built from built-in functions,
-so it stays inside whole-stage codegen; nothing here runs Python per row.
+Every helper builds one Spark SQL expression: ``*_sql`` functions return the
+SQL text, the others wrap it in ``F.expr``.  Catalyst sees the same expression
+tree either way, and all of it is built-in, so it stays inside whole-stage
+codegen (nothing here runs Python per row).  Writing the larger expressions
+as SQL text also keeps plan construction to one driver-to-JVM call per
+column instead of one per operator node.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-from typing import Iterable, Mapping, Optional, Sequence
+from typing import Iterable, Mapping, Optional, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,139 +18,182 @@ from pyspark.sql import functions as F
 from ..spec import RULE_COUNT, RULE_JUMP, RULE_SHIFT, RULE_Z
 
 
-def all_of(conds: Iterable[Column]) -> Optional[Column]:
-    conds = list(conds)
-    return reduce(and_, conds) if conds else None
+def q(name: str) -> str:
+    """Back-quoted column name."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def any_of(conds: Iterable[Column]) -> Optional[Column]:
-    """Three-valued OR of the given flags (NULL | false = NULL)."""
-    conds = list(conds)
-    return reduce(or_, conds) if conds else None
+def dlit(x: float) -> str:
+    """A double literal in SQL text (plain ``0.33`` would be a decimal)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def metric_units(metric: Column, scale: Optional[int]) -> Column:
+def slit(s: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def all_of_sql(conds: Iterable[str]) -> Optional[str]:
+    conds = [f"({c})" for c in conds]
+    return " AND ".join(conds) if conds else None
+
+
+def any_of_sql(conds: Iterable[str]) -> Optional[str]:
+    """Three-valued OR of the given flags (NULL OR false = NULL)."""
+    conds = [f"({c})" for c in conds]
+    return " OR ".join(conds) if conds else None
+
+
+def metric_units_sql(metric: str, scale: Optional[int]) -> str:
     """Metric as exact integer units of ``10 ** -scale`` (cents for scale 2).
 
     Integer sums are exact and independent of summation order, so totals do
-    not depend on partitioning.  ``floor(x * 10^s + 0.5)`` is a single
-    codegen'd expression (no per-row BigDecimal as ``round`` would use).
-    With ``scale=None`` the raw double is kept.
+    not depend on partitioning.  ``floor(x * 10^s + 0.5)`` is one codegen'd
+    expression (``round`` would go through BigDecimal per row).  With
+    ``scale=None`` the raw double is kept.
     """
     if scale is None:
-        return metric.cast("double")
-    return F.floor(metric.cast("double") * F.lit(float(10 ** scale)) + F.lit(0.5))
+        return f"CAST({metric} AS DOUBLE)"
+    return f"FLOOR(CAST({metric} AS DOUBLE) * {dlit(10 ** scale)} + {dlit(0.5)})"
+
+
+def metric_units(metric: str, scale: Optional[int]) -> Column:
+    """``metric_units_sql`` for a column name."""
+    return F.expr(metric_units_sql(q(metric), scale))
 
 
-def units_to_value(units: Column, scale: Optional[int]) -> Column:
+def units_to_value_sql(units: str, scale: Optional[int]) -> str:
     if scale is None:
-        return units.cast("double")
-    return units.cast("double") / F.lit(float(10 ** scale))
-
-
-def _fixed_parts(x: Column, scale: float):
-    """``x * scale`` split exactly into ``p + e`` (Dekker's two-product with a
-    Veltkamp split of |x| into 26-bit halves; ``scale`` has at most 20
-    significant bits, so every partial product is exact)."""
-    ax = F.abs(x)
-    c = ax * F.lit(134217729.0)  # 2^27 + 1
-    hi = c - (c - ax)
-    lo = ax - hi
-    p = ax * F.lit(scale)
-    e = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+        return f"CAST({units} AS DOUBLE)"
+    return f"CAST({units} AS DOUBLE) / {dlit(10 ** scale)}"
+
+
+# -- exact %.Nf text ---------------------------------------------------------
+# Python rounds the exact binary value half-to-even; Java's formatter (so
+# ``format_string``) rounds the shortest decimal form half-up, which differs
+# for values such as 2.675 or 0.125.  ``x * 10^d`` is split exactly into
+# ``p + e`` with Dekker's two-product (Veltkamp split of |x| into 26-bit
+# halves; 10^d has at most 20 significant bits, so every partial product is
+# exact) and rounded half-to-even on that exact sum.
+
+def _parts_sql(x: str, digits: int) -> tuple[str, str]:
+    s = dlit(10 ** digits)
+    ax = f"ABS({x})"
+    c = f"({ax} * {dlit(134217729.0)})"  # 2^27 + 1
+    hi = f"({c} - ({c} - {ax}))"
+    lo = f"({ax} - {hi})"
+    p = f"({ax} * {s})"
+    e = f"(({hi} * {s} - {p}) + {lo} * {s})"
     return p, e
 
 
-def _round_half_even(p: Column, e: Column) -> Column:
-    """Round the exact value ``p + e`` half-to-even (p >= 0, |e| <= ulp(p)/2)."""
-    f = F.floor(p)
-    d = (p - f) - F.lit(0.5)
-    up = (d > -e) | ((d == -e) & (F.pmod(f, F.lit(2)) == 1))
-    return f + F.when(up, F.lit(1)).otherwise(F.lit(0))
+def _round_sql(p: str, e: str) -> str:
+    """Half-to-even rounding of the exact value ``p + e`` (p >= 0)."""
+    f = f"FLOOR({p})"
+    d = f"(({p} - {f}) - {dlit(0.5)})"
+    up = f"(({d} > -({e})) OR ({d} = -({e}) AND pmod({f}, 2) = 1))"
+    return f"({f} + CASE WHEN {up} THEN 1 ELSE 0 END)"
 
 
-def _digits_text(n: Column, negative: Column, digits: int) -> Column:
-    s = n.cast("string")
+def _digits_sql(n: str, x: str, digits: int, prefix: str = "") -> str:
+    s = f"CAST({n} AS STRING)"
     if digits:
-        s = F.when(F.length(s) <= digits, F.lpad(s, digits + 1, "0")).otherwise(s)
-        s = F.regexp_replace(s, f"([0-9]{{{digits}}})$", ".$1")
-    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), s)
+        s = f"CASE WHEN length({s}) <= {digits} THEN lpad({s}, {digits + 1}, '0') ELSE {s} END"
+        s = f"regexp_replace({s}, '([0-9]{{{digits}}})$', '.$1')"
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE "
+            f"concat({slit(prefix)}, CASE WHEN {x} < 0 THEN '-' ELSE '' END, {s}) END")
 
 
-def add_fixed_text(df: DataFrame, cols: Mapping[str, Column], digits: int = 2,
-                   prefix: str = "") -> DataFrame:
-    """Add ``'%.{digits}f' % x`` text columns, printed exactly as Python (and
-    DuckDB's printf) print them, for each ``name -> x`` in ``cols``.
-
-    Python rounds the exact binary value half-to-even; Java's formatter (so
-    ``format_string``) rounds the shortest decimal form half-up, which differs
-    for values such as 2.675 or 0.125.  Here ``x * 10^digits`` is split into an
-    exact sum ``p + e`` and rounded on that sum.  The work is staged over three
-    projections so each value's sub-expressions are computed once.
-    """
+def _check_digits(digits: int) -> None:
     if not 0 <= digits <= 6:
         raise ValueError("digits must be within 0..6")
-    scale = float(10 ** digits)
-    names = list(cols)
-    tmp = lambda i, part: f"__fx{i}_{part}"
-    df = df.withColumns({tmp(i, "x"): cols[n].cast("double") for i, n in enumerate(names)})
-    parts = {}
-    for i, _ in enumerate(names):
-        p, e = _fixed_parts(F.col(tmp(i, "x")), scale)
-        parts[tmp(i, "p")], parts[tmp(i, "e")] = p, e
-    df = df.withColumns(parts)
-    df = df.withColumns({tmp(i, "n"): _round_half_even(F.col(tmp(i, "p")), F.col(tmp(i, "e")))
-                         for i, _ in enumerate(names)})
-    out = {}
-    for i, n in enumerate(names):
-        x = F.col(tmp(i, "x"))
-        body = _digits_text(F.col(tmp(i, "n")), x < 0, digits)
-        out[n] = F.when(x.isNotNull(), F.concat(F.lit(prefix), body))
-    df = df.withColumns(out)
-    return df.drop(*[tmp(i, part) for i, _ in enumerate(names) for part in "xpen"])
 
 
-def fixed_text(x: Column, digits: int = 2) -> Column:
-    """Single-expression form of ``add_fixed_text`` (one value, no staging);
-    prefer ``add_fixed_text`` when formatting several values at once."""
-    if not 0 <= digits <= 6:
-        raise ValueError("digits must be within 0..6")
-    p, e = _fixed_parts(x.cast("double"), float(10 ** digits))
-    return F.when(x.isNotNull(), _digits_text(_round_half_even(p, e), x < 0, digits))
+def fixed_text_sql(x: str, digits: int = 2, prefix: str = "") -> str:
+    """``prefix + '%.{digits}f' % x`` as one SQL expression over the SQL text
+    ``x``; prefer ``add_fixed_text`` for several values (it rounds each value
+    once and keeps the generated code small)."""
+    _check_digits(digits)
+    v = f"CAST({x} AS DOUBLE)"
+    p, e = _parts_sql(v, digits)
+    return _digits_sql(_round_sql(p, e), v, digits, prefix)
 
 
-def money_text(x: Column) -> Column:
-    """``f"${x:.2f}"`` (single-expression form)."""
-    return F.concat(F.lit("$"), fixed_text(x, 2))
+def fixed_text(name: str, digits: int = 2) -> Column:
+    """``'%.{digits}f' % x`` of column ``name``, exactly as Python (and
+    DuckDB's printf) print it."""
+    return F.expr(fixed_text_sql(q(name), digits))
 
 
-def underline(line: Column, char: str = "-") -> Column:
-    return F.repeat(F.lit(char), F.length(line))
+def money_text(name: str) -> Column:
+    """``f"${x:.2f}"`` of column ``name``."""
+    return F.expr(fixed_text_sql(q(name), 2, "$"))
 
 
-def rule_names(z: Optional[Column], jump: Optional[Column], shift: Optional[Column],
-               count: Optional[Column] = None) -> Column:
+def add_fixed_text(df: DataFrame, cols: Mapping[str, str], digits: int = 2,
+                   prefix: Union[str, Mapping[str, str]] = "") -> DataFrame:
+    """Add ``prefix + '%.{digits}f' % x`` text columns for each
+    ``name -> x`` (``x``: SQL expression text), printed exactly as Python and
+    DuckDB's printf print them.  Staged over three projections so every
+    value is rounded once and the generated code stays small."""
+    _check_digits(digits)
+    names = list(cols)
+    tmp = lambda i, part: f"__fx{i}_{part}"
+    stage1 = []
+    for i, n in enumerate(names):
+        x = f"CAST({cols[n]} AS DOUBLE)"
+        p, e = _parts_sql(x, digits)
+        stage1 += [f"{x} AS {tmp(i, 'x')}", f"{p} AS {tmp(i, 'p')}", f"{e} AS {tmp(i, 'e')}"]
+    df = df.selectExpr("*", *stage1)
+    df = df.selectExpr("*", *[f"{_round_sql(tmp(i, 'p'), tmp(i, 'e'))} AS {tmp(i, 'n')}"
+                              for i, _ in enumerate(names)])
+    keep = [q(c) for c in df.columns if not c.startswith("__fx") and c not in cols]
+    out = []
+    for i, n in enumerate(names):
+        pre = prefix if isinstance(prefix, str) else prefix.get(n, "")
+        out.append(f"{_digits_sql(tmp(i, 'n'), tmp(i, 'x'), digits, pre)} AS {q(n)}")
+    return df.selectExpr(*keep, *out)
+
+
+def underline_sql(line: str, char: str = "-") -> str:
+    return f"repeat({slit(char)}, length({line}))"
+
+
+def rule_names_sql(z: Optional[str], jump: Optional[str], shift: Optional[str],
+                   count: Optional[str] = None) -> str:
     """Names of the rules that fired, in the fixed order z, metric, change,
-    count (array<string>, empty when none fired)."""
-    parts = [F.when(flag, F.lit(name)) for flag, name in
+    count (array<string>, empty when none fired); arguments are flag column
+    names or None."""
+    parts = [f"CASE WHEN {q(flag)} THEN {slit(name)} END" for flag, name in
              ((z, RULE_Z), (jump, RULE_JUMP), (shift, RULE_SHIFT), (count, RULE_COUNT))
              if flag is not None]
-    return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+    return f"array_compact(array({', '.join(parts)}))" if parts else "CAST(array() AS ARRAY<STRING>)"
 
 
-def slice_label(test_cols: Sequence[str]) -> Column:
+def rule_names(z: Optional[str], jump: Optional[str], shift: Optional[str],
+               count: Optional[str] = None) -> Column:
+    return F.expr(rule_names_sql(z, jump, shift, count))
+
+
+def slice_label_sql(test_cols: Sequence[str]) -> str:
     """Readable slice key ``var=value, var=value`` over the non-NULL slice
     columns in spec order; ``all`` for the unsliced series."""
-    parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in test_cols]
-    joined = F.concat_ws(", ", *parts) if parts else F.lit("")
-    return F.when(joined == "", F.lit("all")).otherwise(joined)
+    if not test_cols:
+        return "'all'"
+    parts = ", ".join(f"concat({slit(c + '=')}, CAST({q(c)} AS STRING))" for c in test_cols)
+    return f"coalesce(nullif(concat_ws(', ', {parts}), ''), 'all')"
+
+
+def slice_label(test_cols: Sequence[str]) -> Column:
+    return F.expr(slice_label_sql(test_cols))
 
 
 def series_name(test_cols: Sequence[str]) -> Column:
     """File-style series name: ``outliers_all`` or ``outliers_<var>_<value>...``."""
-    parts = [F.concat(F.lit(f"{c}_"), F.col(c).cast("string")) for c in test_cols]
-    joined = F.concat_ws("_", *parts) if parts else F.lit("")
-    return F.when(joined == "", F.lit("outliers_all")).otherwise(F.concat(F.lit("outliers_"), joined))
+    if not test_cols:
+        return F.lit("outliers_all")
+    parts = ", ".join(f"concat({slit(c + '_')}, CAST({q(c)} AS STRING))" for c in test_cols)
+    return F.expr(f"concat('outliers_', coalesce(nullif(concat_ws('_', {parts}), ''), 'all'))")
 
 
 # Point classes, legend labels and colours of the anomaly chart.
@@ -157,21 +202,19 @@ POINT_LABELS = {"z_score": "Z score Outliers", "metric": "Metric Outliers",
                 "change": "Change Point", "multiple": "Multiple Outliers"}
 
 
-def point_class(types: Column) -> Column:
+def point_class_sql(types: str) -> str:
     """One fired rule -> its name; more than one -> ``multiple``."""
-    return F.when(F.size(types) > 1, F.lit("multiple")).otherwise(F.element_at(types, 1))
+    return f"CASE WHEN size({types}) > 1 THEN 'multiple' ELSE element_at({types}, 1) END"
 
 
-def _lookup(mapping: dict, key: Column) -> Column:
-    expr = None
-    for k, v in mapping.items():
-        expr = (F.when(key == k, F.lit(v)) if expr is None else expr.when(key == k, F.lit(v)))
-    return expr
+def _lookup_sql(mapping: dict, key: str) -> str:
+    arms = " ".join(f"WHEN {slit(k)} THEN {slit(v)}" for k, v in mapping.items())
+    return f"CASE {key} {arms} END"
 
 
-def point_label(cls: Column) -> Column:
-    return _lookup(POINT_LABELS, cls)
+def point_label_sql(cls: str) -> str:
+    return _lookup_sql(POINT_LABELS, cls)
 
 
-def point_color(cls: Column) -> Column:
-    return _lookup(POINT_COLORS, cls)
+def point_color_sql(cls: str) -> str:
+    return _lookup_sql(POINT_COLORS, cls)

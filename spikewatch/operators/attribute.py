@@ -11,7 +11,7 @@ from ..spec import AnalysisSpec
 
 
 def _flag(df: DataFrame, name: str):
-    return F.col(name) if name in df.columns else None
+    return name if name in df.columns else None
 
 
 def findings(detected: DataFrame) -> DataFrame:

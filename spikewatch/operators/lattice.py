@@ -2,8 +2,9 @@
 
 The naive plan filters the fact table once per subset (2^k scans).  Here the
 fact table is scanned once: each row is tagged, per test column, with the top
-value when it matches (a literal comparison: the top values are at most one
-per test column, known before this pass), pre-aggregated by (period, tags)
+value when it matches (the top values -- at most one per test column -- come
+in as a scalar subquery holding a small map, so the whole analysis stays one
+plan and one action), pre-aggregated by (period, tags)
 with hash aggregation -- at most periods x 2^k groups, so a skewed value
 collapses to one partial row per map task -- and the small result is rolled up
 with ``groupingSets`` over every subset of the tags.  A grouping-set row is
@@ -12,12 +13,12 @@ kept when every grouped tag actually matched.
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Mapping, Union
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of, metric_units, slice_label
+from ..functions.exprs import all_of_sql, metric_units_sql, q, slice_label_sql, slit
 from ..spec import AnalysisSpec
 
 
@@ -29,12 +30,14 @@ def _dtag(i: int) -> str:
     return f"_desc{i}"
 
 
-def subset_series(df: DataFrame, spec: AnalysisSpec, top: Mapping[str, str]) -> DataFrame:
+def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mapping[str, str]]) -> DataFrame:
     """One row per (subset slice, period) with ``total_units`` and
     ``num_data_points``.
 
-    ``top`` maps test column -> its top value (as string, the form of
-    ``screening.top_values``); a column without a top value has no subsets.
+    ``top`` is the ``screening.top_values`` DataFrame (variable, value; at
+    most one row per test column, by construction) or an already collected
+    mapping test column -> top value (as string).  A column without a top
+    value has no subsets.
     Output columns: the time column; each test column holding the top value
     when the subset contains it and NULL when rolled up ("All"); the
     description column of each described test column (the smallest
@@ -46,56 +49,74 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: Mapping[str, str]) ->
     tests = list(spec.test_cols)
     k = len(tests)
     described = [i for i, c in enumerate(tests) if c in spec.desc_cols]
-    tags = []
-    for i, c in enumerate(tests):
-        v = top.get(c)
-        match = (F.col(c).cast("string") == F.lit(v)) if v is not None else F.lit(False)
-        tags.append(F.when(match, F.lit(v)).alias(_tag(i)))
-    # Descriptions of matched rows ride along as grouping keys: hash
-    # aggregation throughout the big pass (no string in an aggregation buffer).
-    dkeys = [F.when(F.col(tests[i]).cast("string") == F.lit(top.get(tests[i])),
-                    F.col(spec.desc_cols[tests[i]]).cast("string")).alias(_dtag(i)) for i in described]
-    pre = df.groupBy(F.col(t), *tags, *dkeys).agg(
-        F.sum(metric_units(F.col(spec.metric_col), spec.metric_scale)).alias("total_units"),
+
+    if isinstance(top, DataFrame):
+        # <= k entries: one per test column (row_number = 1 per variable).
+        topmap = top.agg(F.map_from_entries(F.collect_list(F.struct("variable", "value")))).scalar()
+        src = df.select("*", topmap.alias("_topmap"))
+
+        def val(c):
+            return f"try_element_at(_topmap, {slit(c)})"
+        present = set(tests)
+    else:
+        src = df
+
+        def val(c):
+            return slit(top[c]) if top.get(c) is not None else "CAST(NULL AS STRING)"
+        present = {c for c in tests if top.get(c) is not None}
+
+    def match(i):
+        return f"CAST({q(tests[i])} AS STRING) = {val(tests[i])}"
+
+    tagged = src.selectExpr(
+        q(t),
+        f"{metric_units_sql(q(spec.metric_col), spec.metric_scale)} AS _units",
+        *[f"CASE WHEN {match(i)} THEN {val(tests[i])} END AS {_tag(i)}" for i in range(k)],
+        # Descriptions of matched rows ride along as grouping keys: hash
+        # aggregation throughout the big pass (no string in an agg buffer).
+        *[f"CASE WHEN {match(i)} THEN CAST({q(spec.desc_cols[tests[i]])} AS STRING) END AS {_dtag(i)}"
+          for i in described],
+    )
+    pre = tagged.groupBy(t, *[_tag(i) for i in range(k)], *[_dtag(i) for i in described]).agg(
+        F.sum("_units").alias("total_units"),
         F.count(F.lit(1)).alias("num_data_points"),
     )
-    subsets = [s for s in spec.subsets() if all(tests[i] in top for i in s)]
+    subsets = [s for s in spec.subsets() if all(tests[i] in present for i in s)]
     ordinal = {sum(1 << i for i in s): j for j, s in enumerate(spec.subsets())}
     sets = [[t] + [_tag(i) for i in s] for s in subsets]
     rolled = pre.groupingSets(sets, t, *[_tag(i) for i in range(k)]).agg(
         F.sum("total_units").alias("total_units"),
         F.sum("num_data_points").alias("num_data_points"),
         *[F.min(_dtag(i)).alias(_dtag(i)) for i in described],
-        *[F.grouping(_tag(i)).alias(f"_g{i}") for i in range(k)],
+        F.expr("grouping_id()").alias("_gid"),
     )
-    keep = all_of((F.col(f"_g{i}") == 1) | F.col(_tag(i)).isNotNull() for i in range(k))
+    # grouping_id over (time, tag 0..k-1): bit k-1-i is set when tag i is
+    # rolled up (the time column is always grouped).
+    in_slice = [f"(shiftright(_gid, {k - 1 - i}) & 1) = 0" for i in range(k)]
+    keep = all_of_sql(f"NOT ({in_slice[i]}) OR {_tag(i)} IS NOT NULL" for i in range(k))
     if keep is not None:
         rolled = rolled.filter(keep)
-
-    in_slice = [F.col(f"_g{i}") == 0 for i in range(k)]
-    mask = sum((F.when(in_slice[i], F.lit(1 << i)).otherwise(F.lit(0)) for i in range(k)), F.lit(0))
-    ordinal_map = F.create_map(*[F.lit(x) for m, j in ordinal.items() for x in (m, j)])
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out_cols = [F.col(t)]
-    for i, c in enumerate(tests):
-        out_cols.append(F.when(in_slice[i], F.col(_tag(i))).cast(types[c]).alias(c))
-    n_keys = sum((F.when(s, F.lit(1)).otherwise(F.lit(0)) for s in in_slice), F.lit(0))
-    out = rolled.select(
-        *out_cols,
-        *[F.when(in_slice[i], F.col(_dtag(i))).alias(_dtag(i)) for i in described],
-        n_keys.cast("int").alias("n_keys"),
-        F.element_at(ordinal_map, mask).cast("int").alias("slice_ordinal"),
-        F.col("total_units"),
-        F.col("num_data_points"),
+    mask = " + ".join(f"CASE WHEN {in_slice[i]} THEN {1 << i} ELSE 0 END" for i in range(k))
+    ordinal_map = "map(" + ", ".join(f"{m}, {j}" for m, j in ordinal.items()) + ")"
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    n_keys = " + ".join(f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in in_slice)
+    out = rolled.selectExpr(
+        q(t),
+        *[f"CAST(CASE WHEN {in_slice[i]} THEN {_tag(i)} END AS {types[c]}) AS {q(c)}"
+          for i, c in enumerate(tests)],
+        *[f"CASE WHEN {in_slice[i]} THEN {_dtag(i)} END AS {_dtag(i)}" for i in described],
+        f"CAST({n_keys} AS INT) AS n_keys",
+        f"CAST(element_at({ordinal_map}, {mask}) AS INT) AS slice_ordinal",
+        "total_units", "num_data_points",
     )
     # One description per slice and column (constant over the periods).
-    by_slice = Window.partitionBy("slice_ordinal")
-    out = out.select(
-        *[F.col(c) for c in [t, *tests]],
-        *[F.min(_dtag(i)).over(by_slice).alias(spec.desc_cols[tests[i]]) for i in described],
+    return out.selectExpr(
+        q(t), *[q(c) for c in tests],
+        *[f"min({_dtag(i)}) OVER (PARTITION BY slice_ordinal) AS {q(spec.desc_cols[tests[i]])}"
+          for i in described],
         "n_keys", "slice_ordinal", "total_units", "num_data_points",
+        f"{slice_label_sql(tests)} AS slice_key",
     )
-    return out.withColumn("slice_key", slice_label(tests))
 
 
 def slice_columns(spec: AnalysisSpec) -> list[str]:

@@ -19,36 +19,20 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.exprs import any_of
+from ..functions.exprs import any_of_sql, dlit, q, units_to_value_sql
 from ..spec import GUARD_AFTER_Z, GUARD_BEFORE_Z, GUARD_NONE, AnalysisSpec, RuleSet
 
-_BIG = "decimal(38,0)"
+_BIG = "DECIMAL(38,0)"
 
 
-def _frame_mean(units: Column, w, lo: int, hi: int, scale) -> Column:
-    frame = w.rowsBetween(lo, hi)
-    if scale is None:
-        return F.avg(units).over(frame)
-    n = F.count(units).over(frame)
-    s1 = F.sum(units).over(frame)
-    return F.when(n > 0, s1.cast("double") / n.cast("double") / F.lit(float(10 ** scale)))
-
-
-def _frame_std(units: Column, w, lo: int, hi: int, scale) -> Column:
-    """Sample standard deviation over the frame; NULL below two values."""
-    frame = w.rowsBetween(lo, hi)
-    if scale is None:
-        return F.stddev_samp(units).over(frame)
-    n = F.count(units).over(frame)
-    s1 = F.sum(units).over(frame).cast(_BIG)
-    s2 = F.sum(units.cast(_BIG) * units.cast(_BIG)).over(frame)
-    # n * sum(x^2) - sum(x)^2 is exact (and never negative) in integers.
-    num = n.cast(_BIG) * s2 - s1 * s1
-    var = num.cast("double") / (n.cast("double") * (n - 1).cast("double"))
-    return F.when(n > 1, F.sqrt(var) / F.lit(float(10 ** scale)))
+def _bound(v: int) -> str:
+    if v < 0:
+        return f"{-v} PRECEDING"
+    if v > 0:
+        return f"{v} FOLLOWING"
+    return "CURRENT ROW"
 
 
 def rolling_columns(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
@@ -57,85 +41,97 @@ def rolling_columns(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
     ``prev_total_metric``, ``prev_num_data_points`` (raw lags), ``rolling_mean``,
     ``rolling_std`` (raw) and, when the shift rule is on, ``mean_prev`` /
     ``mean_next``."""
-    t = spec.time_col
-    w = Window.partitionBy(*key_cols).orderBy(t) if key_cols else Window.orderBy(t)
+    part = f"PARTITION BY {', '.join(q(k) for k in key_cols)} " if key_cols else ""
+    order = f"{part}ORDER BY {q(spec.time_col)}"
     scale = spec.metric_scale
-    u = F.col("total_units")
-    to_value = (lambda c: c.cast("double") / F.lit(float(10 ** scale))) if scale is not None \
-        else (lambda c: c.cast("double"))
+    u = "total_units"
+    sf = dlit(10 ** scale) if scale is not None else None
+
+    def over(lo, hi):
+        return f"OVER ({order} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})"
+
+    def mean(lo, hi):
+        if scale is None:
+            return f"avg({u}) {over(lo, hi)}"
+        n, s1 = f"count({u}) {over(lo, hi)}", f"sum({u}) {over(lo, hi)}"
+        return f"CASE WHEN {n} > 0 THEN CAST({s1} AS DOUBLE) / CAST({n} AS DOUBLE) / {sf} END"
+
+    def std(lo, hi):
+        """Sample standard deviation; NULL below two values.  With integer
+        units n * sum(x^2) - sum(x)^2 is exact (and never negative)."""
+        if scale is None:
+            return f"stddev_samp({u}) {over(lo, hi)}"
+        n = f"count({u}) {over(lo, hi)}"
+        s1 = f"CAST(sum({u}) {over(lo, hi)} AS {_BIG})"
+        s2 = f"sum(CAST({u} AS {_BIG}) * CAST({u} AS {_BIG})) {over(lo, hi)}"
+        num = f"(CAST({n} AS {_BIG}) * {s2} - {s1} * {s1})"
+        var = f"CAST({num} AS DOUBLE) / (CAST({n} AS DOUBLE) * CAST({n} - 1 AS DOUBLE))"
+        return f"CASE WHEN {n} > 1 THEN SQRT({var}) / {sf} END"
+
     h = rules.half_window
-    cols = {
-        "total_metric": to_value(u),
-        "prev_total_metric": to_value(F.lag(u).over(w)),
-        "prev_num_data_points": F.lag("num_data_points").over(w),
-        "rolling_mean": _frame_mean(u, w, -h, h, scale),
-        "rolling_std": _frame_std(u, w, -h, h, scale),
-    }
+    cols = [
+        f"{units_to_value_sql(u, scale)} AS total_metric",
+        f"{units_to_value_sql(f'lag({u}) OVER ({order})', scale)} AS prev_total_metric",
+        f"lag(num_data_points) OVER ({order}) AS prev_num_data_points",
+        f"{mean(-h, h)} AS rolling_mean",
+        f"{std(-h, h)} AS rolling_std",
+    ]
     if rules.shift_enabled:
         k = rules.shift_span
-        cols["mean_prev"] = _frame_mean(u, w, -k, -1, scale)
-        cols["mean_next"] = _frame_mean(u, w, 1, k, scale)
-    return series.withColumns(cols)
-
-
-def apply_rules(rolled: DataFrame, rules: RuleSet) -> DataFrame:
-    """D1-D8 on the output of ``rolling_columns``."""
-    x = F.col("total_metric")
-    mean = F.col("rolling_mean")
-    zero_guard = lambda std: F.when(mean == 0, F.lit(0.0)).otherwise(std)
-
-    df = rolled
-    if rules.backfill_first:  # D7
-        df = df.withColumns({
-            "prev_total_metric": F.coalesce(F.col("prev_total_metric"), x),
-            "prev_num_data_points": F.coalesce(F.col("prev_num_data_points"), F.col("num_data_points")),
-        })
-    if rules.zero_mean_guard == GUARD_BEFORE_Z:  # D8 ahead of D1
-        df = df.withColumn("rolling_std", zero_guard(F.col("rolling_std")))
-    std = F.col("rolling_std")
-    # Absolute z-score, 0 where the deviation is 0
-    df = df.withColumn("z_score", F.when(std == 0, F.lit(0.0)).otherwise(F.abs((x - mean) / std)))
-    if rules.zero_mean_guard == GUARD_AFTER_Z:  # D8 after D1
-        df = df.withColumn("rolling_std", zero_guard(std))
-    elif rules.zero_mean_guard not in (GUARD_NONE, GUARD_BEFORE_Z):
+        cols += [f"{mean(-k, -1)} AS mean_prev", f"{mean(1, k)} AS mean_next"]
+    new = {c.rsplit(" AS ", 1)[1] for c in cols}
+    keep = [q(c) for c in series.columns if c not in new]
+    return series.selectExpr(*keep, *cols)
+
+
+def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) -> DataFrame:
+    """D1-D8 on the output of ``rolling_columns``, as one projection
+    (``drop``: input columns to leave out)."""
+    if rules.zero_mean_guard not in (GUARD_NONE, GUARD_BEFORE_Z, GUARD_AFTER_Z):
         raise ValueError(f"unknown zero_mean_guard {rules.zero_mean_guard!r}")
+    x, mean, n = "total_metric", "rolling_mean", "num_data_points"
+    guarded = f"(CASE WHEN {mean} = 0 THEN {dlit(0)} ELSE rolling_std END)"  # D8
+    # First-row backfill
+    prev = f"coalesce(prev_total_metric, {x})" if rules.backfill_first else "prev_total_metric"
+    pn = f"coalesce(prev_num_data_points, {n})" if rules.backfill_first else "prev_num_data_points"
+    std_z = guarded if rules.zero_mean_guard == GUARD_BEFORE_Z else "rolling_std"
+    std = "rolling_std" if rules.zero_mean_guard == GUARD_NONE else guarded
+    # Absolute z-score, 0 where the deviation is 0
+    z = f"(CASE WHEN {std_z} = 0 THEN {dlit(0)} ELSE abs(({x} - {mean}) / {std_z}) END)"
 
+    cols = {"prev_total_metric": prev, "prev_num_data_points": pn, "rolling_std": std, "z_score": z}
     flags = {}
     if rules.z_cut is not None:  # D2
-        flags["is_outlier_z"] = F.when(F.col("rolling_std") == 0, F.lit(False)).otherwise(
-            F.col("z_score") > F.lit(float(rules.z_cut)))
+        flags["is_outlier_z"] = f"CASE WHEN {std} = 0 THEN false ELSE {z} > {dlit(rules.z_cut)} END"
     if rules.jump_enabled:  # D3
-        prev = F.col("prev_total_metric")
-        ratio = (x >= F.lit(float(rules.jump_up)) * prev)
+        ratio = f"{x} >= {dlit(rules.jump_up)} * {prev}"
         if rules.jump_down is not None:
-            ratio = ratio | (x <= F.lit(float(rules.jump_down)) * prev)
-        flags["is_outlier_metric"] = ratio & (F.abs(x - prev) > F.lit(float(rules.jump_min_abs)))
+            ratio += f" OR {x} <= {dlit(rules.jump_down)} * {prev}"
+        flags["is_outlier_metric"] = f"({ratio}) AND abs({x} - {prev}) > {dlit(rules.jump_min_abs)}"
     if rules.shift_enabled:  # D4, never NULL
-        mp, mn = F.col("mean_prev"), F.col("mean_next")
-        r = F.lit(float(rules.shift_ratio))
+        r = dlit(rules.shift_ratio)
         flags["change_point"] = (
-            ((mn >= r * mp) | (mp >= r * mn)) & (F.abs(mn - mp) > F.lit(float(rules.shift_min_abs)))
-            & mp.isNotNull() & mn.isNotNull()
-        )
+            f"(mean_next >= {r} * mean_prev OR mean_prev >= {r} * mean_next)"
+            f" AND abs(mean_next - mean_prev) > {dlit(rules.shift_min_abs)}"
+            " AND mean_prev IS NOT NULL AND mean_next IS NOT NULL")
     if rules.count_enabled:  # D5
-        n, pn = F.col("num_data_points"), F.col("prev_num_data_points")
-        r = F.lit(float(rules.count_ratio))
+        r = dlit(rules.count_ratio)
         flags["is_outlier_count"] = (
-            ((n >= r * pn) | (n <= pn / r)) & (F.greatest(n, pn) > F.lit(float(rules.count_min)))
-        )
-    df = df.withColumns(flags)
+            f"({n} >= {r} * {pn} OR {n} <= {pn} / {r}) AND greatest({n}, {pn}) > {dlit(rules.count_min)}")
     # Three-valued OR of the enabled rules, in the reference order
     order = ["is_outlier_z", "change_point", "is_outlier_metric", "is_outlier_count"]
-    anyflag = any_of(F.col(c) for c in order if c in flags)
-    return df.withColumn("is_outlier", anyflag if anyflag is not None else F.lit(None).cast("boolean"))
+    anyflag = any_of_sql(flags[c] for c in order if c in flags)
+    cols.update(flags)
+    cols["is_outlier"] = anyflag if anyflag is not None else "CAST(NULL AS BOOLEAN)"
+    keep = [q(c) for c in rolled.columns if c not in cols and c not in drop]
+    return rolled.selectExpr(*keep, *[f"{e} AS {k}" for k, e in cols.items()])
 
 
 def detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
            key_cols: Sequence[str] = ()) -> DataFrame:
     """Windows + rules over a series with ``total_units`` and
     ``num_data_points``; ``key_cols`` identify the slice (window partition)."""
-    out = apply_rules(rolling_columns(series, spec, rules, key_cols), rules)
-    return out.drop("total_units")
+    return apply_rules(rolling_columns(series, spec, rules, key_cols), rules, drop=("total_units",))
 
 
 def detect_slice(df: DataFrame, spec: AnalysisSpec, rules: RuleSet, values=None) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import Mapping, Optional
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of, metric_units
+from ..functions.exprs import metric_units, metric_units_sql, q, slit
 from ..spec import AnalysisSpec
 
 
@@ -30,7 +30,11 @@ def role_projection(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
 def slice_condition(values: Optional[Mapping[str, object]]) -> Optional[Column]:
     """AND of ``col == value`` for every non-None value; rows with a NULL
     code never match.  ``None`` / empty -> no condition."""
-    return all_of(F.col(k) == F.lit(v) for k, v in (values or {}).items() if v is not None)
+    conds = [F.col(k) == F.lit(v) for k, v in (values or {}).items() if v is not None]
+    out = None
+    for c in conds:
+        out = c if out is None else out & c
+    return out
 
 
 def slice_filter(df: DataFrame, values: Optional[Mapping[str, object]]) -> DataFrame:
@@ -50,7 +54,7 @@ def period_totals(df: DataFrame, spec: AnalysisSpec,
         slice_filter(df, values)
         .groupBy(spec.time_col)
         .agg(
-            F.sum(metric_units(F.col(spec.metric_col), spec.metric_scale)).alias("total_units"),
+            F.sum(metric_units(spec.metric_col, spec.metric_scale)).alias("total_units"),
             F.count(F.lit(1)).alias("num_data_points"),
         )
     )
@@ -67,10 +71,11 @@ def value_totals(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """
     if not spec.test_cols:
         raise ValueError("value_totals needs at least one test column")
-    entries = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
-               for c in spec.test_cols]
-    units = metric_units(F.col(spec.metric_col), spec.metric_scale)
-    stacked = df.select(F.col(spec.time_col), units.alias("_units"), F.inline(F.array(*entries)))
+    entries = ", ".join(f"struct({slit(c)} AS variable, CAST({q(c)} AS STRING) AS value)"
+                        for c in spec.test_cols)
+    stacked = df.selectExpr(q(spec.time_col),
+                            f"{metric_units_sql(q(spec.metric_col), spec.metric_scale)} AS _units",
+                            f"inline(array({entries}))")
     return stacked.groupBy("variable", "value", spec.time_col).agg(
         F.sum("_units").alias("total_units"),
         F.count(F.lit(1)).alias("num_data_points"),

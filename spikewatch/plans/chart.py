@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import point_class, point_color, point_label
+from ..functions.exprs import point_class_sql, point_color_sql, point_label_sql, q
 from ..spec import AnalysisSpec, RuleSet
 
 
@@ -33,15 +33,11 @@ def chart_points(selected: DataFrame, base: DataFrame, spec: AnalysisSpec) -> Da
     sides hold at most one row per period; Spark picks the join strategy from
     their measured sizes."""
     t = spec.time_col
-    pts = selected.select(
-        F.col(t), F.col("slice_key"), F.col("anomaly_types"),
-        point_class(F.col("anomaly_types")).alias("point_class"),
-    )
-    out = base.select(t, F.col("total_metric")).join(pts, t, "inner")
-    return out.withColumns({
-        "label": point_label(F.col("point_class")),
-        "color": point_color(F.col("point_class")),
-    })
+    pts = selected.selectExpr(q(t), "slice_key", "anomaly_types",
+                              f"{point_class_sql('anomaly_types')} AS point_class")
+    out = base.select(t, "total_metric").join(pts, t, "inner")
+    return out.selectExpr("*", f"{point_label_sql('point_class')} AS label",
+                          f"{point_color_sql('point_class')} AS color")
 
 
 def reported_axis(base: DataFrame, selected: DataFrame, spec: AnalysisSpec) -> DataFrame:

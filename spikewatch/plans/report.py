@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import add_fixed_text, underline
+from ..functions.exprs import add_fixed_text, q, slit, underline_sql
 from ..operators.attribute import ranked_findings
 from ..spec import RULE_JUMP, RULE_SHIFT, RULE_Z, AnalysisSpec, RuleSet
 
@@ -37,22 +37,20 @@ def header_lines(z_cut: float) -> list[str]:
     ]
 
 
-def grouping_text(spec: AnalysisSpec) -> Column:
+def grouping_sql(spec: AnalysisSpec) -> str:
     """``Grouping: d1, d2, ...``: per test column the description of the
     slice's value, ``All`` when the column is rolled up.  Without a
     description column the value itself is shown."""
     parts = []
     for c in spec.test_cols:
-        if c in spec.desc_cols:
-            shown = F.coalesce(F.col(spec.desc_cols[c]).cast("string"), F.lit("None"))
-        else:
-            shown = F.col(c).cast("string")
-        parts.append(F.when(F.col(c).isNull(), F.lit("All")).otherwise(shown))
-    return F.concat(F.lit("Grouping: "), F.concat_ws(", ", *parts))
+        shown = (f"coalesce(CAST({q(spec.desc_cols[c])} AS STRING), 'None')" if c in spec.desc_cols
+                 else f"CAST({q(c)} AS STRING)")
+        parts.append(f"CASE WHEN {q(c)} IS NULL THEN 'All' ELSE {shown} END")
+    return f"concat('Grouping: ', concat_ws(', ', {', '.join(parts)}))"
 
 
-def _has(types: Column, name: str) -> Column:
-    return F.array_contains(types, F.lit(name))
+def grouping_text(spec: AnalysisSpec) -> Column:
+    return F.expr(grouping_sql(spec))
 
 
 # Numbers printed in the report, as ``$%.2f`` (money) or ``%.2f`` (z).
@@ -62,57 +60,54 @@ _MONEY = ("total_metric", "prev_total_metric", "mean_prev", "mean_next", "rollin
 def with_figures(ranked: DataFrame) -> DataFrame:
     """Adds the printed figures as text columns ``_t_<name>`` (staged, so every
     number is rounded once) and the signed z-score text ``_t_z`` (R3)."""
-    money = {f"_t_{c}": F.col(c) for c in _MONEY if c in ranked.columns}
-    out = add_fixed_text(ranked, money, 2, prefix="$")
-    signed_z = (F.col("total_metric") - F.col("rolling_mean")) / F.col("rolling_std")
-    return add_fixed_text(out, {"_t_z": F.when(F.col("rolling_std") != 0, signed_z)}, 2)
+    figs = {f"_t_{c}": c for c in _MONEY if c in ranked.columns}
+    figs["_t_z"] = "CASE WHEN rolling_std != 0 THEN (total_metric - rolling_mean) / rolling_std END"
+    prefixes = {n: ("" if n == "_t_z" else "$") for n in figs}
+    return add_fixed_text(ranked, figs, 2, prefix=prefixes)
+
+
+def _arr(*items: str) -> str:
+    return f"array({', '.join(items)})"
 
 
-def block_lines(spec: AnalysisSpec) -> Column:
+def block_lines_sql(spec: AnalysisSpec) -> str:
     """The lines of one report block, sections in the order metric, change, z
-    (expects the columns of ``with_figures``)."""
+    (expects the columns of ``with_figures`` and ``_grouping``)."""
     noun = spec.noun
-    t = lambda c: F.col(f"_t_{c}")
-    x = t("total_metric")
-    types = F.col("anomaly_types")
-    empty = F.array().cast("array<string>")
-    metric = F.array(F.lit("Metric Anomaly:"),
-                     F.concat(F.lit("  - Total Cost: "), x),
-                     F.concat(F.lit("  - Previous Week Cost: "), t("prev_total_metric")))
-    change = F.array(F.lit("Change Point:"),
-                     F.concat(F.lit("  - Total Cost: "), x),
-                     F.concat(F.lit(f"  - Previous Two {noun} Average Cost: "), t("mean_prev")),
-                     F.concat(F.lit(f"  - Next Two {noun} Average Cost: "), t("mean_next")))
-    zsec = F.array(F.lit("Z-Score Anomaly:"),
-                   F.concat(F.lit("  - Total Cost: "), x),
-                   F.concat(F.lit("  - Rolling Mean: "), t("rolling_mean")),
-                   F.concat(F.lit("  - Standard Deviation: "), t("rolling_std")),
-                   F.concat(F.lit("  - Z-Score: "), t("z")))
+    x = "_t_total_metric"
+    empty = "CAST(array() AS ARRAY<STRING>)"
+    metric = _arr("'Metric Anomaly:'", f"concat('  - Total Cost: ', {x})",
+                  "concat('  - Previous Week Cost: ', _t_prev_total_metric)")
+    change = _arr("'Change Point:'", f"concat('  - Total Cost: ', {x})",
+                  f"concat({slit(f'  - Previous Two {noun} Average Cost: ')}, _t_mean_prev)",
+                  f"concat({slit(f'  - Next Two {noun} Average Cost: ')}, _t_mean_next)")
+    zsec = _arr("'Z-Score Anomaly:'", f"concat('  - Total Cost: ', {x})",
+                "concat('  - Rolling Mean: ', _t_rolling_mean)",
+                "concat('  - Standard Deviation: ', _t_rolling_std)",
+                "concat('  - Z-Score: ', _t_z)")
+
+    def section(rule, lines):
+        return f"CASE WHEN array_contains(anomaly_types, {slit(rule)}) THEN {lines} ELSE {empty} END"
+
+    head = _arr(f"concat('Week: ', CAST({q(spec.time_col)} AS STRING))", slit(BLOCK_RULE),
+                "_grouping", underline_sql("_grouping"))
     # one more blank line before the first block (the header ends with one);
     # four blank lines between blocks, three after the last one
-    leading = F.when(F.col("report_rank") == 1, F.array(F.lit(""))).otherwise(empty)
-    trailing = F.array_repeat(F.lit(""), F.when(F.col("report_rank") == F.col("n_blocks"), 3).otherwise(4))
-    return F.concat(
-        leading,
-        F.array(F.concat(F.lit("Week: "), F.col(spec.time_col).cast("string")), F.lit(BLOCK_RULE),
-                F.col("_grouping"), underline(F.col("_grouping"))),
-        F.when(_has(types, RULE_JUMP), metric).otherwise(empty),
-        F.when(_has(types, RULE_SHIFT), change).otherwise(empty),
-        F.when(_has(types, RULE_Z), zsec).otherwise(empty),
-        trailing,
-    )
+    leading = f"CASE WHEN report_rank = 1 THEN array('') ELSE {empty} END"
+    trailing = "array_repeat('', CASE WHEN report_rank = n_blocks THEN 3 ELSE 4 END)"
+    return (f"concat({leading}, {head}, {section(RULE_JUMP, metric)}, {section(RULE_SHIFT, change)}, "
+            f"{section(RULE_Z, zsec)}, {trailing})")
 
 
 def report_lines(selected: DataFrame, spec: AnalysisSpec, rules: RuleSet) -> DataFrame:
     """R2: ``selected`` is the most-specific finding per period (``most_specific``)."""
-    ranked = with_figures(ranked_findings(selected, spec)).withColumn("_grouping", grouping_text(spec))
-    missing = {f"_t_{c}": F.lit(None).cast("string") for c in _MONEY if f"_t_{c}" not in ranked.columns}
-    ranked = ranked.withColumns(missing)
-    blocks = ranked.select("report_rank", F.posexplode(block_lines(spec)).alias("line_no", "value"))
+    ranked = with_figures(ranked_findings(selected, spec))
+    extra = [f"CAST(NULL AS STRING) AS _t_{c}" for c in _MONEY if f"_t_{c}" not in ranked.columns]
+    blocks = ranked.selectExpr("*", *extra, f"{grouping_sql(spec)} AS _grouping").selectExpr(
+        "report_rank", f"posexplode({block_lines_sql(spec)}) AS (line_no, value)")
     # The header is fixed text (a one-row leaf, not a second pass over the
     # findings): its lines and one blank line.
-    head = selected.sparkSession.range(1).select(
-        F.lit(0).alias("report_rank"),
-        F.posexplode(F.array(*[F.lit(s) for s in header_lines(rules.z_cut) + [""]])).alias("line_no", "value"),
-    )
+    header = ", ".join(slit(s) for s in header_lines(rules.z_cut) + [""])
+    head = selected.sparkSession.range(1).selectExpr(
+        "0 AS report_rank", f"posexplode(array({header})) AS (line_no, value)")
     return head.unionByName(blocks)

@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spikewatch.functions.exprs import (add_fixed_text, fixed_text, point_class, point_label,
-                                        rule_names, slice_label)
+from spikewatch.functions.exprs import (add_fixed_text, fixed_text, money_text, point_class_sql,
+                                        point_label_sql, rule_names, slice_label)
 
 TRICKY = [2.675, 0.125, 0.375, 100.005, -2.675, -0.125, 1.005, 0.0, 1e-9, -1e-9, 0.5, 1.5, 2.5,
           123456789.125, 32516.699999999997, 8076.729999999998, 1e12 / 3, 0.045, 0.995, 9.995]
@@ -15,7 +15,7 @@ TRICKY = [2.675, 0.125, 0.375, 100.005, -2.675, -0.125, 1.005, 0.0, 1e-9, -1e-9,
 
 def _check(spark, values, digits=2):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    staged = add_fixed_text(df, {"t": F.col("x")}, digits).withColumn("u", fixed_text(F.col("x"), digits))
+    staged = add_fixed_text(df, {"t": "x"}, digits).withColumn("u", fixed_text("x", digits))
     for r in staged.collect():
         want = f"{r.x:.{digits}f}"
         assert r.t == want, (r.x, r.t, want)
@@ -43,19 +43,25 @@ def test_fixed_text_half_cents(spark, ks):
 
 def test_null_text(spark):
     df = spark.createDataFrame([(None,)], "x double")
-    assert add_fixed_text(df, {"t": F.col("x")}).first().t is None
+    row = add_fixed_text(df, {"t": "x"}).withColumn("m", money_text("x")).first()
+    assert row.t is None and row.m is None
+
+
+def test_money_text(spark):
+    df = spark.createDataFrame([(32516.699999999997,), (-2.675,)], "x double")
+    assert [r.m for r in df.select(money_text("x").alias("m")).collect()] == ["$32516.70", "$-2.67"]
 
 
 def test_rule_names_order_and_nulls(spark):
     df = spark.createDataFrame([(True, True, True), (None, False, True), (False, None, None)],
                                "z boolean, m boolean, c boolean")
-    got = [r.n for r in df.select(rule_names(F.col("z"), F.col("m"), F.col("c")).alias("n")).collect()]
+    got = [r.n for r in df.select(rule_names("z", "m", "c").alias("n")).collect()]
     assert got == [["z_score", "metric", "change"], ["change"], []]
 
 
 def test_point_class_and_label(spark):
     df = spark.createDataFrame([(["z_score"],), (["change"],), (["metric", "change"],)], "t array<string>")
-    out = df.select(point_class(F.col("t")).alias("c")).select("c", point_label(F.col("c")).alias("l")).collect()
+    out = df.selectExpr(f"{point_class_sql('t')} AS c").selectExpr("c", f"{point_label_sql('c')} AS l").collect()
     assert [(r.c, r.l) for r in out] == [("z_score", "Z score Outliers"), ("change", "Change Point"),
                                          ("multiple", "Multiple Outliers")]
 

@@ -81,3 +81,11 @@ def test_fewer_test_columns(spark, k):
     a = PeriodAnomalyAnalysis(fact(spark), spec)
     assert a.lattice.select("slice_ordinal").distinct().count() == 2 ** k
     assert a.report.count() > 10
+
+
+def test_top_as_dataframe_equals_collected(spark):
+    df = fact(spark)
+    a = PeriodAnomalyAnalysis(df, SPEC)
+    lazy = sorted(map(tuple, subset_series(df, SPEC, a.top).collect()), key=str)
+    lit = sorted(map(tuple, subset_series(df, SPEC, a.top_map).collect()), key=str)
+    assert lazy == lit
