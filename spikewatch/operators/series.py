@@ -64,22 +64,30 @@ def value_totals(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """A2 for every test column at once: per (variable, value, period) the
     metric total and the row count.
 
-    Each row is fanned out to one row per test column by ``inline`` and
-    partially aggregated (hash aggregation) in the same stage, so only
-    (variable, value, period) partials cross the shuffle, however skewed a
-    value is.  Values are cast to string so all dimensions share one column.
+    One ``groupingSets`` over (period, column) for each test column: Spark
+    expands each row once per column (codegen'd ``Expand`` on the native
+    types) and partially aggregates in the same stage, so only (variable,
+    value, period) partials cross the shuffle, however skewed a value is.
+    Values are cast to string -- after aggregation, on the small result -- so
+    all dimensions share one column.
     """
-    if not spec.test_cols:
+    tests = list(spec.test_cols)
+    if not tests:
         raise ValueError("value_totals needs at least one test column")
-    entries = ", ".join(f"struct({slit(c)} AS variable, CAST({q(c)} AS STRING) AS value)"
-                        for c in spec.test_cols)
-    stacked = df.selectExpr(q(spec.time_col),
-                            f"{metric_units_sql(q(spec.metric_col), spec.metric_scale)} AS _units",
-                            f"inline(array({entries}))")
-    return stacked.groupBy("variable", "value", spec.time_col).agg(
-        F.sum("_units").alias("total_units"),
-        F.count(F.lit(1)).alias("num_data_points"),
-    )
+    t = spec.time_col
+    k = len(tests)
+    units = f"{metric_units_sql(q(spec.metric_col), spec.metric_scale)} AS _units"
+    agg = (df.selectExpr(q(t), *[q(c) for c in tests], units)
+           .groupingSets([[t, c] for c in tests], t, *tests)
+           .agg(F.sum("_units").alias("total_units"), F.count(F.lit(1)).alias("num_data_points"),
+                F.expr("grouping_id()").alias("_gid")))
+    # grouping_id over (t, c_0..c_{k-1}): column i is the grouped one when its
+    # bit (k-1-i) is clear; with one set per column exactly one bit is clear.
+    gid = {((1 << k) - 1) ^ (1 << (k - 1 - i)): i for i in range(k)}
+    variable = "CASE _gid " + " ".join(f"WHEN {g} THEN {slit(tests[i])}" for g, i in gid.items()) + " END"
+    value = "CASE _gid " + " ".join(f"WHEN {g} THEN CAST({q(tests[i])} AS STRING)"
+                                     for g, i in gid.items()) + " END"
+    return agg.selectExpr(f"{variable} AS variable", f"{value} AS value", q(t), "total_units", "num_data_points")
 
 
 def week_start(ts: Column) -> Column:
