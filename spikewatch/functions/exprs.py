@@ -101,7 +101,8 @@ def _digits_sql(n: str, x: str, digits: int, prefix: str = "") -> str:
         s = f"CASE WHEN length({s}) <= {digits} THEN lpad({s}, {digits + 1}, '0') ELSE {s} END"
         s = f"regexp_replace({s}, '([0-9]{{{digits}}})$', '.$1')"
     return (f"CASE WHEN {x} IS NULL THEN NULL ELSE "
-            f"concat({slit(prefix)}, CASE WHEN {x} < 0 THEN '-' ELSE '' END, {s}) END")
+            f"concat({slit(prefix)}, CASE WHEN {x} < 0 OR ({x} = 0 AND CAST({x} AS STRING) LIKE '-%') "
+            f"THEN '-' ELSE '' END, {s}) END")  # negative zero prints as -0.00
 
 
 def _check_digits(digits: int) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spikewatch.functions.exprs import (add_fixed_text, fixed_text, money_text, point_class_sql,
                                         point_label_sql, rule_names, slice_label)
 
-TRICKY = [2.675, 0.125, 0.375, 100.005, -2.675, -0.125, 1.005, 0.0, 1e-9, -1e-9, 0.5, 1.5, 2.5,
+TRICKY = [-0.0, 2.675, 0.125, 0.375, 100.005, -2.675, -0.125, 1.005, 0.0, 1e-9, -1e-9, 0.5, 1.5, 2.5,
           123456789.125, 32516.699999999997, 8076.729999999998, 1e12 / 3, 0.045, 0.995, 9.995]
 
 

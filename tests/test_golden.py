@@ -50,7 +50,7 @@ def subset_lattice(spark):
         *[F.when(F.col(c).isNotNull(), F.lit(DESCRIPTIONS[c][1])).alias(SPEC.desc_cols[c]) for c in TESTS],
         sum((F.col(c).isNotNull().cast("int") for c in TESTS), F.lit(0)).alias("n_keys"),
         F.element_at(omap, mask).alias("slice_ordinal"),
-        metric_units(F.col("total_metric"), 2).alias("total_units"),
+        metric_units("total_metric", 2).alias("total_units"),
         "num_data_points",
     ).withColumn("slice_key", slice_label(TESTS))
 
@@ -83,7 +83,7 @@ def value_series_from_eda(spark):
 
 def test_screening_picks_the_reference_top_values(spark):
     df = value_series_from_eda(spark).select(
-        "variable", "value", "service_week", metric_units(F.col("total_metric"), 2).alias("total_units"),
+        "variable", "value", "service_week", metric_units("total_metric", 2).alias("total_units"),
         "num_data_points")
     screened = detect(df, SPEC, SCREEN, ["variable", "value"])
     counts = anomaly_counts(screened)
@@ -107,7 +107,7 @@ FOLDER_RULES = {
 def test_eda_profile_reproduces_flags(spark, folder):
     files = sorted(glob.glob(f"{REF}/EDA/{folder}/*.csv"))
     raw = read_series_files(spark, files, SCHEMA)
-    series = raw.select("series", "service_week", metric_units(F.col("total_metric"), 2).alias("total_units"),
+    series = raw.select("series", "service_week", metric_units("total_metric", 2).alias("total_units"),
                         "num_data_points")
     ours = detect(series, SPEC, FOLDER_RULES[folder], ["series"])
     flags = ["is_outlier_z", "is_outlier_metric", "is_outlier_count", "is_outlier"]
