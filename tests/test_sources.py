@@ -78,3 +78,41 @@ def test_report_and_series_round_trip(spark):
     assert back.count() == a.detected.count()
     assert back.filter(F.col("series") == "outliers_all").count() == \
         a.detected.filter(F.col("slice_ordinal") == 0).count()
+
+
+def test_config_and_job(spark):
+    import yaml
+
+    from spikewatch.plans.job import run_job
+    from spikewatch.sources.config import load_config
+
+    d = _tmp()
+    data = os.path.join(d, "data.csv")
+    rows = ["service_week,betos_cd,pos_cd,paid_amount"]
+    for w in range(1, 30):
+        for b, p, amt in (("T1H", 81, 100.0), ("T1A", 11, 50.0)):
+            bump = 40000.0 if (w == 15 and b == "T1H") else 0.0
+            rows.append(f"2018-{w:02d},{b},{p},{amt * w + bump}")
+    with open(data, "w") as fh:
+        fh.write("\n".join(rows) + "\n")
+    cfg = os.path.join(d, "config.yml")
+    with open(cfg, "w") as fh:
+        yaml.safe_dump({"dataset": {"name": "data", "format": "csv", "delimiter": ",", "header": True},
+                        "variables": {"service_week": {"type": "string", "time_variable": True},
+                                      "betos_cd": {"test_variable": True},
+                                      "pos_cd": {"type": "integer", "test_variable": True},
+                                      "paid_amount": {"metric_variable": True}}}, fh)
+    source, spec = load_config(cfg)
+    assert (source.format, spec.time_col, spec.test_cols) == ("csv", "service_week", ("betos_cd", "pos_cd"))
+    df = read_table(spark, data, source.format, source.options)
+    out = os.path.join(d, "out")
+    a = run_job(df, spec, out, materialize=True, series=True)
+    assert sorted(os.listdir(os.path.join(out, "preprocessing"))) == ["data_types", "null_counts"]
+    rep_dir = os.path.join(out, "service_week", "outliers_summary")
+    part = [f for f in os.listdir(rep_dir) if f.startswith("part-")][0]
+    with open(os.path.join(rep_dir, part)) as fh:
+        text = fh.read()
+    assert "Week: 2018-15" in text and "Grouping: T1H, 81" in text
+    assert os.path.isdir(os.path.join(out, "service_week", "chart_points"))
+    assert os.path.isdir(os.path.join(out, "EDA", "outlier_results", "series=outliers_betos_cd_T1H_pos_cd_81"))
+    assert a.top_map == {"betos_cd": "T1H", "pos_cd": "81"}
