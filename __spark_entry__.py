@@ -39,6 +39,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 TESTS = ("o_orderpriority", "c_nationkey", "c_mktsegment")
 FACT_SPEC = AnalysisSpec("o_orderdate", "o_totalprice", TESTS, {"c_nationkey": "n_name"})
+WEEKLY_FACT_SPEC = AnalysisSpec("o_week", "o_totalprice", TESTS, {"c_nationkey": "n_name"})
 DAY_SPEC = AnalysisSpec("o_orderdate", "o_totalprice")
 WEEK_SPEC = AnalysisSpec("o_week", "o_totalprice")
 SHIP_SPEC = AnalysisSpec("l_shipdate", "l_extendedprice")
@@ -256,6 +257,25 @@ def q_report_text(spark, d):
     return _analysis(spark, d).report
 
 
+def _weekly_analysis(spark, d) -> PeriodAnomalyAnalysis:
+    fact = _fact(spark, d).withColumn("o_week", week_start(F.col("o_orderdate")))
+    return PeriodAnomalyAnalysis(fact, WEEKLY_FACT_SPEC, DETECT, SCREEN)
+
+
+def q_weekly_report_rows(spark, d):
+    a = _weekly_analysis(spark, d)
+    return _types_text(ranked_findings(a.selected, WEEKLY_FACT_SPEC))
+
+
+def q_weekly_report_text(spark, d):
+    return _weekly_analysis(spark, d).report
+
+
+def q_any_flag(spark, d):
+    return _detect_day(spark, d).select("o_orderdate", "is_outlier_z", "is_outlier_metric", "change_point",
+                                        "is_outlier")
+
+
 def q_bands(spark, d):
     return _analysis(spark, d).bands()
 
@@ -317,50 +337,55 @@ def _detect_day_sql(rules=DETECT) -> str:
     return O.detect_sql(_day_series_sql(), "o_orderdate", rules)
 
 
-def _value_totals_sql() -> str:
-    parts = [f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, o_orderdate, "
-             f"{O.units('o_totalprice')} AS u FROM {FACT} _f" for c in TESTS]
+# The analysis oracles take the fact source, the time column and the period
+# noun, so the same statements serve the daily and the weekly runs.
+T = "o_orderdate"
+
+
+def _value_totals_sql(fact=FACT, t=T) -> str:
+    parts = [f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, {t}, "
+             f"{O.units('o_totalprice')} AS u FROM {fact} _f" for c in TESTS]
     stacked = " UNION ALL ".join(parts)
-    return (f"SELECT variable, value, o_orderdate, CAST(SUM(u) AS BIGINT) AS tu, COUNT(*) AS n "
-            f"FROM ({stacked}) _u GROUP BY variable, value, o_orderdate")
+    return (f"SELECT variable, value, {t}, CAST(SUM(u) AS BIGINT) AS tu, COUNT(*) AS n "
+            f"FROM ({stacked}) _u GROUP BY variable, value, {t}")
 
 
-def _screen_sql() -> str:
-    return O.detect_sql(_value_totals_sql(), "o_orderdate", SCREEN, keys=("variable", "value"))
+def _screen_sql(fact=FACT, t=T) -> str:
+    return O.detect_sql(_value_totals_sql(fact, t), t, SCREEN, keys=("variable", "value"))
 
 
-def _counts_sql() -> str:
+def _counts_sql(fact=FACT, t=T) -> str:
     return (f"SELECT variable, value, CAST(COALESCE(SUM(CAST(is_outlier AS INTEGER)), 0) AS BIGINT) "
-            f"AS anomaly_count FROM ({_screen_sql()}) _x GROUP BY variable, value")
+            f"AS anomaly_count FROM ({_screen_sql(fact, t)}) _x GROUP BY variable, value")
 
 
-def _top_sql() -> str:
+def _top_sql(fact=FACT, t=T) -> str:
     return (f"SELECT variable, value, anomaly_count FROM (SELECT *, ROW_NUMBER() OVER "
-            f"(PARTITION BY variable ORDER BY anomaly_count DESC, value ASC) AS _r FROM ({_counts_sql()}) _c "
+            f"(PARTITION BY variable ORDER BY anomaly_count DESC, value ASC) AS _r FROM ({_counts_sql(fact, t)}) _c "
             f"WHERE value IS NOT NULL) _t WHERE _r = 1")
 
 
 _NATIVE = {"o_orderpriority": "VARCHAR", "c_nationkey": "INTEGER", "c_mktsegment": "VARCHAR"}
 
 
-def _lattice_series_sql() -> str:
+def _lattice_series_sql(fact=FACT, t=T) -> str:
     """One filter-then-aggregate per subset, UNION ALL (the reference's
     formulation); columns as ``subset_series`` plus tu / n."""
-    top = f"({_top_sql()})"
+    top = f"({_top_sql(fact, t)})"
     selects = []
     for j, s in enumerate(FACT_SPEC.subsets()):
         conds = [f"CAST({TESTS[i]} AS VARCHAR) = (SELECT value FROM {top} _q WHERE variable = '{TESTS[i]}')"
                  for i in s]
         where = (" WHERE " + " AND ".join(conds)) if conds else ""
-        cols = ["o_orderdate"]
+        cols = [t]
         for i, c in enumerate(TESTS):
             cols.append(f"MIN({c}) AS {c}" if i in s else f"CAST(NULL AS {_NATIVE[c]}) AS {c}")
         cols += [f"CAST(SUM({O.units('o_totalprice')}) AS BIGINT) AS tu", "COUNT(*) AS n"]
-        grouped = f"SELECT {', '.join(cols)} FROM {FACT} _f{where} GROUP BY o_orderdate"
-        desc = (f"(SELECT MIN(n_name) FROM {FACT} _d{where})" if 1 in s else "CAST(NULL AS VARCHAR)")
+        grouped = f"SELECT {', '.join(cols)} FROM {fact} _f{where} GROUP BY {t}"
+        desc = (f"(SELECT MIN(n_name) FROM {fact} _d{where})" if 1 in s else "CAST(NULL AS VARCHAR)")
         label = ", ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in TESTS)
         selects.append(
-            f"SELECT o_orderdate, {', '.join(TESTS)}, {desc} AS n_name, CAST({len(s)} AS INTEGER) AS n_keys, "
+            f"SELECT {t}, {', '.join(TESTS)}, {desc} AS n_name, CAST({len(s)} AS INTEGER) AS n_keys, "
             f"CAST({j} AS INTEGER) AS slice_ordinal, tu, n, "
             f"CASE WHEN concat_ws(', ', {label}) = '' THEN 'all' ELSE concat_ws(', ', {label}) END AS slice_key "
             f"FROM ({grouped}) _g")
@@ -370,26 +395,26 @@ def _lattice_series_sql() -> str:
 _SLICE_CARRY = (*TESTS, "n_name", "n_keys", "slice_key")
 
 
-def _subset_detect_sql() -> str:
-    return O.detect_sql(_lattice_series_sql(), "o_orderdate", DETECT, keys=("slice_ordinal",),
-                        carry=_SLICE_CARRY)
+def _subset_detect_sql(fact=FACT, t=T) -> str:
+    return O.detect_sql(_lattice_series_sql(fact, t), t, DETECT, keys=("slice_ordinal",), carry=_SLICE_CARRY)
 
 
-def _findings_sql() -> str:
-    return f"SELECT *, {O.rule_names_sql()} AS anomaly_types FROM ({_subset_detect_sql()}) _d WHERE is_outlier"
+def _findings_sql(fact=FACT, t=T) -> str:
+    return (f"SELECT *, {O.rule_names_sql()} AS anomaly_types FROM ({_subset_detect_sql(fact, t)}) _d "
+            f"WHERE is_outlier")
 
 
-def _most_specific_sql() -> str:
-    return (f"SELECT * EXCLUDE (_pick) FROM (SELECT *, MIN(slice_ordinal) OVER (PARTITION BY o_orderdate) "
-            f"AS first_ordinal, ROW_NUMBER() OVER (PARTITION BY o_orderdate ORDER BY n_keys DESC, "
-            f"total_metric DESC NULLS LAST, slice_ordinal ASC) AS _pick FROM ({_findings_sql()}) _f) _m "
+def _most_specific_sql(fact=FACT, t=T) -> str:
+    return (f"SELECT * EXCLUDE (_pick) FROM (SELECT *, MIN(slice_ordinal) OVER (PARTITION BY {t}) "
+            f"AS first_ordinal, ROW_NUMBER() OVER (PARTITION BY {t} ORDER BY n_keys DESC, "
+            f"total_metric DESC NULLS LAST, slice_ordinal ASC) AS _pick FROM ({_findings_sql(fact, t)}) _f) _m "
             f"WHERE _pick = 1")
 
 
-def _report_rows_sql() -> str:
+def _report_rows_sql(fact=FACT, t=T) -> str:
     return (f"SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY total_metric DESC NULLS LAST, first_ordinal ASC, "
-            f"o_orderdate ASC) AS INTEGER) AS report_rank, COUNT(*) OVER () AS n_blocks "
-            f"FROM ({_most_specific_sql()}) _s")
+            f"{t} ASC) AS INTEGER) AS report_rank, COUNT(*) OVER () AS n_blocks "
+            f"FROM ({_most_specific_sql(fact, t)}) _s")
 
 
 def _grouping_sql() -> str:
@@ -399,7 +424,7 @@ def _grouping_sql() -> str:
     return f"('Grouping: ' || concat_ws(', ', {', '.join(parts)}))"
 
 
-def _report_text_sql() -> str:
+def _report_text_sql(fact=FACT, t=T, noun="Days") -> str:
     from spikewatch.plans.report import BLOCK_RULE, header_lines
 
     def lit_list(items):
@@ -410,18 +435,18 @@ def _report_text_sql() -> str:
     metric = (f"['Metric Anomaly:', '  - Total Cost: ' || {x}, "
               f"'  - Previous Week Cost: ' || {O.money('prev_total_metric')}]")
     change = (f"['Change Point:', '  - Total Cost: ' || {x}, "
-              f"'  - Previous Two Days Average Cost: ' || {O.money('mean_prev')}, "
-              f"'  - Next Two Days Average Cost: ' || {O.money('mean_next')}]")
+              f"'  - Previous Two {noun} Average Cost: ' || {O.money('mean_prev')}, "
+              f"'  - Next Two {noun} Average Cost: ' || {O.money('mean_next')}]")
     zsec = (f"['Z-Score Anomaly:', '  - Total Cost: ' || {x}, '  - Rolling Mean: ' || {O.money('rolling_mean')}, "
             f"'  - Standard Deviation: ' || {O.money('rolling_std')}, "
             f"'  - Z-Score: ' || printf('%.2f', (total_metric - rolling_mean) / rolling_std)]")
     g = _grouping_sql()
-    head = (f"['Week: ' || CAST(o_orderdate AS VARCHAR), '{BLOCK_RULE}', {g}, repeat('-', length({g}))]")
+    head = (f"['Week: ' || CAST({t} AS VARCHAR), '{BLOCK_RULE}', {g}, repeat('-', length({g}))]")
     lines = f"list_concat(CASE WHEN report_rank = 1 THEN [''] ELSE {empty} END, {head})"
     for cond, sec in (("is_outlier_metric", metric), ("change_point", change), ("is_outlier_z", zsec)):
         lines = f"list_concat({lines}, CASE WHEN {cond} THEN {sec} ELSE {empty} END)"
     lines = f"list_concat({lines}, CASE WHEN report_rank = n_blocks THEN ['', '', ''] ELSE ['', '', '', ''] END)"
-    rows = _report_rows_sql()
+    rows = _report_rows_sql(fact, t)
     header = f"SELECT CAST(0 AS INTEGER) AS report_rank, {lit_list(header_lines(2.1) + [''])} AS lines"
     blocks = f"SELECT report_rank, {lines} AS lines FROM ({rows}) _r"
     return (f"SELECT report_rank, CAST(UNNEST(range(len(lines))) AS INTEGER) AS line_no, UNNEST(lines) AS value "
@@ -433,6 +458,9 @@ def _base_sql() -> str:
            f"WHERE slice_ordinal = 0"
 
 
+WEEK_FACT = (f"(SELECT *, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS o_week FROM {FACT} _w)")
+
+
 def _orders_profile_rows(table: str, cols: list[tuple[str, str]]) -> str:
     parts = [f"SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS column_name, '{t}' AS data_type, "
              f"CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count FROM {table}" for i, (c, t) in enumerate(cols)]
@@ -528,5 +556,9 @@ def oracle_sql() -> dict[str, str]:
         "overlay": (f"SELECT slice_key AS series, o_orderdate, total_metric, rolling_mean, rolling_std, is_outlier "
                     f"FROM ({_subset_detect_sql()}) _d WHERE slice_ordinal IN (0, 7)"),
         "events_hourly": O.detect_sql(events, "hour", EVENTS_RULES),
+        "any_flag": (f"SELECT o_orderdate, is_outlier_z, is_outlier_metric, change_point, is_outlier "
+                     f"FROM ({_detect_day_sql()}) _d"),
+        "weekly_report_rows": _report_rows_sql(WEEK_FACT, "o_week"),
+        "weekly_report_text": _report_text_sql(WEEK_FACT, "o_week", "Weeks"),
         "shipments_weekly": O.detect_sql(li_week, "l_week", shipments_rules),
     }
