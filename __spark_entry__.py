@@ -26,9 +26,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles as O  # noqa: E402
 from spikewatch import DETECT, EDA, SCREEN, AnalysisSpec, PeriodAnomalyAnalysis, RuleSet  # noqa: E402
-from spikewatch.operators import (anomaly_counts, code_descriptions, data_profile, describe_values, detect, findings, hour_start,  # noqa: E402
-                                  most_specific, null_profile, period_totals, rolling_columns,
-                                  subset_series, top_values, type_profile, value_series,
+from spikewatch.operators import (anomaly_counts, code_descriptions, data_profile,  # noqa: E402
+                                  describe_values, detect, hour_start, null_profile, period_totals,
+                                  rolling_columns, top_values, type_profile, value_series,
                                   value_totals, week_start)
 from spikewatch.operators.attribute import ranked_findings  # noqa: E402
 from spikewatch.plans import chart  # noqa: E402

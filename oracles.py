@@ -15,8 +15,6 @@ from typing import Sequence
 
 from spikewatch.spec import RuleSet
 
-D = "CAST({} AS DOUBLE)"
-
 
 def units(metric: str, scale: int = 2) -> str:
     return f"CAST(FLOOR(CAST({metric} AS DOUBLE) * {float(10 ** scale)!r} + 0.5) AS BIGINT)"

@@ -2,7 +2,6 @@
 (row count, column names, exact values) on sf0.001."""
 
 import math
-import os
 
 import duckdb
 import pytest

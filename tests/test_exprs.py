@@ -4,7 +4,6 @@ import math
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from spikewatch.functions.exprs import (add_fixed_text, fixed_text, money_text, point_class_sql,
                                         point_label_sql, rule_names, slice_label)
