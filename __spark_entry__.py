@@ -116,7 +116,7 @@ def q_period_totals_day(spark, d):
 
 
 def q_period_totals_week(spark, d):
-    o = _t(spark, d, "orders").withColumn("o_week", week_start(F.col("o_orderdate")))
+    o = _t(spark, d, "orders").withColumn("o_week", week_start("o_orderdate"))
     return period_totals(o, WEEK_SPEC).select("o_week", _value("total_units"), "num_data_points")
 
 
@@ -258,7 +258,7 @@ def q_report_text(spark, d):
 
 
 def _weekly_analysis(spark, d) -> PeriodAnomalyAnalysis:
-    fact = _fact(spark, d).withColumn("o_week", week_start(F.col("o_orderdate")))
+    fact = _fact(spark, d).withColumn("o_week", week_start("o_orderdate"))
     return PeriodAnomalyAnalysis(fact, WEEKLY_FACT_SPEC, DETECT, SCREEN)
 
 
@@ -293,12 +293,12 @@ def q_overlay(spark, d):
 
 
 def q_events_hourly(spark, d):
-    e = _t(spark, d, "events").withColumn("hour", hour_start(F.col("ts")))
+    e = _t(spark, d, "events").withColumn("hour", hour_start("ts"))
     return detect(period_totals(e, EVENTS_SPEC), EVENTS_SPEC, EVENTS_RULES)
 
 
 def q_shipments_weekly(spark, d):
-    li = _t(spark, d, "lineitem").withColumn("l_week", week_start(F.col("l_shipdate")))
+    li = _t(spark, d, "lineitem").withColumn("l_week", week_start("l_shipdate"))
     spec = AnalysisSpec("l_week", "l_extendedprice")
     rules = DETECT.with_(jump_min_abs=50000.0, shift_min_abs=50000.0, z_cut=2.0)
     return detect(period_totals(li, spec), spec, rules)

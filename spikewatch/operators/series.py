@@ -90,10 +90,17 @@ def value_totals(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return agg.selectExpr(f"{variable} AS variable", f"{value} AS value", q(t), "total_units", "num_data_points")
 
 
-def week_start(ts: Column) -> Column:
-    """Monday of the week of ``ts`` as ``timestamp_ntz``."""
-    return F.date_trunc("week", ts).cast("timestamp_ntz")
-
-
-def hour_start(ts: Column) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+def week_start(name: str) -> Column:
+    """Monday 00:00 of the week of column ``name`` as ``timestamp_ntz``.
+    Computed on the wall clock (date arithmetic), so the session time zone
+    and its DST changes do not move the bucket, unlike ``date_trunc``."""
+    c = q(name)
+    return F.expr(f"CAST(date_sub(CAST({c} AS DATE), CAST(pmod(dayofweek({c}) + 5, 7) AS INT)) "
+                  f"AS TIMESTAMP_NTZ)")
+
+
+def hour_start(name: str) -> Column:
+    """The hour of column ``name`` as ``timestamp_ntz`` (wall clock, time-zone
+    free like ``week_start``)."""
+    c = q(name)
+    return F.expr(f"make_timestamp_ntz(year({c}), month({c}), day({c}), hour({c}), 0, 0)")

@@ -116,3 +116,20 @@ def test_config_and_job(spark):
     assert os.path.isdir(os.path.join(out, "service_week", "chart_points"))
     assert os.path.isdir(os.path.join(out, "EDA", "outlier_results", "series=outliers_betos_cd_T1H_pos_cd_81"))
     assert a.top_map == {"betos_cd": "T1H", "pos_cd": "81"}
+
+
+def test_time_buckets_ignore_session_time_zone(spark):
+    from spikewatch.operators import hour_start, week_start
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.sql("SELECT timestamp_ntz'2018-03-11 02:30:00' AS ts UNION ALL "
+                       "SELECT timestamp_ntz'2018-03-05 00:00:00' UNION ALL SELECT timestamp_ntz'2018-03-04 23:59:59'")
+        got = [(str(r.w), str(r.h)) for r in df.select(week_start("ts").alias("w"), hour_start("ts").alias("h"))
+               .collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [("2018-03-05 00:00:00", "2018-03-11 02:00:00"),
+                   ("2018-03-05 00:00:00", "2018-03-05 00:00:00"),
+                   ("2018-02-26 00:00:00", "2018-03-04 23:00:00")]
