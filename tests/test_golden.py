@@ -121,3 +121,13 @@ def test_eda_profile_reproduces_flags(spark, folder):
         bad = joined.filter(F.col(f"g.{n}").isNotNull() & (
             F.col(f"o.{n}").isNull() | (F.abs(F.col(f"g.{n}") - F.col(f"o.{n}")) > 1e-6 * (1 + F.abs(F.col(f"g.{n}"))))))
         assert bad.count() == 0, (n, bad.select("series", "service_week", f"g.{n}", f"o.{n}").take(5))
+
+
+@needs(os.path.join(REF, "input", "config.yml"))
+def test_reference_config_gives_the_weekly_spec():
+    from spikewatch.sources.config import load_config
+
+    source, spec = load_config(os.path.join(REF, "input", "config.yml"))
+    assert (source.format, dict(source.options)["delimiter"], dict(source.options)["header"]) == ("csv", ",", True)
+    assert (spec.time_col, spec.metric_col, spec.test_cols) == ("service_week", "paid_amount", TESTS)
+    assert spec.noun == "Weeks"

@@ -89,3 +89,13 @@ def test_top_as_dataframe_equals_collected(spark):
     lazy = sorted(map(tuple, subset_series(df, SPEC, a.top).collect()), key=str)
     lit = sorted(map(tuple, subset_series(df, SPEC, a.top_map).collect()), key=str)
     assert lazy == lit
+
+
+def test_describe_values_all_unknown_and_min(spark):
+    from spikewatch.operators import describe_values
+
+    rows = spark.createDataFrame([("c", "1"), ("c", None), ("c", "9"), ("d", "x")], "variable string, value string")
+    dims = spark.createDataFrame([("c", "1", "b-name"), ("c", "1", "a-name"), ("d", "y", "why")],
+                                 "variable string, value string, description string")
+    got = {(r.variable, r.value): r.description for r in describe_values(rows, dims).collect()}
+    assert got == {("c", "1"): "a-name", ("c", None): "All", ("c", "9"): "Unknown", ("d", "x"): "Unknown"}
