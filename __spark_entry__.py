@@ -163,6 +163,17 @@ def q_detect_series(spark, d):
     return _detect_day(spark, d)
 
 
+def q_detect_series_blocked(spark, d):
+    """The same series as detect_series, windows run in blocks of 64 days
+    with a halo (the form for very long time axes)."""
+    return detect(_day_series(spark, d), DAY_SPEC, DETECT, block_rows=64, bucket="year(o_orderdate)")
+
+
+def q_blocked_report_rows(spark, d):
+    a = PeriodAnomalyAnalysis(_fact(spark, d), FACT_SPEC, DETECT, SCREEN, block_rows=64)
+    return _types_text(ranked_findings(a.selected, FACT_SPEC))
+
+
 def q_detect_day(spark, d):
     return _detect_day(spark, d).filter(F.col("is_outlier"))
 
@@ -505,6 +516,8 @@ def oracle_sql() -> dict[str, str]:
         "rolling_stats": f"SELECT o_orderdate, total_metric, rolling_mean, rolling_std FROM ({rolled}) _r",
         "shift_means": f"SELECT o_orderdate, mean_prev, mean_next FROM ({rolled}) _r",
         "detect_series": _detect_day_sql(),
+        "detect_series_blocked": _detect_day_sql(),
+        "blocked_report_rows": _report_rows_sql(),
         "detect_day": f"SELECT * FROM ({_detect_day_sql()}) _d WHERE is_outlier",
         "z_flags": f"SELECT o_orderdate, z_score, rolling_std, is_outlier_z FROM ({_detect_day_sql()}) _d",
         "jump_flags": (f"SELECT o_orderdate, total_metric, prev_total_metric, is_outlier_metric "

@@ -17,9 +17,10 @@ derived from exact numbers and do not depend on the order rows arrive in.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.exprs import any_of_sql, dlit, q, units_to_value_sql
 from ..spec import GUARD_AFTER_Z, GUARD_BEFORE_Z, GUARD_NONE, AnalysisSpec, RuleSet
@@ -128,12 +129,73 @@ def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) ->
 
 
 def detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
-           key_cols: Sequence[str] = ()) -> DataFrame:
+           key_cols: Sequence[str] = (), block_rows: Optional[int] = None,
+           bucket: Optional[str] = None) -> DataFrame:
     """Windows + rules over a series with ``total_units`` and
-    ``num_data_points``; ``key_cols`` identify the slice (window partition)."""
+    ``num_data_points``; ``key_cols`` identify the slice (window partition).
+
+    ``block_rows`` switches to the blocked form for very long series (see
+    ``blocked_detect``); the result is identical."""
+    if block_rows is not None:
+        return blocked_detect(series, spec, rules, key_cols, block_rows, bucket)
     return apply_rules(rolling_columns(series, spec, rules, key_cols), rules, drop=("total_units",))
 
 
+def period_index(series: DataFrame, spec: AnalysisSpec, key_cols: Sequence[str] = (),
+                 bucket: Optional[str] = None) -> DataFrame:
+    """Adds ``_i``: the 0-based position of each period within its slice, in
+    time order, computed without ordering a whole slice in one task.
+
+    ``bucket`` is a SQL expression of the time column that never decreases
+    with time (default: the year for date / timestamp columns, the time value
+    itself otherwise).  Periods are numbered inside each bucket; each bucket's
+    offset is the running count of the earlier buckets, a window over one row
+    per (slice, bucket)."""
+    t = q(spec.time_col)
+    if bucket is None:
+        dtype = dict(series.dtypes)[spec.time_col]
+        bucket = f"year({t})" if dtype.startswith(("date", "timestamp")) else t
+    keys = [q(k) for k in key_cols]
+    part = ", ".join(keys)
+    with_b = series.selectExpr("*", f"{bucket} AS _b")
+    counts = with_b.groupBy(*key_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    over_b = f"OVER ({'PARTITION BY ' + part + ' ' if keys else ''}ORDER BY _b " \
+             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = counts.selectExpr(*keys, "_b", f"coalesce(sum(_n) {over_b}, 0) AS _off")
+    local = f"row_number() OVER (PARTITION BY {part + ', ' if keys else ''}_b ORDER BY {t}) - 1"
+    # Null-safe join: a NULL dimension value is a slice of its own.
+    offsets = offsets.selectExpr(*[f"{q(k)} AS {q('_k_' + k)}" for k in key_cols], "_b AS _kb", "_off")
+    cond = [with_b[k].eqNullSafe(offsets["_k_" + k]) for k in key_cols] + [with_b["_b"] == offsets["_kb"]]
+    joined = with_b.join(offsets, cond).drop(*["_k_" + k for k in key_cols], "_kb")
+    return joined.selectExpr("*", f"_off + {local} AS _i").drop("_b", "_off")
+
+
+def blocked_detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
+                   key_cols: Sequence[str] = (), block_rows: int = 4096,
+                   bucket: Optional[str] = None) -> DataFrame:
+    """``detect`` for series too long for one window task.
+
+    Periods are numbered (``period_index``) and cut into blocks of
+    ``block_rows``; every block also receives the ``h`` rows on each side
+    (``h`` = the widest frame reach), the ROWS frames run per (slice, block)
+    and each block keeps its own rows.  Frames never reach past the halo, so
+    the result equals the unblocked window."""
+    h = max(rules.half_window, rules.shift_span if rules.shift_enabled else 0, 1)
+    if block_rows < h:
+        raise ValueError(f"block_rows must be at least {h}")
+    idx = period_index(series, spec, key_cols, bucket)
+    b = block_rows
+    copies = (f"filter(array(named_struct('_blk', _i DIV {b}, '_own', true), "
+              f"named_struct('_blk', _i DIV {b} - 1, '_own', false), "
+              f"named_struct('_blk', _i DIV {b} + 1, '_own', false)), "
+              f"x -> x._own OR (x._blk = _i DIV {b} - 1 AND _i % {b} < {h}) "
+              f"OR (x._blk = _i DIV {b} + 1 AND _i % {b} >= {b - h}))")
+    spread = idx.selectExpr("*", f"inline({copies})")
+    # Ordering by time within (slice, block) equals ordering by _i.
+    out = detect(spread, spec, rules, [*key_cols, "_blk"])
+    return out.filter("_own").drop("_blk", "_own", "_i")
+
+
 def detect_slice(df: DataFrame, spec: AnalysisSpec, rules: RuleSet, values=None) -> DataFrame:
     """``detect`` on one slice of the fact table (``values``: F1 slice dict,
     ``None`` = all rows): the single-series form of the detector."""

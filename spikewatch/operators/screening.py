@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from .series import value_totals
 VALUE_KEYS = ("variable", "value")
 
 
-def value_series(df: DataFrame, spec: AnalysisSpec, rules: RuleSet = SCREEN) -> DataFrame:
+def value_series(df: DataFrame, spec: AnalysisSpec, rules: RuleSet = SCREEN,
+                 block_rows: Optional[int] = None) -> DataFrame:
     """Per-value series of every test column with the screening rules applied.
-    Window partitions are (variable, value): one task per value series."""
-    return detect(value_totals(df, spec), spec, rules, key_cols=VALUE_KEYS)
+    Window partitions are (variable, value): one task per value series (or
+    per block of one, with ``block_rows``)."""
+    return detect(value_totals(df, spec), spec, rules, key_cols=VALUE_KEYS, block_rows=block_rows)
 
 
 def anomaly_counts(screened: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ fact table nor depend on lost executors' shuffle files.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import Optional
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ from .report import report_lines
 
 class PeriodAnomalyAnalysis:
     def __init__(self, df: DataFrame, spec: AnalysisSpec, detect_rules: RuleSet = DETECT,
-                 screen_rules: RuleSet = SCREEN, materialize: bool = False):
+                 screen_rules: RuleSet = SCREEN, materialize: bool = False,
+                 block_rows: Optional[int] = None):
         if not spec.test_cols:
             raise ValueError("the analysis needs at least one test column")
         self.df = df
@@ -50,6 +52,9 @@ class PeriodAnomalyAnalysis:
         self.detect_rules = detect_rules
         self.screen_rules = screen_rules
         self.materialize = materialize
+        # Long time axes: run every series window in blocks of this many
+        # periods (identical results; see rules.blocked_detect).
+        self.block_rows = block_rows
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if not self.materialize:
@@ -65,7 +70,7 @@ class PeriodAnomalyAnalysis:
 
     @cached_property
     def screened(self) -> DataFrame:
-        return value_series(self.projected, self.spec, self.screen_rules)
+        return value_series(self.projected, self.spec, self.screen_rules, self.block_rows)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -95,7 +100,8 @@ class PeriodAnomalyAnalysis:
 
     @cached_property
     def detected(self) -> DataFrame:
-        return detect(self.lattice, self.spec, self.detect_rules, key_cols=["slice_ordinal"])
+        return detect(self.lattice, self.spec, self.detect_rules, key_cols=["slice_ordinal"],
+                      block_rows=self.block_rows)
 
     @cached_property
     def found(self) -> DataFrame:

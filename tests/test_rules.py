@@ -118,3 +118,17 @@ def test_partitioning_does_not_change_results(spark):
     a = detect(series(spark, xs), SPEC, DETECT, ["k"]).orderBy("t").collect()
     b = detect(series(spark, xs).repartition(5), SPEC, DETECT, ["k"]).orderBy("t").collect()
     assert a == b
+
+
+@pytest.mark.parametrize("block", [3, 4, 7, 50])
+def test_blocked_detect_equals_plain(spark, block):
+    xs = [float((i * 37) % 101) * 100 + (5000 if i % 17 == 0 else 0) for i in range(120)]
+    s = series(spark, xs, counts=[1 + i % 5 for i in range(120)])
+    plain = detect(s, SPEC, DETECT, ["k"]).orderBy("t").collect()
+    blocked = detect(s, SPEC, DETECT, ["k"], block_rows=block, bucket="t DIV 13").orderBy("t").collect()
+    assert [r.asDict() for r in plain] == [r.asDict() for r in blocked]
+
+
+def test_blocked_detect_rejects_tiny_blocks(spark):
+    with pytest.raises(ValueError):
+        detect(series(spark, [1.0, 2.0]), SPEC, DETECT, block_rows=2)
