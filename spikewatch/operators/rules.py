@@ -41,48 +41,72 @@ def rolling_columns(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
     """W1-W6 in one Window operator.  Adds ``total_metric``,
     ``prev_total_metric``, ``prev_num_data_points`` (raw lags), ``rolling_mean``,
     ``rolling_std`` (raw) and, when the shift rule is on, ``mean_prev`` /
-    ``mean_next``."""
+    ``mean_next``.
+
+    With an integer metric the frames are tiny (a few rows each side), so the
+    window operator only fetches neighbours with ``lag`` / ``lead`` (constant
+    work per row) and the frame sums run in a code-generated projection:
+    ``ROWS BETWEEN a PRECEDING AND b FOLLOWING`` over a column equals the
+    non-NULL values among its lags 1..a, the row and its leads 1..b -- the
+    neighbours past a partition edge are NULL, just as they are outside the
+    frame.  (Sliding frames would re-aggregate every frame row by row.)"""
     part = f"PARTITION BY {', '.join(q(k) for k in key_cols)} " if key_cols else ""
     order = f"{part}ORDER BY {q(spec.time_col)}"
     scale = spec.metric_scale
     u = "total_units"
-    sf = dlit(10 ** scale) if scale is not None else None
-
-    def over(lo, hi):
-        return f"OVER ({order} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})"
+    h = rules.half_window
+    k = rules.shift_span if rules.shift_enabled else 0
+    base = [f"{units_to_value_sql(u, scale)} AS total_metric",
+            f"{units_to_value_sql(f'lag({u}) OVER ({order})', scale)} AS prev_total_metric",
+            f"lag(num_data_points) OVER ({order}) AS prev_num_data_points"]
+    replaced = {"total_metric", "prev_total_metric", "prev_num_data_points", "rolling_mean", "rolling_std",
+                "mean_prev", "mean_next"}
+    keep = [q(c) for c in series.columns if c not in replaced]
+
+    if scale is None:  # doubles: built-in frame aggregates
+        def over(lo, hi):
+            return f"OVER ({order} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})"
+        cols = base + [f"avg({u}) {over(-h, h)} AS rolling_mean",
+                       f"stddev_samp({u}) {over(-h, h)} AS rolling_std"]
+        if k:
+            cols += [f"avg({u}) {over(-k, -1)} AS mean_prev", f"avg({u}) {over(1, k)} AS mean_next"]
+        return series.selectExpr(*keep, *cols)
+
+    reach = max(h, k)
+    nb = {j: f"_nb_m{-j}" if j < 0 else f"_nb_p{j}" for j in range(-reach, reach + 1) if j}
+    nb[0] = u
+    fetch = [f"lag({u}, {-j}) OVER ({order}) AS {nb[j]}" if j < 0 else f"lead({u}, {j}) OVER ({order}) AS {nb[j]}"
+             for j in sorted(nb) if j]
+    stage = series.selectExpr(*keep, *base, *fetch)
+    sf = dlit(10 ** scale)
+
+    def n_of(lo, hi):
+        return " + ".join(f"CASE WHEN {nb[j]} IS NULL THEN 0 ELSE 1 END" for j in range(lo, hi + 1))
+
+    def s1_of(lo, hi):
+        return " + ".join(f"coalesce({nb[j]}, 0)" for j in range(lo, hi + 1))
 
     def mean(lo, hi):
-        if scale is None:
-            return f"avg({u}) {over(lo, hi)}"
-        n, s1 = f"count({u}) {over(lo, hi)}", f"sum({u}) {over(lo, hi)}"
+        n, s1 = f"({n_of(lo, hi)})", f"({s1_of(lo, hi)})"
         return f"CASE WHEN {n} > 0 THEN CAST({s1} AS DOUBLE) / CAST({n} AS DOUBLE) / {sf} END"
 
     def std(lo, hi):
         """Sample standard deviation; NULL below two values.  With integer
         units n * sum(x^2) - sum(x)^2 is exact (and never negative)."""
-        if scale is None:
-            return f"stddev_samp({u}) {over(lo, hi)}"
-        n = f"count({u}) {over(lo, hi)}"
-        s1 = f"CAST(sum({u}) {over(lo, hi)} AS {_BIG})"
-        s2 = f"sum(CAST({u} AS {_BIG}) * CAST({u} AS {_BIG})) {over(lo, hi)}"
-        num = f"(CAST({n} AS {_BIG}) * {s2} - {s1} * {s1})"
+        n = f"({n_of(lo, hi)})"
+        s1 = f"CAST({s1_of(lo, hi)} AS {_BIG})"
+        s2 = " + ".join(f"coalesce(CAST({nb[j]} AS {_BIG}) * CAST({nb[j]} AS {_BIG}), CAST(0 AS {_BIG}))"
+                        for j in range(lo, hi + 1))
+        num = f"(CAST({n} AS {_BIG}) * ({s2}) - {s1} * {s1})"
         var = f"CAST({num} AS DOUBLE) / (CAST({n} AS DOUBLE) * CAST({n} - 1 AS DOUBLE))"
         return f"CASE WHEN {n} > 1 THEN SQRT({var}) / {sf} END"
 
-    h = rules.half_window
-    cols = [
-        f"{units_to_value_sql(u, scale)} AS total_metric",
-        f"{units_to_value_sql(f'lag({u}) OVER ({order})', scale)} AS prev_total_metric",
-        f"lag(num_data_points) OVER ({order}) AS prev_num_data_points",
-        f"{mean(-h, h)} AS rolling_mean",
-        f"{std(-h, h)} AS rolling_std",
-    ]
-    if rules.shift_enabled:
-        k = rules.shift_span
+    cols = [f"{mean(-h, h)} AS rolling_mean", f"{std(-h, h)} AS rolling_std"]
+    if k:
         cols += [f"{mean(-k, -1)} AS mean_prev", f"{mean(1, k)} AS mean_next"]
-    new = {c.rsplit(" AS ", 1)[1] for c in cols}
-    keep = [q(c) for c in series.columns if c not in new]
-    return series.selectExpr(*keep, *cols)
+    helpers = [nb[j] for j in nb if j]
+    out = stage.selectExpr("*", *cols)
+    return out.drop(*helpers)
 
 
 def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) -> DataFrame:
