@@ -151,3 +151,73 @@ def test_eda_profile_on_the_oldest_unsliced_series(spark):
     # the first row's blank is_outlier is a quirk of that file: ours is defined
     first = joined.orderBy("service_week").select(F.col("o.is_outlier").alias("x")).first()
     assert first.x is False
+
+
+def _parse_daily_blocks(text):
+    """Blocks of the daily golden report -> dict rows with the printed figures."""
+    rows = []
+    for block in text.split("Week: ")[1:]:
+        lines = [x for x in block.split("\n") if x]
+        row = {"service_date": lines[0], "types": [], "grouping": lines[2][len("Grouping: "):].split(", ")}
+        section = None
+        for ln in lines[4:]:
+            if not ln.startswith("  - "):
+                section = ln
+                row["types"].append({"Metric Anomaly:": "metric", "Change Point:": "change",
+                                     "Z-Score Anomaly:": "z_score"}[ln])
+                continue
+            label, val = ln[4:].split(": ", 1)
+            num = float(val.lstrip("$"))
+            key = {("Metric Anomaly:", "Total Cost"): "total_metric",
+                   ("Metric Anomaly:", "Previous Week Cost"): "prev_total_metric",
+                   ("Change Point:", "Total Cost"): "total_metric",
+                   ("Change Point:", "Previous Two Days Average Cost"): "mean_prev",
+                   ("Change Point:", "Next Two Days Average Cost"): "mean_next",
+                   ("Z-Score Anomaly:", "Total Cost"): "total_metric",
+                   ("Z-Score Anomaly:", "Rolling Mean"): "rolling_mean",
+                   ("Z-Score Anomaly:", "Standard Deviation"): "rolling_std",
+                   ("Z-Score Anomaly:", "Z-Score"): "z"}[(section, label)]
+            row[key] = num
+        rows.append(row)
+    return rows
+
+
+@needs(os.path.join(REF, "service_date", "outliers_summary.txt"))
+def test_daily_report_layout_round_trips(spark):
+    """The daily series is not shipped, so the daily report cannot be rebuilt
+    from data; instead its printed figures are fed back through the report
+    writer, which must reproduce every line (z-score lines to the rounding of
+    the printed inputs)."""
+    with open(f"{REF}/service_date/outliers_summary.txt", encoding="utf-8") as fh:
+        golden = fh.read()
+    parsed = _parse_daily_blocks(golden)
+    assert len(parsed) == 60 and len({r["service_date"] for r in parsed}) == 60
+    by_desc = {d: (c, code) for c, (code, d) in DESCRIPTIONS.items()}
+    data = []
+    for r in parsed:
+        codes = {c: None for c in TESTS}
+        for d in r["grouping"]:
+            if d != "All":
+                c, code = by_desc[d]
+                codes[c] = code
+        data.append((r["service_date"], codes["betos_cd"], codes["pos_cd"], codes["spec_cd"],
+                     r.get("total_metric"), r.get("prev_total_metric"), r.get("mean_prev"), r.get("mean_next"),
+                     r.get("rolling_mean"), r.get("rolling_std"), r["types"]))
+    schema = ("service_date string, betos_cd string, pos_cd string, spec_cd string, total_metric double, "
+              "prev_total_metric double, mean_prev double, mean_next double, rolling_mean double, "
+              "rolling_std double, anomaly_types array<string>")
+    spec = AnalysisSpec("service_date", "paid_amount", TESTS,
+                        {"betos_cd": "betos_desc", "pos_cd": "pos_desc", "spec_cd": "spec_desc"})
+    assert spec.noun == "Days"
+    df = spark.createDataFrame(data, schema).withColumn("service_date", F.col("service_date").cast("timestamp_ntz"))
+    df = df.withColumns({spec.desc_cols[c]: F.when(F.col(c).isNotNull(), F.lit(DESCRIPTIONS[c][1]))
+                         for c in TESTS}).withColumn("first_ordinal", F.lit(0))
+    lines = report_lines(df, spec, DETECT).orderBy("report_rank", "line_no").collect()
+    ours = "".join(r.value + "\n" for r in lines).split("\n")
+    want = golden.split("\n")
+    assert len(ours) == len(want)
+    for a, b in zip(ours, want):
+        if b.startswith("  - Z-Score: "):
+            assert abs(float(a.split(": ")[1]) - float(b.split(": ")[1])) <= 0.011, (a, b)
+        else:
+            assert a == b
