@@ -169,6 +169,13 @@ def q_detect_series_blocked(spark, d):
     return detect(_day_series(spark, d), DAY_SPEC, DETECT, block_rows=64, bucket="year(o_orderdate)")
 
 
+def q_materialized_report_rows(spark, d):
+    """report_rows with the two pass results checkpointed (lineage cut into
+    the session's checkpoint directory)."""
+    a = PeriodAnomalyAnalysis(_fact(spark, d), FACT_SPEC, DETECT, SCREEN, materialize=True)
+    return _types_text(ranked_findings(a.selected, FACT_SPEC))
+
+
 def q_blocked_report_rows(spark, d):
     a = PeriodAnomalyAnalysis(_fact(spark, d), FACT_SPEC, DETECT, SCREEN, block_rows=64)
     return _types_text(ranked_findings(a.selected, FACT_SPEC))
@@ -518,6 +525,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_series": _detect_day_sql(),
         "detect_series_blocked": _detect_day_sql(),
         "blocked_report_rows": _report_rows_sql(),
+        "materialized_report_rows": _report_rows_sql(),
         "detect_day": f"SELECT * FROM ({_detect_day_sql()}) _d WHERE is_outlier",
         "z_flags": f"SELECT o_orderdate, z_score, rolling_std, is_outlier_z FROM ({_detect_day_sql()}) _d",
         "jump_flags": (f"SELECT o_orderdate, total_metric, prev_total_metric, is_outlier_metric "
