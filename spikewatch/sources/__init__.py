@@ -1,5 +1,5 @@
 from .readers import read_csv, read_series_files, read_table, register_view
-from .sinks import write_profile, write_report, write_series
+from .sinks import write_profile, write_report, write_series, write_value_series
 
 __all__ = ["read_csv", "read_series_files", "read_table", "register_view",
-           "write_profile", "write_report", "write_series"]
+           "write_profile", "write_report", "write_series", "write_value_series"]

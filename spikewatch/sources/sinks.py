@@ -32,3 +32,11 @@ def write_series(detected: DataFrame, spec: AnalysisSpec, path: str, mode: str =
     named = detected.withColumn("series", series_name(spec.test_cols))
     (named.repartition("series").sortWithinPartitions("series", spec.time_col)
      .write.mode(mode).option("header", "true").partitionBy("series").csv(path))
+
+
+def write_value_series(screened: DataFrame, spec: AnalysisSpec, path: str, mode: str = "overwrite") -> None:
+    """S8 for the per-value series (screening output): one directory per
+    dimension and value (``variable=<column>/value=<code>``), rows in time
+    order -- the layout of the older per-value series files."""
+    (screened.repartition("variable", "value").sortWithinPartitions("variable", "value", spec.time_col)
+     .write.mode(mode).option("header", "true").partitionBy("variable", "value").csv(path))

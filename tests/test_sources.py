@@ -133,3 +133,20 @@ def test_time_buckets_ignore_session_time_zone(spark):
     assert got == [("2018-03-05 00:00:00", "2018-03-11 02:00:00"),
                    ("2018-03-05 00:00:00", "2018-03-05 00:00:00"),
                    ("2018-02-26 00:00:00", "2018-03-04 23:00:00")]
+
+
+@needs(SF001)
+def test_value_series_sink_round_trip(spark):
+    from spikewatch.operators import value_series
+    from spikewatch.sources import write_value_series
+
+    o = spark.read.parquet(f"{SF001}/orders.parquet")
+    spec = AnalysisSpec("o_orderdate", "o_totalprice", ("o_orderpriority", "o_orderstatus"))
+    screened = value_series(o, spec)
+    out = os.path.join(_tmp(), "values")
+    write_value_series(screened, spec, out)
+    assert {"variable=o_orderpriority", "variable=o_orderstatus"} <= set(os.listdir(out))
+    back = spark.read.option("header", "true").csv(out)
+    assert back.count() == screened.count()
+    assert {r.value for r in back.filter("variable = 'o_orderstatus'").select("value").distinct().collect()} == \
+        {r.o_orderstatus for r in o.select("o_orderstatus").distinct().collect()}
