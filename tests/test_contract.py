@@ -2,6 +2,7 @@
 (row count, column names, exact values) on sf0.001."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -46,3 +47,18 @@ def test_query_matches_oracle(spark, con, name):
     o_cols = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(o_cols)
     assert _norm([tuple(r) for r in df.collect()], df.columns) == _norm(cur.fetchall(), o_cols)
+
+
+@pytest.mark.parametrize("sf,want", [("0.001", (4, 393, 233)), ("0.01", (5, 300, 162)), ("0.1", (5, 0, 0))])
+def test_unsliced_daily_flag_counts(spark, sf, want):
+    """Flag counts (z / jump / shift) of the unsliced daily order series, as
+    computed independently in DuckDB when the blueprint was written."""
+    from pyspark.sql import functions as F
+
+    d = f"/root/testdata/sf{sf}"
+    if not os.path.exists(d):
+        pytest.skip(f"{d} not present")
+    r = E.q_detect_series(spark, d).agg(
+        *[F.sum(F.col(c).cast("int")).alias(c) for c in ["is_outlier_z", "is_outlier_metric", "change_point"]]
+    ).first()
+    assert (r.is_outlier_z, r.is_outlier_metric, r.change_point) == want
