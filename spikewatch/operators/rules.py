@@ -154,14 +154,14 @@ def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) ->
 
 def detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
            key_cols: Sequence[str] = (), block_rows: Optional[int] = None,
-           bucket: Optional[str] = None) -> DataFrame:
+           bucket: Optional[str] = None, checkpoint_input: bool = True) -> DataFrame:
     """Windows + rules over a series with ``total_units`` and
     ``num_data_points``; ``key_cols`` identify the slice (window partition).
 
     ``block_rows`` switches to the blocked form for very long series (see
     ``blocked_detect``); the result is identical."""
     if block_rows is not None:
-        return blocked_detect(series, spec, rules, key_cols, block_rows, bucket)
+        return blocked_detect(series, spec, rules, key_cols, block_rows, bucket, checkpoint_input)
     return apply_rules(rolling_columns(series, spec, rules, key_cols), rules, drop=("total_units",))
 
 
@@ -196,17 +196,27 @@ def period_index(series: DataFrame, spec: AnalysisSpec, key_cols: Sequence[str]
 
 def blocked_detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
                    key_cols: Sequence[str] = (), block_rows: int = 4096,
-                   bucket: Optional[str] = None) -> DataFrame:
+                   bucket: Optional[str] = None, checkpoint_input: bool = True) -> DataFrame:
     """``detect`` for series too long for one window task.
 
     Periods are numbered (``period_index``) and cut into blocks of
     ``block_rows``; every block also receives the ``h`` rows on each side
     (``h`` = the widest frame reach), the ROWS frames run per (slice, block)
     and each block keeps its own rows.  Frames never reach past the halo, so
-    the result equals the unblocked window."""
+    the result equals the unblocked window.
+
+    The series feeds two branches (bucket counts and rows), so by default it
+    is checkpointed first (reliable checkpoint in the session's checkpoint
+    directory): the upstream aggregation then runs once.  Pass
+    ``checkpoint_input=False`` when the series is already materialized."""
     h = max(rules.half_window, rules.shift_span if rules.shift_enabled else 0, 1)
     if block_rows < h:
         raise ValueError(f"block_rows must be at least {h}")
+    if checkpoint_input:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(series.sparkSession)
+        series = series.checkpoint(eager=True)
     idx = period_index(series, spec, key_cols, bucket)
     b = block_rows
     copies = (f"filter(array(named_struct('_blk', _i DIV {b}, '_own', true), "

@@ -101,7 +101,7 @@ class PeriodAnomalyAnalysis:
     @cached_property
     def detected(self) -> DataFrame:
         return detect(self.lattice, self.spec, self.detect_rules, key_cols=["slice_ordinal"],
-                      block_rows=self.block_rows)
+                      block_rows=self.block_rows, checkpoint_input=not self.materialize)
 
     @cached_property
     def found(self) -> DataFrame:
