@@ -36,3 +36,18 @@ def test_empty_input_gives_header_only(spark):
     assert a.top_map == {}
     lines = [r.value for r in a.report.orderBy("report_rank", "line_no").collect()]
     assert lines == header_lines(2.1) + [""]
+
+
+def test_role_projection_and_detect_slice(spark):
+    from pyspark.sql import functions as F
+
+    from spikewatch import DETECT
+    from spikewatch.operators import detect, detect_slice, period_totals, role_projection
+
+    rows = [(f"2020-{w:02d}", float(w * 10), "A" if w % 2 else "B", w % 3) for w in range(1, 30)]
+    df = _fact(spark, rows)
+    proj = role_projection(df, SPEC)
+    assert proj.columns == ["week", "total_metric", "code", "place"]
+    one = detect_slice(df, SPEC, DETECT, {"code": "A", "place": None})
+    want = detect(period_totals(df.filter(F.col("code") == "A"), SPEC), SPEC, DETECT)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, want.collect()))
