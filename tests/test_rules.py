@@ -132,3 +132,23 @@ def test_blocked_detect_equals_plain(spark, block):
 def test_blocked_detect_rejects_tiny_blocks(spark):
     with pytest.raises(ValueError):
         detect(series(spark, [1.0, 2.0]), SPEC, DETECT, block_rows=2)
+
+
+def test_float_metric_path_matches_exact_path(spark):
+    from spikewatch.operators import period_totals
+
+    rows = [(i % 40, float((i * 7919) % 1000) / 4 + (3000 if i % 97 == 0 else 0)) for i in range(800)]
+    df = spark.createDataFrame(rows, "t int, m double")
+    exact = AnalysisSpec("t", "m")
+    floats = AnalysisSpec("t", "m", metric_scale=None)
+    a = detect(period_totals(df, exact), exact, DETECT).orderBy("t").collect()
+    b = detect(period_totals(df, floats), floats, DETECT).orderBy("t").collect()
+    assert len(a) == len(b) == 40
+    for x, y in zip(a, b):
+        for c in ("total_metric", "rolling_mean", "rolling_std", "mean_prev", "mean_next", "z_score"):
+            if x[c] is None:
+                assert y[c] is None
+            else:
+                assert y[c] == pytest.approx(x[c], rel=1e-9, abs=1e-9)
+        for c in ("is_outlier_z", "is_outlier_metric", "change_point", "is_outlier"):
+            assert x[c] == y[c]
