@@ -118,6 +118,10 @@ class AnalysisSpec:
             raise ValueError(f"description given for non-test columns: {sorted(unknown)}")
         if len(set(self.test_cols)) != len(self.test_cols):
             raise ValueError("test columns must be distinct")
+        if {self.time_col, self.metric_col} & set(self.test_cols):
+            raise ValueError("the time and metric columns cannot also be test columns")
+        if self.metric_scale is not None and not 0 <= self.metric_scale <= 6:
+            raise ValueError("metric_scale must be within 0..6 or None")
 
     @property
     def noun(self) -> str:

@@ -51,3 +51,18 @@ def test_role_projection_and_detect_slice(spark):
     one = detect_slice(df, SPEC, DETECT, {"code": "A", "place": None})
     want = detect(period_totals(df.filter(F.col("code") == "A"), SPEC), SPEC, DETECT)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_spec_validation():
+    import pytest
+
+    with pytest.raises(ValueError):
+        AnalysisSpec("week", "amount", ("week",))
+    with pytest.raises(ValueError):
+        AnalysisSpec("week", "amount", ("code", "code"))
+    with pytest.raises(ValueError):
+        AnalysisSpec("week", "amount", ("code",), {"place": "place_desc"})
+    with pytest.raises(ValueError):
+        AnalysisSpec("week", "amount", metric_scale=9)
+    assert [s for s in AnalysisSpec("w", "m", ("a", "b", "c")).subsets()] == \
+        [(), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]
