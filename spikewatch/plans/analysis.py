@@ -16,11 +16,10 @@ Two actions run the whole analysis: the screening pass ends in the top
 values (at most one per test column, collected as lattice parameters), then
 the lattice pass.  The fact table is read twice in total, however many test
 columns there are (the reference runs k + 2^k scans).  Everything downstream
-of the two scans is
-small (values x periods and 2^k x periods rows).  With ``materialize=True``
-those two small results are checkpointed into the cluster's checkpoint
-directory, so later actions (report, charts, findings) neither re-scan the
-fact table nor depend on lost executors' shuffle files.
+of the two scans is small (values x periods and 2^k x periods rows).  With
+``materialize=True`` those two small results are checkpointed into the
+cluster's checkpoint directory, so later actions (report, charts, findings)
+neither re-scan the fact table nor depend on lost executors' shuffle files.
 """
 
 from __future__ import annotations
