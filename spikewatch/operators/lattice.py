@@ -48,6 +48,8 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mappi
     t = spec.time_col
     tests = list(spec.test_cols)
     k = len(tests)
+    if not k:
+        raise ValueError("the subset lattice needs at least one test column")
     described = [i for i, c in enumerate(tests) if c in spec.desc_cols]
 
     if isinstance(top, DataFrame):
