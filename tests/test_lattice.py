@@ -99,3 +99,15 @@ def test_describe_values_all_unknown_and_min(spark):
                                  "variable string, value string, description string")
     got = {(r.variable, r.value): r.description for r in describe_values(rows, dims).collect()}
     assert got == {("c", "1"): "a-name", ("c", None): "All", ("c", "9"): "Unknown", ("d", "x"): "Unknown"}
+
+
+def test_value_totals_add_up_to_period_totals(spark):
+    from spikewatch.operators import value_totals
+
+    df = fact(spark)
+    overall = {r.o_orderdate: (r.total_units, r.num_data_points) for r in period_totals(df, SPEC).collect()}
+    per_var = (value_totals(df, SPEC).groupBy("variable", "o_orderdate")
+               .agg(F.sum("total_units").alias("u"), F.sum("num_data_points").alias("n")).collect())
+    assert len(per_var) == len(TESTS) * len(overall)
+    for r in per_var:
+        assert (r.u, r.n) == overall[r.o_orderdate]
