@@ -32,7 +32,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     session without any setting (tests) gets a fresh directory under the
     system temp folder; on a cluster a missing setting is an error, because a
     machine-local folder would not survive the loss of that machine."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
