@@ -221,3 +221,18 @@ def test_daily_report_layout_round_trips(spark):
             assert abs(float(a.split(": ")[1]) - float(b.split(": ")[1])) <= 0.011, (a, b)
         else:
             assert a == b
+
+
+def test_weekly_report_file_written_by_the_sink(spark):
+    import tempfile
+
+    from spikewatch.sources import write_report
+
+    lattice = subset_lattice(spark)
+    selected = most_specific(findings(detect(lattice, SPEC, DETECT, ["slice_ordinal"])), SPEC)
+    out = os.path.join(tempfile.mkdtemp(prefix="spikewatch-golden-"), "service_week")
+    write_report(report_lines(selected, SPEC, DETECT), out)
+    parts = [f for f in os.listdir(out) if f.startswith("part-")]
+    assert len(parts) == 1
+    with open(os.path.join(out, parts[0]), "rb") as fh, open(f"{REF}/service_week/outliers_summary.txt", "rb") as g:
+        assert fh.read() == g.read()
