@@ -112,10 +112,13 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mappi
         "total_units", "num_data_points",
     )
     # One description per slice and column (constant over the periods).
+    # Same partitioning and order as the detection windows that follow, so
+    # both share one sort.
+    whole_slice = (f"OVER (PARTITION BY slice_ordinal ORDER BY {q(t)} "
+                   f"ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
     return out.selectExpr(
         q(t), *[q(c) for c in tests],
-        *[f"min({_dtag(i)}) OVER (PARTITION BY slice_ordinal) AS {q(spec.desc_cols[tests[i]])}"
-          for i in described],
+        *[f"min({_dtag(i)}) {whole_slice} AS {q(spec.desc_cols[tests[i]])}" for i in described],
         "n_keys", "slice_ordinal", "total_units", "num_data_points",
         f"{slice_label_sql(tests)} AS slice_key",
     )
