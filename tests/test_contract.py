@@ -40,9 +40,16 @@ def _norm(rows, cols):
     return sorted((tuple(v(r[i]) for i in order) for r in rows), key=lambda t: tuple(map(str, t)))
 
 
+# Spark simple type -> DuckDB type name, for the schema part of the check.
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
+    rel = con.sql(E.oracle_sql()[name])
+    assert {c: DUCK_TYPES.get(t, t) for c, t in df.dtypes} == dict(zip(rel.columns, map(str, rel.types)))
     cur = con.execute(E.oracle_sql()[name])
     o_cols = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(o_cols)
