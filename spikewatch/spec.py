@@ -45,6 +45,16 @@ class RuleSet:
     backfill_first: bool = True
     zero_mean_guard: str = GUARD_AFTER_Z
 
+    def __post_init__(self):
+        if self.half_window < 1 or self.shift_span < 1:
+            raise ValueError("half_window and shift_span must be at least 1")
+        if self.zero_mean_guard not in (GUARD_NONE, GUARD_AFTER_Z, GUARD_BEFORE_Z):
+            raise ValueError(f"unknown zero_mean_guard {self.zero_mean_guard!r}")
+        for name in ("jump_up", "shift_ratio", "count_ratio"):
+            v = getattr(self, name)
+            if v is not None and v <= 0:
+                raise ValueError(f"{name} must be positive")
+
     def with_(self, **changes) -> "RuleSet":
         return replace(self, **changes)
 

@@ -66,3 +66,17 @@ def test_spec_validation():
         AnalysisSpec("week", "amount", metric_scale=9)
     assert [s for s in AnalysisSpec("w", "m", ("a", "b", "c")).subsets()] == \
         [(), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]
+
+
+def test_ruleset_validation():
+    import pytest
+
+    from spikewatch import DETECT
+
+    with pytest.raises(ValueError):
+        DETECT.with_(half_window=0)
+    with pytest.raises(ValueError):
+        DETECT.with_(zero_mean_guard="sometimes")
+    with pytest.raises(ValueError):
+        DETECT.with_(shift_ratio=0.0)
+    assert DETECT.with_(z_cut=None).z_cut is None
