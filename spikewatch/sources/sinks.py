@@ -37,6 +37,9 @@ def write_series(detected: DataFrame, spec: AnalysisSpec, path: str, mode: str =
 def write_value_series(screened: DataFrame, spec: AnalysisSpec, path: str, mode: str = "overwrite") -> None:
     """S8 for the per-value series (screening output): one directory per
     dimension and value (``variable=<column>/value=<code>``), rows in time
-    order -- the layout of the older per-value series files."""
+    order -- the layout of the older per-value series files.  That is one
+    directory per value: meant for dimensions of modest cardinality; for
+    high-cardinality codes write ``screened`` as one partitioned table
+    instead."""
     (screened.repartition("variable", "value").sortWithinPartitions("variable", "value", spec.time_col)
      .write.mode(mode).option("header", "true").partitionBy("variable", "value").csv(path))
