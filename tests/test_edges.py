@@ -80,3 +80,28 @@ def test_ruleset_validation():
     with pytest.raises(ValueError):
         DETECT.with_(shift_ratio=0.0)
     assert DETECT.with_(z_cut=None).z_cut is None
+
+
+def test_chart_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from spikewatch import DETECT, EDA
+    from spikewatch.operators import detect
+    from spikewatch.plans import chart
+
+    rows = [("s", i, (100000 if i in (10, 20) else 1000 + i) * 100, 5 + (30 if i == 15 else 0)) for i in range(30)]
+    series = spark.createDataFrame(rows, "k string, t int, total_units bigint, num_data_points bigint")
+    spec = AnalysisSpec("t", "m")
+    det = detect(series, spec, DETECT, ["k"])
+    b = chart.bands(det, DETECT, width=1.5).filter("t = 5").first()
+    assert b.lower_bound == b.rolling_mean - 1.5 * b.rolling_std
+    assert b.upper_bound == b.rolling_mean + 1.5 * b.rolling_std
+    eda = detect(series, spec, EDA, ["k"])
+    hits = chart.flag_filter(eda, "is_outlier_count").select("t").collect()
+    assert {r.t for r in hits} == {15, 16}
+    multi = chart.multi_rule(eda, ["is_outlier_z", "is_outlier_metric", "is_outlier_count"], min_rules=2)
+    assert all(r.n_rules >= 2 for r in multi.collect())
+    lat = det.withColumns({"slice_ordinal": F.lit(0), "slice_key": F.lit("all")})
+    ov = chart.overlay(lat, AnalysisSpec("t", "m", ("k",)), ordinals=[0])
+    assert ov.columns == ["series", "t", "total_metric", "rolling_mean", "rolling_std", "is_outlier"]
+    assert ov.count() == 30
