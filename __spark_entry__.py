@@ -10,7 +10,11 @@ Fixture used throughout: the fact table is ``orders`` joined to ``customer``
 and ``nation``; the time axis is ``o_orderdate`` (days), the metric
 ``o_totalprice`` (money, two decimals) and the test variables
 ``o_orderpriority``, ``c_nationkey`` (described by ``n_name``) and
-``c_mktsegment``.
+``c_mktsegment``.  Query groups: profile (R1), period and slice totals (A1,
+A2, F1), windows and rules (W1-W6, D1-D8; DETECT, EDA and event profiles),
+screening (A4, A6), the lattice and its findings (A7-A10, W7, O0, J1), the
+report and chart tables (R2, R3, O1-O6), and the same analysis run weekly,
+in blocked windows and checkpointed -- each checked by the same oracle.
 """
 
 from __future__ import annotations
