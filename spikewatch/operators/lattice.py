@@ -22,6 +22,10 @@ from ..functions.exprs import all_of_sql, metric_units_sql, q, slice_label_sql,
 from ..spec import AnalysisSpec
 
 
+# 2^10 = 1024 subsets: grouping sets and the subset -> ordinal map stay small.
+MAX_TEST_COLS = 10
+
+
 def _tag(i: int) -> str:
     return f"_top{i}"
 
@@ -50,6 +54,9 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mappi
     k = len(tests)
     if not k:
         raise ValueError("the subset lattice needs at least one test column")
+    if k > MAX_TEST_COLS:
+        raise ValueError(f"the subset lattice has 2^k slices; at most {MAX_TEST_COLS} test columns "
+                         f"(got {k}) -- screen fewer dimensions")
     described = [i for i, c in enumerate(tests) if c in spec.desc_cols]
 
     if isinstance(top, DataFrame):

@@ -105,3 +105,15 @@ def test_chart_helpers(spark):
     ov = chart.overlay(lat, AnalysisSpec("t", "m", ("k",)), ordinals=[0])
     assert ov.columns == ["series", "t", "total_metric", "rolling_mean", "rolling_std", "is_outlier"]
     assert ov.count() == 30
+
+
+def test_lattice_rejects_too_many_test_columns(spark):
+    import pytest
+
+    from spikewatch.operators import subset_series
+
+    cols = [f"c{i}" for i in range(11)]
+    df = spark.createDataFrame([tuple(["w", 1.0] + ["x"] * 11)], ", ".join(["week string", "amount double"] +
+                                                                            [f"{c} string" for c in cols]))
+    with pytest.raises(ValueError):
+        subset_series(df, AnalysisSpec("week", "amount", cols), {})
