@@ -150,3 +150,34 @@ def test_value_series_sink_round_trip(spark):
     assert back.count() == screened.count()
     assert {r.value for r in back.filter("variable = 'o_orderstatus'").select("value").distinct().collect()} == \
         {r.o_orderstatus for r in o.select("o_orderstatus").distinct().collect()}
+
+
+def test_command_line_job():
+    import subprocess
+    import sys
+
+    import yaml
+
+    d = _tmp()
+    data = os.path.join(d, "data.csv")
+    rows = ["service_week,betos_cd,paid_amount"]
+    for w in range(1, 25):
+        rows += [f"2019-{w:02d},T1H,{100.0 * w + (50000.0 if w == 12 else 0.0)}", f"2019-{w:02d},T1A,{40.0 * w}"]
+    with open(data, "w") as fh:
+        fh.write("\n".join(rows) + "\n")
+    cfg = os.path.join(d, "config.yml")
+    with open(cfg, "w") as fh:
+        yaml.safe_dump({"dataset": {"format": "csv", "delimiter": ",", "header": True},
+                        "variables": {"service_week": {"time_variable": True}, "betos_cd": {"test_variable": True},
+                                      "paid_amount": {"metric_variable": True}}}, fh)
+    out = os.path.join(d, "out")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, PYTHONPATH=root + os.pathsep + os.environ.get("PYTHONPATH", ""))
+    res = subprocess.run([sys.executable, "-m", "spikewatch", "--config", cfg, "--data", data, "--out", out],
+                         cwd=d, env=env, capture_output=True, text=True, timeout=600)
+    assert res.returncode == 0, res.stderr[-2000:]
+    rep = os.path.join(out, "service_week", "outliers_summary")
+    part = [f for f in os.listdir(rep) if f.startswith("part-")][0]
+    with open(os.path.join(rep, part)) as fh:
+        text = fh.read()
+    assert text.startswith("ANOMALY REPORT SUMMARY\n") and "Week: 2019-12" in text
