@@ -69,3 +69,20 @@ def test_unsliced_daily_flag_counts(spark, sf, want):
         *[F.sum(F.col(c).cast("int")).alias(c) for c in ["is_outlier_z", "is_outlier_metric", "change_point"]]
     ).first()
     assert (r.is_outlier_z, r.is_outlier_metric, r.change_point) == want
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF001, BENCH_CPUS="4")
+    res = subprocess.run([sys.executable, os.path.join(root, "bench.py")], cwd=root, env=env,
+                         capture_output=True, text=True, timeout=900)
+    assert res.returncode == 0, res.stderr[-2000:]
+    lines = [ln for ln in res.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1
+    out = json.loads(lines[0])
+    assert out["unit"] == "sec" and out["sf"] == 0.001 and out["value"] > 0
+    assert set(out["queries"]) >= {"report_text", "most_specific", "detect_day"}
