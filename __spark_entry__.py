@@ -39,6 +39,14 @@ from spikewatch.plans import chart  # noqa: E402
 from spikewatch.plans.report import grouping_text  # noqa: E402
 from spikewatch.spec import GUARD_AFTER_Z, GUARD_BEFORE_Z  # noqa: E402
 
+try:  # the training-data operators and their pipeline, if they are there
+    import corpus_pipeline
+    from spikewatch.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "spikewatch.llm", "spikewatch.llm.queries"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 TESTS = ("o_orderpriority", "c_nationkey", "c_mktsegment")
@@ -338,7 +346,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    if llm_queries is None:
+        return dict(_QUERIES)
+    return {**_QUERIES, **llm_queries.queries(), "pipeline": corpus_pipeline.run}
 
 
 # --------------------------------------------------------------------------- oracles
@@ -510,7 +520,7 @@ def oracle_sql() -> dict[str, str]:
     ms = _most_specific_sql()
     base = _base_sql()
     shipments_rules = DETECT.with_(jump_min_abs=50000.0, shift_min_abs=50000.0, z_cut=2.0)
-    return {
+    own = {
         "null_profile": f"SELECT ordinal, column_name, null_count FROM ({prof}) _p",
         "type_profile": f"SELECT ordinal, column_name, data_type FROM ({prof}) _p",
         "data_profile": _orders_profile_rows("customer", _CUSTOMER_COLS),
@@ -587,3 +597,7 @@ def oracle_sql() -> dict[str, str]:
         "weekly_report_text": _report_text_sql(WEEK_FACT, "o_week", "Weeks"),
         "shipments_weekly": O.detect_sql(li_week, "l_week", shipments_rules),
     }
+    if llm_queries is None:
+        return own
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**own, **llm_queries.oracle_sql(), **whole}
