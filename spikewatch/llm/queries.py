@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikewatch.llm import mixing, packing, pii, quality, sharding, simhash_dedup, toxicity
+from spikewatch.llm import fingerprints, kdtree, lm, mixing, packing, pii, quality, sharding, simhash_dedup, toxicity
 from spikewatch.llm.common import read_documents
 
 
@@ -16,6 +16,26 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_kdtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return kdtree.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, times=256.0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.near_duplicates(read_documents(spark, sf_dir), shingle=3, seed=42, max_bits=3)
     return rows.select(F.col("id").alias("doc_id"), simhash_dedup.hex16(F.col("fp")).alias("fingerprint"),
@@ -26,6 +46,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_documents(spark, sf_dir), _labels(spark, sf_dir), threshold=0.7, parts=3, kept_out=1)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprints(read_documents(spark, sf_dir), bits=256)
+    near = fingerprints.with_neighbours(rows, F.col("doc_id") % 100 == 0, radius=7, blocks=8, bits=256)
+    text = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return near.select("doc_id", "n_chars", "edited_sha256", *text, "near_edited", "near_next", "near_docs")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(read_documents(spark, sf_dir), carry=["doc_id"])
     return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -39,6 +66,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_documents(spark, sf_dir), _labels(spark, sf_dir), threshold=0.3, parts=5, kept_out=0)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_documents(spark, sf_dir), parts=5, kept_out=1)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(read_documents(spark, sf_dir), packing.public_bpe(), window=2048, end_id=1, with_ids=False)
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -53,8 +84,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_toxicity, op5_mixing, op6_pii, op7_quality, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (
+        op1_kdtree_search, op2_simhash_dedup, op3_toxicity, op4_fingerprints, op5_mixing, op6_pii, op7_quality,
+        op8_language_model, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_kdtree_search": OP1_SQL}
