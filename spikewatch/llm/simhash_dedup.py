@@ -69,18 +69,22 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:])]
 
 
+def _signed(mask: int) -> str:
+    """An unsigned 64-bit mask as a SQL long."""
+    return f"cast('{mask - (1 << 64) if mask >> 63 else mask}' AS bigint)"
+
+
 def variants(fps: DataFrame, max_bits: int) -> DataFrame:
     """One row (``seg``, ``bit``, ``key``, ``fp``) per segment and deleted bit."""
     each = []
     for s, (low, width) in enumerate(segments(max_bits)):
-        mask = (1 << width) - 1
-        field = f"(shiftrightunsigned(fp, {low}) & {mask if mask < 1 << 63 else -1}L)"
-        each += [f"struct({s} AS seg, {j} AS bit, {field} & {~(1 << j)}L AS key)" for j in range(width)]
+        field = f"(shiftrightunsigned(fp, {low}) & {_signed((1 << width) - 1)})"
+        each += [f"struct({s} AS seg, {j} AS bit, {field} & {_signed((1 << 64) - 1 - (1 << j))} AS key)" for j in range(width)]
     return fps.select("fp", F.explode(F.expr(f"array({', '.join(each)})")).alias("v")).select("v.*", "fp")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    return np.bitwise_count((a ^ b).view(np.uint64))  # signed numbers would count the bits of their absolute value
 
 
 def _forest(fps: np.ndarray, max_bits: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,8 +211,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = 4096) -> D
         step = -(-len(outside) // (max_bits + 1))
         for c in range(max_bits + 1):
             mask = sum(1 << i for i in outside[c * step:(c + 1) * step])
-            mask -= (mask >> 63) << 64
-            cuts.append(f"struct({s} AS s, {c} AS chunk, fp & {mask}L AS part)")
+            cuts.append(f"struct({s} AS s, {c} AS chunk, fp & {_signed(mask)} AS part)")
     finer = over.select("seg", "bit", "key", "fp", F.explode(F.expr(f"filter(array({', '.join(cuts)}), x -> x.s = seg)")).alias("c"))
     finer = finer.select("seg", "bit", "key", "c.chunk", "c.part", "fp")
     keys = ["seg", "bit", "key", "chunk", "part"]
