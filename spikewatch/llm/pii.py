@@ -264,6 +264,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per row: the id, the number of base spans of each kind, the SHA-256 of
     the base spans as text, and all spans as text."""
     df = find(docs, **options)
-    counts = [F.size(F.filter("base", lambda b, k=k: b["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform("base", lambda b: b["k"])
+    counts = [F.size(F.array_remove(kinds, k)).cast("long") for k in range(len(KINDS))]
+    counts = [(F.size(kinds) - n).alias(f"n_{name}") for n, name in zip(counts, KINDS)]
     return df.select(F.col(f"doc.`{id_col}`").alias("doc_id"), *counts, F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                      as_text(F.col("spans")).alias("spans"))
