@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame, bits: int = 256, *, id_col: str = "doc_id", te
     after = parts.select(F.col("part").alias("own_part"), F.coalesce(
         F.lead("part").over(whole), F.first("part").over(whole.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
     ends = seen.where("edge = 'last'").join(after, F.col("part") == F.col("own_part")).join(starts, F.col("after") == F.col("next_part"))
-    edges = ends.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInPandas(meet, _ROW)
+    edges = cut(ends.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInPandas(meet, _ROW))
     return inner.union(edges)
 
 
@@ -182,21 +182,26 @@ def _tables(fps: DataFrame, bits: int, radius: int, blocks: int) -> DataFrame:
     return fps.select("*", F.explode(F.array(*keys)).alias("at")).select(*fps.columns, "at.table", "at.key")
 
 
+def differing(a: str, b: str, bits: int) -> Column:
+    """Differing bits of two binary columns, seven bytes at a time."""
+    total = F.lit(0)
+    for at in range(1, bits // 8 + 1, 7):
+        one, other = (F.conv(F.hex(F.substring(c, at, 7)), 16, 10).cast("long") for c in (a, b))
+        total = total + F.bit_count(one.bitwiseXOR(other))
+    return total
+
+
 def within(fps: DataFrame, queries: DataFrame, radius: int = 7, blocks: int = 8, bits: int = 256) -> DataFrame:
     """All pairs (``query``, ``fp``, ``differ``) of a fingerprint in
     ``queries.query`` and one in ``fps.fp``, both distinct, that differ in at
     most ``radius`` bits; a query that is in ``fps`` finds itself.  Texts with
     equal fingerprints are one entry, which the caller counts."""
 
-    @F.pandas_udf("int")
-    def hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([(int.from_bytes(x) ^ int.from_bytes(y)).bit_count() for x, y in zip(a, b)], dtype="int32")
-
     index = _tables(fps.select("fp"), bits, radius, blocks)
     asked = _tables(queries.select(F.col("query").alias("fp")), bits, radius, blocks) \
         .select(F.col("fp").alias("query"), F.col("table").alias("t"), F.col("key").alias("k"))
     met = asked.join(index, (F.col("t") == F.col("table")) & (F.col("k") == F.col("key"))).select("query", "fp").distinct()
-    return met.withColumn("differ", hamming("query", "fp")).where(F.col("differ") <= radius)
+    return met.withColumn("differ", differing("query", "fp", bits)).where(F.col("differ") <= radius)
 
 
 def with_neighbours(rows: DataFrame, queries: Column, radius: int = 7, blocks: int = 8, bits: int = 256) -> DataFrame:
