@@ -1,0 +1,62 @@
+import zlib
+
+import numpy as np
+import pytest
+from cases import none, odd, same_rows  # noqa: F401
+from conftest import SF001
+from pyspark.sql import functions as F
+
+from spikewatch.llm import sharding
+from spikewatch.llm.queries import op10_sharding
+
+
+def check(places, n, shards):
+    counts = np.bincount([s for s, _ in places], minlength=shards)
+    assert len(places) == n and len(counts) == shards and counts.max() - counts.min() <= 1
+    for s in range(shards):
+        assert sorted(p for k, p in places if k == s) == list(range(counts[s]))
+
+
+@pytest.mark.parametrize("shards,bucket", [(40, 8 << 20), (7, 2000), (1, 500), (3, 1)])
+def test_odd_rows(odd, none, shards, bucket):
+    out = sharding.shard(odd, shards, bucket_bytes=bucket)
+    check([(r.shard, r.slot) for r in out.collect()], odd.count(), shards)
+    assert same_rows(out.select("doc.*"), odd)
+    assert sharding.shard(none, shards).collect() == []
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    rows = op10_sharding(spark, SF001).collect()
+    check([(r.shard, r.slot) for r in rows], len(docs), 40)
+    for r in rows:
+        raw = docs[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+
+
+def test_reruns_agree_and_seeds_differ(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 50).alias("text"))
+    order = lambda **o: [r.doc.doc_id for r in sharding.shard(docs, 8, bucket_bytes=5000, **o).orderBy("shard", "slot").collect()]
+    first = order()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert order() == first
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    other = order(seed=18)
+    assert other != first and sorted(other) == sorted(first)
+    assert abs(np.corrcoef(first, np.arange(3000))[0, 1]) < 0.08
+
+
+def test_bucket_starts_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 4)
+    n = [3, 0, 5, 1, 2, 2, 9, 4, 1, 7, 6]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(n) if c], "bucket long, n long")
+    got = {r.bucket: r["first"] for r in sharding.bucket_starts(df).collect()}
+    assert got == {i: sum(n[:i]) for i, c in enumerate(n) if c}
+
+
+def test_written_shards(odd, tmp_path):
+    sharding.write_shards(sharding.shard(odd, 4), str(tmp_path / "out"))
+    back = odd.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert back.count() == odd.count() and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
