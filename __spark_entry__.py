@@ -37,6 +37,8 @@ from spikewatch.operators import (anomaly_counts, code_descriptions, data_profil
 from spikewatch.operators.attribute import ranked_findings  # noqa: E402
 from spikewatch.plans import chart  # noqa: E402
 from spikewatch.plans.report import grouping_text  # noqa: E402
+from spikewatch.operators.lattice import subset_series  # noqa: E402
+from spikewatch.sources import read_table, register_view  # noqa: E402
 from spikewatch.spec import GUARD_AFTER_Z, GUARD_BEFORE_Z  # noqa: E402
 
 try:  # the training-data operators and their pipeline, if they are there
@@ -50,12 +52,12 @@ except ModuleNotFoundError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 TESTS = ("o_orderpriority", "c_nationkey", "c_mktsegment")
-FACT_SPEC = AnalysisSpec("o_orderdate", "o_totalprice", TESTS, {"c_nationkey": "n_name"})
-WEEKLY_FACT_SPEC = AnalysisSpec("o_week", "o_totalprice", TESTS, {"c_nationkey": "n_name"})
-DAY_SPEC = AnalysisSpec("o_orderdate", "o_totalprice")
-WEEK_SPEC = AnalysisSpec("o_week", "o_totalprice")
-SHIP_SPEC = AnalysisSpec("l_shipdate", "l_extendedprice")
-EVENTS_SPEC = AnalysisSpec("hour", "value", period_noun="Hours")
+FACT_SPEC = AnalysisSpec("o_orderdate", "o_totalprice", TESTS, {"c_nationkey": "n_name"}, metric_scale=2)
+WEEKLY_FACT_SPEC = AnalysisSpec("o_week", "o_totalprice", TESTS, {"c_nationkey": "n_name"}, metric_scale=2)
+DAY_SPEC = AnalysisSpec("o_orderdate", "o_totalprice", metric_scale=2)
+WEEK_SPEC = AnalysisSpec("o_week", "o_totalprice", metric_scale=2)
+SHIP_SPEC = AnalysisSpec("l_shipdate", "l_extendedprice", metric_scale=2)
+EVENTS_SPEC = AnalysisSpec("hour", "value", period_noun="Hours", metric_scale=2)
 # Lower cuts for the event stream, whose hourly totals are small.
 EVENTS_RULES = RuleSet(z_cut=2.0, jump_up=2.0, jump_down=0.5, jump_min_abs=100.0,
                        shift_ratio=1.5, shift_min_abs=50.0, backfill_first=True,
@@ -329,11 +331,110 @@ def q_events_hourly(spark, d):
 
 def q_shipments_weekly(spark, d):
     li = _t(spark, d, "lineitem").withColumn("l_week", week_start("l_shipdate"))
-    spec = AnalysisSpec("l_week", "l_extendedprice")
+    spec = AnalysisSpec("l_week", "l_extendedprice", metric_scale=2)
     rules = DETECT.with_(jump_min_abs=50000.0, shift_min_abs=50000.0, z_cut=2.0)
     return detect(period_totals(li, spec), spec, rules)
 
 
+# -- the metric as it is given (no scale): doubles, decimals, integers
+
+def q_raw_metric_totals(spark, d):
+    """A metric below one cent, summed as doubles."""
+    li = _t(spark, d, "lineitem").withColumn("saving", F.col("l_extendedprice") * F.col("l_discount") / 1000)
+    s = period_totals(li, AnalysisSpec("l_shipdate", "saving"))
+    return s.select("l_shipdate", F.round("total_units", 9).alias("total_metric"), "num_data_points")
+
+
+def q_decimal_totals(spark, d):
+    o = _t(spark, d, "orders").withColumn("price", F.col("o_totalprice").cast("decimal(18,2)"))
+    s = period_totals(o, AnalysisSpec("o_orderdate", "price"))
+    return s.select("o_orderdate", F.col("total_units").cast("string").alias("total_metric"), "num_data_points")
+
+
+def q_bigint_totals(spark, d):
+    """Integers that no double holds."""
+    o = _t(spark, d, "orders").withColumn("big", F.col("o_orderkey") + F.lit(9007199254740993))
+    s = period_totals(o, AnalysisSpec("o_orderdate", "big"))
+    return s.select("o_orderdate", F.col("total_units").cast("string").alias("total_metric"), "num_data_points")
+
+
+# -- the lattice over eleven test columns, and codes with several descriptions
+
+MANY = {"c0": "l_returnflag", "c1": "l_linestatus", "c2": "l_linenumber", "c3": "CAST(l_quantity AS INT) % 5",
+        "c4": "l_suppkey % 3", "c5": "l_partkey % 4", "c6": "l_orderkey % 3", "c7": "l_partkey % 3", "c8": "l_suppkey % 2",
+        "c9": "l_orderkey % 2", "c10": "CAST(l_quantity AS INT) % 3"}
+MANY_TOP = {"c0": "R", "c1": "F", "c2": "1", **{f"c{i}": "1" for i in range(3, 11)}}
+MANY_SPEC = AnalysisSpec("l_month", "l_quantity", tuple(MANY), metric_scale=0)
+SEGMENT_SPEC = AnalysisSpec("o_orderdate", "o_totalprice", ("o_orderpriority", "c_nationkey"), {"c_nationkey": "c_mktsegment"},
+                            metric_scale=2)
+SEGMENT_TOP = {"o_orderpriority": "1-URGENT", "c_nationkey": "7"}
+
+
+def q_many_test_columns(spark, d):
+    li = _t(spark, d, "lineitem").selectExpr("year(l_shipdate) * 100 + month(l_shipdate) AS l_month", "l_quantity",
+                                             *[f"{e} AS {c}" for c, e in MANY.items()])
+    s = subset_series(li, MANY_SPEC, MANY_TOP)
+    return s.select("l_month", "n_keys", "slice_ordinal", F.col("total_units").alias("total_metric"), "num_data_points")
+
+
+def q_one_description_per_code(spark, d):
+    s = subset_series(_fact(spark, d), SEGMENT_SPEC, SEGMENT_TOP)
+    return s.select("o_orderdate", "slice_ordinal", "c_mktsegment", _value("total_units"), "num_data_points")
+
+
+# -- exploratory charts over many series
+
+def _eda_values(spark, d):
+    return value_series(_fact(spark, d), FACT_SPEC, EDA)
+
+
+def q_eda_bands(spark, d):
+    """The band of two deviations around every per-value series."""
+    return chart.bands(_eda_values(spark, d), EDA, 2.0).select(
+        "variable", "value", "o_orderdate", "total_metric", "rolling_mean", "rolling_std", "lower_bound", "upper_bound")
+
+
+def q_eda_points(spark, d):
+    s = detect(period_totals(_t(spark, d, "lineitem"), SHIP_SPEC), SHIP_SPEC, EDA)
+    return chart.eda_points(s).select("l_shipdate", "total_metric", "num_data_points", "point_class", "label", "color")
+
+
+def q_value_overlay(spark, d):
+    return chart.value_overlay(_eda_values(spark, d), FACT_SPEC)
+
+
+# -- runs of zeros, NULL totals, windows with mean 0 and a deviation
+
+HARD_SPEC = AnalysisSpec("o_orderdate", "m", metric_scale=2)
+
+
+def _hard_days(spark, d):
+    """Every order date once, with a metric that reaches the guards: zeros in a
+    row, NULLs, and a week's pattern that adds up to nothing."""
+    days = _t(spark, d, "orders").select("o_orderdate").distinct()
+    n = "datediff(o_orderdate, DATE'1992-01-01')"
+    return days.selectExpr("o_orderdate", f"CAST(CASE WHEN {n} % 211 < 20 THEN 0 WHEN {n} % 97 = 5 THEN NULL WHEN {n} DIV 300 % 2 = 0 "
+                           f"THEN element_at(array(3, -3, 2, -2, 1, -1, 0), {n} % 7 + 1) * 1000 ELSE {n} * 7919 % 20000 END AS DOUBLE) AS m")
+
+
+def q_hard_series(spark, d):
+    return detect(period_totals(_hard_days(spark, d), HARD_SPEC), HARD_SPEC, DETECT)
+
+
+def q_hard_guard_before(spark, d):
+    return detect(period_totals(_hard_days(spark, d), HARD_SPEC), HARD_SPEC, EDA_SPEC_GUARD)
+
+
+def q_hard_guard_none(spark, d):
+    return detect(period_totals(_hard_days(spark, d), HARD_SPEC), HARD_SPEC, EDA)
+
+
+def q_view_totals(spark, d):
+    """The source reader with options, registered as a view and read back by name."""
+    register_view(read_table(spark, f"{d}/orders.parquet", "parquet", {"mergeSchema": "false"}), "spikewatch_orders")
+    return period_totals(spark.table("spikewatch_orders"), DAY_SPEC).select("o_orderdate", _value("total_units"), "num_data_points")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -415,11 +516,11 @@ def _lattice_series_sql(fact=FACT, t=T) -> str:
         cols += [f"CAST(SUM({O.units('o_totalprice')}) AS BIGINT) AS tu", "COUNT(*) AS n"]
         grouped = f"SELECT {', '.join(cols)} FROM {fact} _f{where} GROUP BY {t}"
         desc = (f"(SELECT MIN(n_name) FROM {fact} _d{where})" if 1 in s else "CAST(NULL AS VARCHAR)")
-        label = ", ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in TESTS)
+        label = ", ".join(f"'\"{c}\":\"' || CAST({c} AS VARCHAR) || '\"'" for c in TESTS)
         selects.append(
             f"SELECT {t}, {', '.join(TESTS)}, {desc} AS n_name, CAST({len(s)} AS INTEGER) AS n_keys, "
             f"CAST({j} AS INTEGER) AS slice_ordinal, tu, n, "
-            f"CASE WHEN concat_ws(', ', {label}) = '' THEN 'all' ELSE concat_ws(', ', {label}) END AS slice_key "
+            f"CASE WHEN concat_ws(',', {label}) = '' THEN 'all' ELSE '{{' || concat_ws(',', {label}) || '}}' END AS slice_key "
             f"FROM ({grouped}) _g")
     return " UNION ALL ".join(selects)
 
@@ -505,6 +606,38 @@ _CUSTOMER_COLS = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey",
                   ("c_acctbal", "double"), ("c_mktsegment", "string")]
 
 
+def _many_sql() -> str:
+    """Every row against every subset it is in; ordinals by sorting the subsets."""
+    k = len(MANY)
+    bits = " + ".join(f"CASE WHEN CAST({e} AS VARCHAR) = '{MANY_TOP[c]}' THEN {1 << i} ELSE 0 END" for i, (c, e) in enumerate(MANY.items()))
+    turned = " + ".join(f"((s.mask >> {i}) & 1) * {1 << (k - 1 - i)}" for i in range(k))
+    return (f"WITH r AS (SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS l_month, {bits} AS mask, "
+            f"SUM(CAST(l_quantity AS DECIMAL(18,0))) AS q, COUNT(*) AS n FROM lineitem GROUP BY 1, 2), "
+            f"s AS (SELECT mask, bit_count(mask) AS n_keys, row_number() OVER (ORDER BY bit_count(mask), {turned} DESC) - 1 AS ordinal "
+            f"FROM (SELECT CAST(range AS INTEGER) AS mask FROM range({1 << k})) s) "
+            f"SELECT l_month, CAST(n_keys AS INTEGER) AS n_keys, CAST(ordinal AS INTEGER) AS slice_ordinal, CAST(SUM(q) AS BIGINT) AS total_metric, "
+            f"CAST(SUM(n) AS BIGINT) AS num_data_points FROM r JOIN s ON (r.mask & s.mask) = s.mask GROUP BY l_month, n_keys, ordinal")
+
+
+def _one_description_sql() -> str:
+    parts = []
+    for j, (urgent, nation) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
+        where = ("o_orderpriority = '1-URGENT'" if urgent else "true") + (" AND c_nationkey = 7" if nation else "")
+        text = f"(SELECT MIN(c_mktsegment) FROM {FACT} _a WHERE c_nationkey = 7)" if nation else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT o_orderdate, CAST({j} AS INTEGER) AS slice_ordinal, {text} AS c_mktsegment, "
+                     f"{O.to_value('CAST(SUM(' + O.units('o_totalprice') + ') AS BIGINT)')} AS total_metric, COUNT(*) AS num_data_points "
+                     f"FROM {FACT} _f WHERE {where} GROUP BY o_orderdate")
+    return " UNION ALL ".join(parts)
+
+
+def _hard_sql(rules) -> str:
+    n = "date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))"
+    src = (f"(SELECT o_orderdate, CAST(CASE WHEN {n} % 211 < 20 THEN 0 WHEN {n} % 97 = 5 THEN NULL WHEN {n} // 300 % 2 = 0 "
+           f"THEN [3, -3, 2, -2, 1, -1, 0][{n} % 7 + 1] * 1000 ELSE {n} * 7919 % 20000 END AS DOUBLE) AS m "
+           f"FROM (SELECT DISTINCT o_orderdate FROM orders) _d)")
+    return O.detect_sql(O.series_sql(src, "o_orderdate", "m"), "o_orderdate", rules)
+
+
 def oracle_sql() -> dict[str, str]:
     prof = _orders_profile_rows("orders", _ORDERS_COLS)
     day = _day_series_sql()
@@ -517,6 +650,7 @@ def oracle_sql() -> dict[str, str]:
                           "hour", "value")
     li_week = O.series_sql("(SELECT *, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS l_week "
                            "FROM lineitem)", "l_week", "l_extendedprice")
+    eda_values = O.detect_sql(_value_totals_sql(), T, EDA, keys=("variable", "value"))
     ms = _most_specific_sql()
     base = _base_sql()
     shipments_rules = DETECT.with_(jump_min_abs=50000.0, shift_min_abs=50000.0, z_cut=2.0)
@@ -596,6 +730,30 @@ def oracle_sql() -> dict[str, str]:
         "weekly_report_rows": _report_rows_sql(WEEK_FACT, "o_week"),
         "weekly_report_text": _report_text_sql(WEEK_FACT, "o_week", "Weeks"),
         "shipments_weekly": O.detect_sql(li_week, "l_week", shipments_rules),
+        "raw_metric_totals": "SELECT l_shipdate, round(SUM(l_extendedprice * l_discount / 1000), 9) AS total_metric, "
+                             "COUNT(*) AS num_data_points FROM lineitem GROUP BY l_shipdate",
+        "decimal_totals": "SELECT o_orderdate, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS total_metric, "
+                          "COUNT(*) AS num_data_points FROM orders GROUP BY o_orderdate",
+        "bigint_totals": "SELECT o_orderdate, CAST(SUM(o_orderkey + 9007199254740993) AS VARCHAR) AS total_metric, "
+                         "COUNT(*) AS num_data_points FROM orders GROUP BY o_orderdate",
+        "many_test_columns": _many_sql(),
+        "one_description_per_code": _one_description_sql(),
+        "eda_bands": (f"SELECT variable, value, o_orderdate, total_metric, rolling_mean, rolling_std, rolling_mean - 2.0 * rolling_std AS lower_bound, "
+                      f"rolling_mean + 2.0 * rolling_std AS upper_bound FROM ({eda_values}) _e"),
+        "eda_points": (f"SELECT l_shipdate, total_metric, num_data_points, c AS point_class, "
+                       f"CASE c WHEN 'z_score' THEN 'Z-Score Outliers' WHEN 'count' THEN 'Count-Based Outliers' "
+                       f"WHEN 'metric' THEN 'Metric-Based Outliers' ELSE 'Multiple Outlier Conditions' END AS label, "
+                       f"CASE c WHEN 'z_score' THEN 'red' WHEN 'count' THEN 'blue' WHEN 'metric' THEN 'green' ELSE 'purple' END AS color "
+                       f"FROM (SELECT *, CASE WHEN CAST(COALESCE(is_outlier_z, false) AS INTEGER) + CAST(COALESCE(is_outlier_metric, false) AS INTEGER) "
+                       f"+ CAST(COALESCE(is_outlier_count, false) AS INTEGER) > 1 THEN 'multiple' WHEN is_outlier_z THEN 'z_score' "
+                       f"WHEN is_outlier_metric THEN 'metric' ELSE 'count' END AS c FROM ({O.detect_sql(ship, 'l_shipdate', EDA)}) _d "
+                       f"WHERE is_outlier) _p"),
+        "value_overlay": (f"SELECT CASE WHEN value IS NULL THEN variable ELSE variable || '_' || value END AS series, variable, value, o_orderdate, "
+                          f"total_metric, rolling_mean, rolling_std, is_outlier FROM ({eda_values}) _e"),
+        "hard_series": _hard_sql(DETECT),
+        "hard_guard_before": _hard_sql(EDA_SPEC_GUARD),
+        "hard_guard_none": _hard_sql(EDA),
+        "view_totals": _totals_sql(day, "o_orderdate"),
     }
     if llm_queries is None:
         return own

@@ -17,7 +17,7 @@ from spikewatch.spec import RuleSet
 
 
 def units(metric: str, scale: int = 2) -> str:
-    return f"CAST(FLOOR(CAST({metric} AS DOUBLE) * {float(10 ** scale)!r} + 0.5) AS BIGINT)"
+    return f"CAST(CAST({metric} AS DECIMAL(18,{scale})) * {10 ** scale} AS BIGINT)"
 
 
 def to_value(u: str, scale: int = 2) -> str:

@@ -44,22 +44,41 @@ def any_of_sql(conds: Iterable[str]) -> Optional[str]:
     return " OR ".join(conds) if conds else None
 
 
-def metric_units_sql(metric: str, scale: Optional[int]) -> str:
-    """Metric as exact integer units of ``10 ** -scale`` (cents for scale 2).
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
-    Integer sums are exact and independent of summation order, so totals do
-    not depend on partitioning.  ``floor(x * 10^s + 0.5)`` is one codegen'd
-    expression (``round`` would go through BigDecimal per row).  With
-    ``scale=None`` the raw double is kept.
+
+def metric_units_sql(metric: str, scale: Optional[int], dtype: str = "double") -> str:
+    """The metric as it is summed.
+
+    ``scale=None``: as given.  Integers and decimals are summed as decimals,
+    exactly; every other type as doubles, so NaN and infinity propagate.
+
+    A ``scale`` is an opt-in to exact integer units of ``10 ** -scale`` (cents
+    for scale 2), whose sums do not depend on the order of the rows.  A value
+    that is no whole number of units (or NaN, infinite, or too large to be
+    exact) fails the job instead of being rounded.
     """
     if scale is None:
-        return f"CAST({metric} AS DOUBLE)"
-    return f"FLOOR(CAST({metric} AS DOUBLE) * {dlit(10 ** scale)} + {dlit(0.5)})"
+        if dtype in _INTEGRAL:
+            return f"CAST({metric} AS DECIMAL(38,0))"
+        return metric if dtype.startswith("decimal") else f"CAST({metric} AS DOUBLE)"
+    if dtype in _INTEGRAL or dtype.startswith("decimal"):
+        units = f"CAST({metric} AS DECIMAL(38,{scale}))"
+        whole = f"CAST({units} * {10 ** scale} AS BIGINT)"
+        return f"CASE WHEN {metric} IS NULL THEN NULL WHEN {units} = {metric} THEN {whole} ELSE {_not_whole(metric, scale)} END"
+    x, s = f"CAST({metric} AS DOUBLE)", dlit(10 ** scale)
+    units = f"FLOOR({x} * {s} + {dlit(0.5)})"
+    exact = f"abs({x}) < {dlit(2 ** 53 / 10 ** scale)} AND CAST({units} AS DOUBLE) / {s} = {x}"
+    return f"CASE WHEN {metric} IS NULL THEN NULL WHEN {exact} THEN {units} ELSE {_not_whole(metric, scale)} END"
+
 
+def _not_whole(metric: str, scale: int) -> str:
+    return f"CAST(raise_error(concat('metric value ', CAST({metric} AS STRING), ' is no exact multiple of 1e-{scale}')) AS BIGINT)"
 
-def metric_units(metric: str, scale: Optional[int]) -> Column:
+
+def metric_units(metric: str, scale: Optional[int], dtype: str = "double") -> Column:
     """``metric_units_sql`` for a column name."""
-    return F.expr(metric_units_sql(q(metric), scale))
+    return F.expr(metric_units_sql(q(metric), scale, dtype))
 
 
 def units_to_value_sql(units: str, scale: Optional[int]) -> str:
@@ -177,12 +196,13 @@ def rule_names(z: Optional[str], jump: Optional[str], shift: Optional[str],
 
 
 def slice_label_sql(test_cols: Sequence[str]) -> str:
-    """Readable slice key ``var=value, var=value`` over the non-NULL slice
-    columns in spec order; ``all`` for the unsliced series."""
+    """Slice key: a JSON object of the non-NULL slice columns in spec order
+    (no two slices share a key, whatever their values hold); ``all`` for the
+    unsliced series."""
     if not test_cols:
         return "'all'"
-    parts = ", ".join(f"concat({slit(c + '=')}, CAST({q(c)} AS STRING))" for c in test_cols)
-    return f"coalesce(nullif(concat_ws(', ', {parts}), ''), 'all')"
+    parts = ", ".join(f"CAST({q(c)} AS STRING) AS {q(c)}" for c in test_cols)
+    return f"coalesce(nullif(to_json(struct({parts})), '{{}}'), 'all')"
 
 
 def slice_label(test_cols: Sequence[str]) -> Column:
@@ -203,6 +223,12 @@ POINT_LABELS = {"z_score": "Z score Outliers", "metric": "Metric Outliers",
                 "change": "Change Point", "multiple": "Multiple Outliers"}
 
 
+# The same for the exploratory (EDA) chart.
+EDA_POINT_COLORS = {"z_score": "red", "count": "blue", "metric": "green", "multiple": "purple"}
+EDA_POINT_LABELS = {"z_score": "Z-Score Outliers", "count": "Count-Based Outliers",
+                    "metric": "Metric-Based Outliers", "multiple": "Multiple Outlier Conditions"}
+
+
 def point_class_sql(types: str) -> str:
     """One fired rule -> its name; more than one -> ``multiple``."""
     return f"CASE WHEN size({types}) > 1 THEN 'multiple' ELSE element_at({types}, 1) END"
@@ -213,9 +239,9 @@ def _lookup_sql(mapping: dict, key: str) -> str:
     return f"CASE {key} {arms} END"
 
 
-def point_label_sql(cls: str) -> str:
-    return _lookup_sql(POINT_LABELS, cls)
+def point_label_sql(cls: str, labels: Mapping[str, str] = POINT_LABELS) -> str:
+    return _lookup_sql(labels, cls)
 
 
-def point_color_sql(cls: str) -> str:
-    return _lookup_sql(POINT_COLORS, cls)
+def point_color_sql(cls: str, colors: Mapping[str, str] = POINT_COLORS) -> str:
+    return _lookup_sql(colors, cls)

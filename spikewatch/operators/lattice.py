@@ -1,51 +1,55 @@
 """Subset lattice (A7): period totals for every subset of the top values.
 
 The naive plan filters the fact table once per subset (2^k scans).  Here the
-fact table is scanned once: each row is tagged, per test column, with the top
-value when it matches (the top values -- at most one per test column -- come
-in as a scalar subquery holding a small map, so the whole analysis stays one
-plan and one action), pre-aggregated by (period, tags)
-with hash aggregation -- at most periods x 2^k groups, so a skewed value
-collapses to one partial row per map task -- and the small result is rolled up
-with ``groupingSets`` over every subset of the tags.  A grouping-set row is
-kept when every grouped tag actually matched.
+fact table is scanned once: each row gets an integer mask of the test columns
+in which it holds the top value and is pre-aggregated by (period, mask) -- only
+numbers are grouped, and a skewed value collapses to one partial row per map
+task.  Each observed mask then adds its totals to every subset of its bits, so
+only slices that hold rows come up, for any number of test columns.
 """
 
 from __future__ import annotations
 
-from typing import Mapping, Union
+from math import comb
+from typing import Mapping, Sequence, Union
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of_sql, metric_units_sql, q, slice_label_sql, slit
+from ..functions.exprs import metric_units_sql, q, slice_label_sql, slit
 from ..spec import AnalysisSpec
 
 
-# 2^10 = 1024 subsets: grouping sets and the subset -> ordinal map stay small.
-MAX_TEST_COLS = 10
-
-
-def _tag(i: int) -> str:
-    return f"_top{i}"
-
-
-def _dtag(i: int) -> str:
-    return f"_desc{i}"
-
-
-def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mapping[str, str]]) -> DataFrame:
+def _ordinal_sql(mask: str, k: int) -> str:
+    """Position of the subset ``mask`` (bit i = test column i) among all
+    subsets of k columns by size, then lexicographically: the smaller sizes,
+    plus the rank of its combination, from binomial coefficients."""
+    size = f"bit_count({mask})"
+    before = [sum(comb(k, s) for s in range(n)) for n in range(k + 1)]
+    table = ", ".join(f"{comb(n, r)}L" for n in range(k + 1) for r in range(k + 1))
+    at = f"element_at(array({table}), (%s) * {k + 1} + (%s) + 1)"
+    # rank = C(k, s) - 1 - sum over the chosen c_j of C(k - 1 - c_j, s - j)
+    walk = (f"aggregate(sequence(0, {k - 1}), named_struct('left', CAST({size} AS INT), 'sum', 0L), (acc, i) -> "
+            f"IF((shiftright({mask}, i) & 1) = 1, named_struct('left', acc.left - 1, 'sum', acc.sum + "
+            + at % (f"{k - 1} - i", "acc.left") + "), acc), acc -> acc.sum)")
+    starts = f"element_at(array({', '.join(f'{b}L' for b in before)}), {size} + 1)"
+    return f"CAST({starts} + {at % (str(k), size)} - 1 - {walk} AS INT)"
+
+
+def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mapping[str, str]],
+                  wanted: Sequence[int] | None = None) -> DataFrame:
     """One row per (subset slice, period) with ``total_units`` and
     ``num_data_points``.
 
     ``top`` is the ``screening.top_values`` DataFrame (variable, value; at
     most one row per test column, by construction) or an already collected
     mapping test column -> top value (as string).  A column without a top
-    value has no subsets.
+    value has no subsets.  ``wanted`` limits the work to the subsets with these
+    ordinals.
     Output columns: the time column; each test column holding the top value
     when the subset contains it and NULL when rolled up ("All"); the
-    description column of each described test column (the smallest
-    description seen with the value in the slice, NULL when rolled up);
+    description column of each described test column (the smallest one of
+    the code in the whole table, NULL when rolled up);
     ``n_keys`` (subset size), ``slice_ordinal`` (position of the subset in
     size-then-lexicographic order, 0 = all rows) and ``slice_key``.
     """
@@ -54,9 +58,6 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mappi
     k = len(tests)
     if not k:
         raise ValueError("the subset lattice needs at least one test column")
-    if k > MAX_TEST_COLS:
-        raise ValueError(f"the subset lattice has 2^k slices; at most {MAX_TEST_COLS} test columns "
-                         f"(got {k}) -- screen fewer dimensions")
     described = [i for i, c in enumerate(tests) if c in spec.desc_cols]
 
     if isinstance(top, DataFrame):
@@ -66,69 +67,50 @@ def subset_series(df: DataFrame, spec: AnalysisSpec, top: Union[DataFrame, Mappi
 
         def val(c):
             return f"try_element_at(_topmap, {slit(c)})"
-        present = set(tests)
     else:
         src = df
 
         def val(c):
             return slit(top[c]) if top.get(c) is not None else "CAST(NULL AS STRING)"
-        present = {c for c in tests if top.get(c) is not None}
 
     def match(i):
-        return f"CAST({q(tests[i])} AS STRING) = {val(tests[i])}"
+        """In the column's own type, so that nothing is cast per row."""
+        return f"coalesce({q(tests[i])} = CAST({val(tests[i])} AS {types[tests[i]]}), false)"
 
-    tagged = src.selectExpr(
-        q(t),
-        f"{metric_units_sql(q(spec.metric_col), spec.metric_scale)} AS _units",
-        *[f"CASE WHEN {match(i)} THEN {val(tests[i])} END AS {_tag(i)}" for i in range(k)],
-        # Descriptions of matched rows ride along as grouping keys: hash
-        # aggregation throughout the big pass (no string in an agg buffer).
-        *[f"CASE WHEN {match(i)} THEN CAST({q(spec.desc_cols[tests[i]])} AS STRING) END AS {_dtag(i)}"
-          for i in described],
-    )
-    pre = tagged.groupBy(t, *[_tag(i) for i in range(k)], *[_dtag(i) for i in described]).agg(
-        F.sum("_units").alias("total_units"),
-        F.count(F.lit(1)).alias("num_data_points"),
-    )
-    subsets = [s for s in spec.subsets() if all(tests[i] in present for i in s)]
-    ordinal = {sum(1 << i for i in s): j for j, s in enumerate(spec.subsets())}
-    sets = [[t] + [_tag(i) for i in s] for s in subsets]
-    rolled = pre.groupingSets(sets, t, *[_tag(i) for i in range(k)]).agg(
-        F.sum("total_units").alias("total_units"),
-        F.sum("num_data_points").alias("num_data_points"),
-        *[F.min(_dtag(i)).alias(_dtag(i)) for i in described],
-        F.expr("grouping_id()").alias("_gid"),
-    )
-    # grouping_id over (time, tag 0..k-1): bit k-1-i is set when tag i is
-    # rolled up (the time column is always grouped).
-    in_slice = [f"(shiftright(_gid, {k - 1 - i}) & 1) = 0" for i in range(k)]
-    keep = all_of_sql(f"NOT ({in_slice[i]}) OR {_tag(i)} IS NOT NULL" for i in range(k))
-    if keep is not None:
-        rolled = rolled.filter(keep)
-    mask = " + ".join(f"CASE WHEN {in_slice[i]} THEN {1 << i} ELSE 0 END" for i in range(k))
-    ordinal_map = "map(" + ", ".join(f"{m}, {j}" for m, j in ordinal.items()) + ")"
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    n_keys = " + ".join(f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in in_slice)
+
+    dtype = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    units = metric_units_sql(q(spec.metric_col), spec.metric_scale, dtype[spec.metric_col])
+    mask = " | ".join(f"IF({match(i)}, {1 << i}L, 0L)" for i in range(k))
+    pre = src.selectExpr(q(t), f"{units} AS _units", f"{mask} AS _mask").groupBy(t, "_mask").agg(
+        F.sum("_units").alias("total_units"), F.count(F.lit(1)).alias("num_data_points"))
+    # every subset of the observed bits, each built once: nothing to filter out
+    subsets = (f"aggregate(sequence(0, {k - 1}), array(0L), (acc, i) -> IF((shiftright(_mask, i) & 1) = 1, "
+               f"concat(acc, transform(acc, x -> x | shiftleft(1L, i))), acc))")
+    if wanted is not None:
+        chosen = [sum(1 << i for i in spec.subsets()[j]) for j in wanted]
+        subsets = f"array_intersect({subsets}, array({', '.join(f'{m}L' for m in chosen)}))"
+    rolled = pre.selectExpr(q(t), "total_units", "num_data_points", f"explode({subsets}) AS _sub").groupBy(t, "_sub").agg(
+        F.sum("total_units").alias("total_units"), F.sum("num_data_points").alias("num_data_points"))
+    if isinstance(top, DataFrame):
+        rolled = rolled.select("*", topmap.alias("_topmap"))
+
+    def inside(i):
+        return f"(shiftright(_sub, {i}) & 1) = 1"
+
+    # One description per code for the whole table (the smallest), one
+    # global aggregate of a row that joins as a scalar.
+    if described:
+        texts = src.selectExpr(*[f"CASE WHEN {match(i)} THEN CAST({q(spec.desc_cols[tests[i]])} AS STRING) END AS _d{i}" for i in described])
+        one = texts.agg(F.struct(*[F.min(f"_d{i}").alias(f"_d{i}") for i in described])).scalar()
+        rolled = rolled.select("*", one.alias("_desc"))
     out = rolled.selectExpr(
         q(t),
-        *[f"CAST(CASE WHEN {in_slice[i]} THEN {_tag(i)} END AS {types[c]}) AS {q(c)}"
-          for i, c in enumerate(tests)],
-        *[f"CASE WHEN {in_slice[i]} THEN {_dtag(i)} END AS {_dtag(i)}" for i in described],
-        f"CAST({n_keys} AS INT) AS n_keys",
-        f"CAST(element_at({ordinal_map}, {mask}) AS INT) AS slice_ordinal",
-        "total_units", "num_data_points",
-    )
-    # One description per slice and column (constant over the periods).
-    # Same partitioning and order as the detection windows that follow, so
-    # both share one sort.
-    whole_slice = (f"OVER (PARTITION BY slice_ordinal ORDER BY {q(t)} "
-                   f"ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
-    return out.selectExpr(
-        q(t), *[q(c) for c in tests],
-        *[f"min({_dtag(i)}) {whole_slice} AS {q(spec.desc_cols[tests[i]])}" for i in described],
-        "n_keys", "slice_ordinal", "total_units", "num_data_points",
-        f"{slice_label_sql(tests)} AS slice_key",
-    )
+        *[f"CAST(CASE WHEN {inside(i)} THEN {val(c)} END AS {dtype[c]}) AS {q(c)}" for i, c in enumerate(tests)],
+        *[f"CASE WHEN {inside(i)} THEN _desc._d{i} END AS {q(spec.desc_cols[tests[i]])}" for i in described],
+        "CAST(bit_count(_sub) AS INT) AS n_keys", f"{_ordinal_sql('_sub', k)} AS slice_ordinal",
+        "total_units", "num_data_points")
+    return out.selectExpr("*", f"{slice_label_sql(tests)} AS slice_key")
 
 
 def slice_columns(spec: AnalysisSpec) -> list[str]:

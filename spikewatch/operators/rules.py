@@ -63,7 +63,9 @@ def rolling_columns(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
                 "mean_prev", "mean_next"}
     keep = [q(c) for c in series.columns if c not in replaced]
 
-    if scale is None:  # doubles: built-in frame aggregates
+    if scale is None:  # as given: built-in frame aggregates over the totals as doubles
+        u = f"CAST({u} AS DOUBLE)"
+
         def over(lo, hi):
             return f"OVER ({order} ROWS BETWEEN {_bound(lo)} AND {_bound(hi)})"
         cols = base + [f"avg({u}) {over(-h, h)} AS rolling_mean",
@@ -129,9 +131,8 @@ def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) ->
     if rules.z_cut is not None:  # D2
         flags["is_outlier_z"] = f"CASE WHEN {std} = 0 THEN false ELSE {z} > {dlit(rules.z_cut)} END"
     if rules.jump_enabled:  # D3
-        ratio = f"{x} >= {dlit(rules.jump_up)} * {prev}"
-        if rules.jump_down is not None:
-            ratio += f" OR {x} <= {dlit(rules.jump_down)} * {prev}"
+        ratio = " OR ".join(f"{x} {op} {dlit(cut)} * {prev}" for op, cut in
+                            ((">=", rules.jump_up), ("<=", rules.jump_down)) if cut is not None)
         flags["is_outlier_metric"] = f"({ratio}) AND abs({x} - {prev}) > {dlit(rules.jump_min_abs)}"
     if rules.shift_enabled:  # D4, never NULL
         r = dlit(rules.shift_ratio)
@@ -189,7 +190,7 @@ def period_index(series: DataFrame, spec: AnalysisSpec, key_cols: Sequence[str]
     local = f"row_number() OVER (PARTITION BY {part + ', ' if keys else ''}_b ORDER BY {t}) - 1"
     # Null-safe join: a NULL dimension value is a slice of its own.
     offsets = offsets.selectExpr(*[f"{q(k)} AS {q('_k_' + k)}" for k in key_cols], "_b AS _kb", "_off")
-    cond = [with_b[k].eqNullSafe(offsets["_k_" + k]) for k in key_cols] + [with_b["_b"] == offsets["_kb"]]
+    cond = [with_b[k].eqNullSafe(offsets["_k_" + k]) for k in key_cols] + [with_b["_b"].eqNullSafe(offsets["_kb"])]
     joined = with_b.join(offsets, cond).drop(*["_k_" + k for k in key_cols], "_kb")
     return joined.selectExpr("*", f"_off + {local} AS _i").drop("_b", "_off")
 
@@ -219,6 +220,7 @@ def blocked_detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
         series = series.checkpoint(eager=True)
     idx = period_index(series, spec, key_cols, bucket)
     b = block_rows
+    # A NULL period is a period like any other: it sorts first.
     copies = (f"filter(array(named_struct('_blk', _i DIV {b}, '_own', true), "
               f"named_struct('_blk', _i DIV {b} - 1, '_own', false), "
               f"named_struct('_blk', _i DIV {b} + 1, '_own', false)), "

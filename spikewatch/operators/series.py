@@ -1,6 +1,6 @@
 """Period series: role projection, slice filter, period totals.
 
-A *series* DataFrame has one row per (slice, period) with the integer metric
+A *series* DataFrame has one row per (slice, period) with the metric
 total ``total_units`` and the row count ``num_data_points``.  Everything after
 this step (windows, rules, findings) runs on series rows, whose number is
 bounded by slices x periods and does not grow with the fact rows.
@@ -44,7 +44,7 @@ def slice_filter(df: DataFrame, values: Optional[Mapping[str, object]]) -> DataF
 
 def period_totals(df: DataFrame, spec: AnalysisSpec,
                   values: Optional[Mapping[str, object]] = None) -> DataFrame:
-    """A1: per period, the metric total (exact units) and the row count.
+    """A1: per period, the metric total and the row count.
 
     ``count(*)`` counts rows whose metric is NULL; a period whose metrics are
     all NULL has a NULL total.  The filter is pushed to the scan and the sum is
@@ -54,7 +54,7 @@ def period_totals(df: DataFrame, spec: AnalysisSpec,
         slice_filter(df, values)
         .groupBy(spec.time_col)
         .agg(
-            F.sum(metric_units(spec.metric_col, spec.metric_scale)).alias("total_units"),
+            F.sum(metric_units(spec.metric_col, spec.metric_scale, dict(df.dtypes).get(spec.metric_col, "double"))).alias("total_units"),
             F.count(F.lit(1)).alias("num_data_points"),
         )
     )
@@ -76,7 +76,7 @@ def value_totals(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
         raise ValueError("value_totals needs at least one test column")
     t = spec.time_col
     k = len(tests)
-    units = f"{metric_units_sql(q(spec.metric_col), spec.metric_scale)} AS _units"
+    units = f"{metric_units_sql(q(spec.metric_col), spec.metric_scale, dict(df.dtypes).get(spec.metric_col, 'double'))} AS _units"
     agg = (df.selectExpr(q(t), *[q(c) for c in tests], units)
            .groupingSets([[t, c] for c in tests], t, *tests)
            .agg(F.sum("_units").alias("total_units"), F.count(F.lit(1)).alias("num_data_points"),

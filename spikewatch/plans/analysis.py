@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.attribute import findings, most_specific, report_order
-from ..operators.lattice import slice_columns, subset_series
+from ..operators.lattice import subset_series
 from ..operators.rules import detect
 from ..operators.screening import anomaly_counts, top_values, value_series
+from ..operators.series import period_totals
 from ..session import ensure_checkpoint_dir
 from ..spec import DETECT, SCREEN, AnalysisSpec, RuleSet
 from . import chart
@@ -120,9 +121,10 @@ class PeriodAnomalyAnalysis:
 
     @cached_property
     def base(self) -> DataFrame:
-        """The unsliced series (subset 0) with the detection columns."""
-        drop = [c for c in slice_columns(self.spec) if c != "slice_key"]
-        return self.detected.filter(F.col("slice_ordinal") == 0).drop(*drop)
+        """The unsliced series (subset 0) with the detection columns: period
+        totals of the fact table, without screening or lattice."""
+        totals = period_totals(self.projected, self.spec)
+        return detect(totals, self.spec, self.detect_rules, block_rows=self.block_rows).withColumn("slice_key", F.lit("all"))
 
     def bands(self) -> DataFrame:
         return chart.bands(self.base, self.detect_rules)
@@ -134,4 +136,10 @@ class PeriodAnomalyAnalysis:
         return chart.reported_axis(self.base, self.selected, self.spec)
 
     def overlay(self) -> DataFrame:
-        return chart.overlay(self.detected, self.spec)
+        """The unsliced series and the full subset; only these two are built."""
+        ordinals = [0, len(self.spec.subsets()) - 1]
+        if self.materialize:
+            return chart.overlay(self.detected, self.spec, ordinals)
+        two = subset_series(self.projected, self.spec, self.top_map, wanted=ordinals)
+        return chart.overlay(detect(two, self.spec, self.detect_rules, key_cols=["slice_ordinal"], block_rows=self.block_rows),
+                             self.spec, ordinals)

@@ -13,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import point_class_sql, point_color_sql, point_label_sql, q
+from ..functions.exprs import EDA_POINT_COLORS, EDA_POINT_LABELS, point_class_sql, point_color_sql, point_label_sql, q
+from ..operators.attribute import findings
 from ..spec import AnalysisSpec, RuleSet
 
 
@@ -60,6 +61,20 @@ def overlay(detected: DataFrame, spec: AnalysisSpec, ordinals: Sequence[int] | N
     )
 
 
+def eda_points(series: DataFrame) -> DataFrame:
+    """O5 for the exploratory chart: the flagged periods of any series with the
+    EDA rules, their point class, legend label and colour (count rule included)."""
+    return findings(series).selectExpr("*", f"{point_class_sql('anomaly_types')} AS point_class").selectExpr(
+        "*", f"{point_label_sql('point_class', EDA_POINT_LABELS)} AS label",
+        f"{point_color_sql('point_class', EDA_POINT_COLORS)} AS color")
+
+
+def value_overlay(series: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """J3 for all per-value series on one time axis, in long format."""
+    return series.select(F.concat_ws("_", "variable", "value").alias("series"), "variable", "value", F.col(spec.time_col),
+                         "total_metric", "rolling_mean", "rolling_std", "is_outlier")
+
+
 def flag_filter(series: DataFrame, flag: str) -> DataFrame:
     """rows where one rule flag is true."""
     return series.filter(F.col(flag))

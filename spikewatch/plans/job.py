@@ -24,7 +24,7 @@ from .analysis import PeriodAnomalyAnalysis
 
 def run_job(df: DataFrame, spec: AnalysisSpec, out_dir: str, detect_rules: RuleSet = DETECT,
             screen_rules: RuleSet = SCREEN, materialize: bool = True,
-            series: bool = False) -> PeriodAnomalyAnalysis:
+            series: bool = False, block_rows: int | None = None) -> PeriodAnomalyAnalysis:
     """Run every stage and write every output; returns the analysis object
     (its DataFrames stay usable).  With ``materialize`` the two small pass
     results are checkpointed first, so the outputs below never re-scan the
@@ -33,7 +33,8 @@ def run_job(df: DataFrame, spec: AnalysisSpec, out_dir: str, detect_rules: RuleS
     write_profile(type_profile(df), os.path.join(out_dir, "preprocessing", "data_types"))
     if not spec.test_cols:
         return None
-    a = PeriodAnomalyAnalysis(df, spec, detect_rules, screen_rules, materialize=materialize)
+    a = PeriodAnomalyAnalysis(df, spec, detect_rules, screen_rules, materialize=materialize,
+                              block_rows=block_rows)
     base = os.path.join(out_dir, spec.time_col)
     write_report(a.report, os.path.join(base, "outliers_summary"))
     for name, table in (("bands", a.bands()), ("points", a.points()), ("axis", a.axis()),

@@ -17,11 +17,12 @@ from ..operators.attribute import ranked_findings
 from ..spec import RULE_JUMP, RULE_SHIFT, RULE_Z, AnalysisSpec, RuleSet
 
 # Header of the report.
+# The rules and section texts of the report.
 HEADER_RULE = "=" * 50
 BLOCK_RULE = "=" * 40
 
 
-def header_lines(z_cut: float) -> list[str]:
+def header_lines(z_cut: float, half_window: int = 3) -> list[str]:
     z_text = ("%g" % z_cut) if z_cut is not None else "n/a"
     return [
         "ANOMALY REPORT SUMMARY",
@@ -31,7 +32,7 @@ def header_lines(z_cut: float) -> list[str]:
         "Anomaly Types:",
         "  - Metric Anomaly: The week's total cost doubled or halved from the previous week.",
         "  - Z-Score Anomaly: The total cost for the week was over or under the rolling mean "
-        f"(over 7 time periods) by more than {z_text} standard deviations.",
+        f"(over {2 * half_window + 1} time periods) by more than {z_text} standard deviations.",
         "  - Change Points: Significant change in data (the mean double/halved over a month)",
         HEADER_RULE,
     ]
@@ -107,7 +108,7 @@ def report_lines(selected: DataFrame, spec: AnalysisSpec, rules: RuleSet) -> Dat
         "report_rank", f"posexplode({block_lines_sql(spec)}) AS (line_no, value)")
     # The header is fixed text (a one-row leaf, not a second pass over the
     # findings): its lines and one blank line.
-    header = ", ".join(slit(s) for s in header_lines(rules.z_cut) + [""])
+    header = ", ".join(slit(s) for s in header_lines(rules.z_cut, rules.half_window) + [""])
     head = selected.sparkSession.range(1).selectExpr(
         "0 AS report_rank", f"posexplode(array({header})) AS (line_no, value)")
     return head.unionByName(blocks)

@@ -43,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) before materializing")
     path = tempfile.mkdtemp(prefix="spikewatch-ckpt-")
     sc.setCheckpointDir(path)

@@ -60,7 +60,7 @@ class RuleSet:
 
     @property
     def jump_enabled(self) -> bool:
-        return self.jump_up is not None and self.jump_min_abs is not None
+        return (self.jump_up is not None or self.jump_down is not None) and self.jump_min_abs is not None
 
     @property
     def shift_enabled(self) -> bool:
@@ -106,9 +106,9 @@ class AnalysisSpec:
     metric_col   numeric column totalled per period.
     test_cols    dimension columns sliced by, in order (lattice and report order).
     desc_cols    optional map dimension -> description column for the report.
-    metric_scale decimal places of the metric; sums run on exact integers of
-                 ``10 ** metric_scale`` units (cents for money).  ``None`` sums
-                 the raw doubles instead.
+    metric_scale None (default): the metric is summed as given.  A number of
+                 decimal places opts in to sums of exact integer units (cents
+                 for 2) and fails on values that are no whole units.
     period_noun  plural noun for the change section of the report; derived from
                  the time column name when not given.
     """
@@ -117,7 +117,7 @@ class AnalysisSpec:
     metric_col: str
     test_cols: Sequence[str] = field(default_factory=tuple)
     desc_cols: Mapping[str, str] = field(default_factory=dict)
-    metric_scale: Optional[int] = 2
+    metric_scale: Optional[int] = None
     period_noun: Optional[str] = None
 
     def __post_init__(self):
