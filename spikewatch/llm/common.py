@@ -46,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``cut``, with at most ``rows`` rows of whole texts a batch sent to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of a row's columns, those that hold maps or variants aside."""
     return F.xxhash64(*[df[c] for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spikewatch.llm.common import cut, words
+from spikewatch.llm.common import cut, cut_in_small_batches, words
 
 #: A worker forgets its word hashes beyond so many words.
-CACHE = 500_000
+CACHE = 100_000
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, bits: int = 256, *, id_col: str = "doc_id", te
     the likeness to the next document.
 
     The next document is the next one by ascending id, NULL ids first, rows of
-    one id by a hash of their text and the text; after the last comes the
+    one id by a hash of their text; after the last comes the
     first, so a single document follows itself.  NULL texts are empty.  An
     empty table gives no rows; other columns are not looked at.
 
@@ -148,8 +148,8 @@ def fingerprints(docs: DataFrame, bits: int = 256, *, id_col: str = "doc_id", te
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     own = own.withColumn("draw", F.xxhash64("text"))
-    spread = own.repartitionByRange("doc_id", "draw").sortWithinPartitions("doc_id", "draw", "text")
-    seen = cut(spread.mapInPandas(run, f"{_ROW}, part int, edge string, text string"))
+    spread = own.repartitionByRange("doc_id", "draw").sortWithinPartitions("doc_id", "draw")
+    seen = cut_in_small_batches(spread.mapInPandas(run, f"{_ROW}, part int, edge string, text string"))
     inner = seen.where("edge IS NULL").drop("part", "edge", "text")
     starts = seen.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("fingerprint").alias("next_fingerprint"),
                                                  F.col("text").alias("next_text"))
