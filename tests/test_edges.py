@@ -1,10 +1,10 @@
 """Edge cases: NULL dimension values and metrics, empty input."""
 
-from spikewatch import AnalysisSpec, PeriodAnomalyAnalysis
+from spikewatch import DETECT, AnalysisSpec, PeriodAnomalyAnalysis
 from spikewatch.operators import value_totals
 from spikewatch.plans.report import header_lines
 
-SPEC = AnalysisSpec("week", "amount", ("code", "place"))
+SPEC = AnalysisSpec("week", "amount", ("code", "place"), metric_scale=2)
 
 
 def _fact(spark, rows):
@@ -91,7 +91,7 @@ def test_chart_helpers(spark):
 
     rows = [("s", i, (100000 if i in (10, 20) else 1000 + i) * 100, 5 + (30 if i == 15 else 0)) for i in range(30)]
     series = spark.createDataFrame(rows, "k string, t int, total_units bigint, num_data_points bigint")
-    spec = AnalysisSpec("t", "m")
+    spec = AnalysisSpec("t", "m", metric_scale=2)
     det = detect(series, spec, DETECT, ["k"])
     b = chart.bands(det, DETECT, width=1.5).filter("t = 5").first()
     assert b.lower_bound == b.rolling_mean - 1.5 * b.rolling_std
@@ -107,13 +107,59 @@ def test_chart_helpers(spark):
     assert ov.count() == 30
 
 
-def test_lattice_rejects_too_many_test_columns(spark):
+def test_lattice_of_thirteen_test_columns(spark):
+    """Every subset of the matching columns, ordinals as in spec.subsets()."""
+    from spikewatch.operators import subset_series
+
+    cols = [f"c{i}" for i in range(13)]
+    df = spark.createDataFrame([tuple(["w", 1.0] + ["x" if i in (0, 3, 12) else "y" for i in range(13)])],
+                               ", ".join(["week string", "amount double"] + [f"{c} string" for c in cols]))
+    spec = AnalysisSpec("week", "amount", cols)
+    rows = subset_series(df, spec, {c: "x" for c in cols}).collect()
+    place = {s: j for j, s in enumerate(spec.subsets())}
+    want = sorted(place[s] for s in [(), (0,), (3,), (12,), (0, 3), (0, 12), (3, 12), (0, 3, 12)])
+    assert sorted(r.slice_ordinal for r in rows) == want
+    for r in rows:
+        inside = tuple(i for i in range(13) if r[f"c{i}"] is not None)
+        assert place[inside] == r.slice_ordinal and r.n_keys == len(inside) and r.total_units == 1
+
+
+def test_the_metric_is_summed_as_given(spark):
+    import math
+
     import pytest
 
-    from spikewatch.operators import subset_series
+    from spikewatch.operators import period_totals
 
-    cols = [f"c{i}" for i in range(11)]
-    df = spark.createDataFrame([tuple(["w", 1.0] + ["x"] * 11)], ", ".join(["week string", "amount double"] +
-                                                                            [f"{c} string" for c in cols]))
-    with pytest.raises(ValueError):
-        subset_series(df, AnalysisSpec("week", "amount", cols), {})
+    small = spark.createDataFrame([("a", 0.004)] * 1000 + [("n", float("nan")), ("n", 1.0), ("i", float("inf")), ("z", None)], "w string, m double")
+    got = {r.w: r.total_units for r in period_totals(small, AnalysisSpec("w", "m")).collect()}
+    assert got["a"] == pytest.approx(4.0) and math.isnan(got["n"]) and got["i"] == float("inf") and got["z"] is None
+    big = spark.createDataFrame([("a", 9007199254740993), ("a", 1)], "w string, m bigint")
+    assert int(period_totals(big, AnalysisSpec("w", "m")).first().total_units) == 9007199254740994
+    exact = small.selectExpr("w", "CAST('90071992547409.93' AS DECIMAL(18,2)) AS m").limit(1)
+    assert str(period_totals(exact, AnalysisSpec("w", "m")).first().total_units) == "90071992547409.93"
+    assert int(period_totals(exact, AnalysisSpec("w", "m", metric_scale=2)).first().total_units) == 9007199254740993
+    for bad in (0.004, float("nan"), float("inf"), 1e17):
+        one = spark.createDataFrame([("a", bad)], "w string, m double")
+        with pytest.raises(Exception, match="exact multiple"):
+            period_totals(one, AnalysisSpec("w", "m", metric_scale=2)).collect()
+
+
+def test_one_sided_jumps_and_null_periods(spark):
+    from spikewatch.operators import detect
+
+    s = spark.createDataFrame([(None, 5.0)] + [(f"p{i:02d}", 100.0 if i != 9 else 1.0) for i in range(20)], "t string, total_units double") \
+        .selectExpr("t", "total_units", "1L AS num_data_points")
+    rules = DETECT.with_(jump_up=None, jump_down=0.5, jump_min_abs=10.0)
+    spec = AnalysisSpec("t", "m", metric_scale=2)
+    plain = detect(s, spec, rules)
+    assert [r.t for r in plain.where("is_outlier_metric").collect()] == ["p09"]
+    blocked = detect(s, spec, rules, block_rows=5, checkpoint_input=False)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, blocked.select(*plain.columns).collect()))
+
+
+def test_slice_keys_never_collide(spark):
+    from spikewatch.functions.exprs import slice_label
+
+    df = spark.createDataFrame([("x, b=y", None), ("x", "y")], "a string, b string").select(slice_label(["a", "b"]).alias("k"))
+    assert [r.k for r in df.collect()] == ['{"a":"x, b=y"}', '{"a":"x","b":"y"}']

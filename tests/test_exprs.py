@@ -68,4 +68,4 @@ def test_point_class_and_label(spark):
 def test_slice_label(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), (None, None)], "x string, y int")
     got = [r.k for r in df.select(slice_label(["x", "y"]).alias("k")).collect()]
-    assert got == ["x=a, y=1", "y=2", "all"]
+    assert got == ['{"x":"a","y":"1"}', '{"y":"2"}', "all"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from conftest import REF, needs
 from spikewatch import DETECT, EDA, SCREEN, AnalysisSpec
-from spikewatch.functions.exprs import metric_units, slice_label
+from spikewatch.functions.exprs import slice_label
 from spikewatch.operators import anomaly_counts, detect, findings, most_specific, top_values
 from spikewatch.plans.report import report_lines
 from spikewatch.sources import read_series_files
@@ -27,7 +27,7 @@ SCHEMA = ("service_week string, total_metric double, num_data_points bigint, pre
           "is_outlier_z boolean, is_outlier_metric boolean, is_outlier_count boolean, is_outlier boolean")
 TESTS = ("betos_cd", "pos_cd", "spec_cd")
 SPEC = AnalysisSpec("service_week", "paid_amount", TESTS,
-                    {"betos_cd": "betos_desc", "pos_cd": "pos_desc", "spec_cd": "spec_desc"})
+                    {"betos_cd": "betos_desc", "pos_cd": "pos_desc", "spec_cd": "spec_desc"}, metric_scale=2)
 # Descriptions of the three top codes, as printed in the weekly report.
 DESCRIPTIONS = {"betos_cd": ("T1H", "Lab tests - other (non-Medicare fee schedule)"),
                 "pos_cd": ("81", "Independent Laboratory"),
@@ -50,7 +50,7 @@ def subset_lattice(spark):
         *[F.when(F.col(c).isNotNull(), F.lit(DESCRIPTIONS[c][1])).alias(SPEC.desc_cols[c]) for c in TESTS],
         sum((F.col(c).isNotNull().cast("int") for c in TESTS), F.lit(0)).alias("n_keys"),
         F.element_at(omap, mask).alias("slice_ordinal"),
-        metric_units("total_metric", 2).alias("total_units"),
+        F.round(F.col("total_metric") * 100).cast("bigint").alias("total_units"),
         "num_data_points",
     ).withColumn("slice_key", slice_label(TESTS))
 
@@ -83,7 +83,7 @@ def value_series_from_eda(spark):
 
 def test_screening_picks_the_reference_top_values(spark):
     df = value_series_from_eda(spark).select(
-        "variable", "value", "service_week", metric_units("total_metric", 2).alias("total_units"),
+        "variable", "value", "service_week", F.round(F.col("total_metric") * 100).cast("bigint").alias("total_units"),
         "num_data_points")
     screened = detect(df, SPEC, SCREEN, ["variable", "value"])
     counts = anomaly_counts(screened)
@@ -107,7 +107,7 @@ FOLDER_RULES = {
 def test_eda_profile_reproduces_flags(spark, folder):
     files = sorted(glob.glob(f"{REF}/EDA/{folder}/*.csv"))
     raw = read_series_files(spark, files, SCHEMA)
-    series = raw.select("series", "service_week", metric_units("total_metric", 2).alias("total_units"),
+    series = raw.select("series", "service_week", F.round(F.col("total_metric") * 100).cast("bigint").alias("total_units"),
                         "num_data_points")
     ours = detect(series, SPEC, FOLDER_RULES[folder], ["series"])
     flags = ["is_outlier_z", "is_outlier_metric", "is_outlier_count", "is_outlier"]
@@ -140,7 +140,7 @@ G6_SCHEMA = ("service_week string, total_metric double, num_data_points bigint,
 
 def test_eda_profile_on_the_oldest_unsliced_series(spark):
     raw = read_series_files(spark, f"{REF}/EDA/outliers_all_data/weekly_outliers.csv", G6_SCHEMA)
-    series = raw.select("series", "service_week", metric_units("total_metric", 2).alias("total_units"),
+    series = raw.select("series", "service_week", F.round(F.col("total_metric") * 100).cast("bigint").alias("total_units"),
                         "num_data_points")
     ours = detect(series, SPEC, EDA, ["series"])
     joined = raw.alias("g").join(ours.alias("o"), ["series", "service_week"])

@@ -10,7 +10,7 @@ from spikewatch.operators import period_totals, subset_series
 
 pytestmark = needs(SF001)
 TESTS = ("o_orderpriority", "c_nationkey", "c_mktsegment")
-SPEC = AnalysisSpec("o_orderdate", "o_totalprice", TESTS, {"c_nationkey": "n_name"})
+SPEC = AnalysisSpec("o_orderdate", "o_totalprice", TESTS, {"c_nationkey": "n_name"}, metric_scale=2)
 
 
 def fact(spark):
@@ -77,7 +77,7 @@ def test_most_specific_keeps_one_row_per_period(spark):
 
 @pytest.mark.parametrize("k", [1, 2])
 def test_fewer_test_columns(spark, k):
-    spec = AnalysisSpec("o_orderdate", "o_totalprice", TESTS[:k])
+    spec = AnalysisSpec("o_orderdate", "o_totalprice", TESTS[:k], metric_scale=2)
     a = PeriodAnomalyAnalysis(fact(spark), spec)
     assert a.lattice.select("slice_ordinal").distinct().count() == 2 ** k
     assert a.report.count() > 10

@@ -9,7 +9,7 @@ from spikewatch import DETECT, EDA, SCREEN, AnalysisSpec
 from spikewatch.operators import detect, rolling_columns
 from spikewatch.spec import GUARD_BEFORE_Z, GUARD_NONE
 
-SPEC = AnalysisSpec("t", "m")
+SPEC = AnalysisSpec("t", "m", metric_scale=2)
 
 
 def series(spark, totals, counts=None, key=None):
@@ -139,7 +139,7 @@ def test_float_metric_path_matches_exact_path(spark):
 
     rows = [(i % 40, float((i * 7919) % 1000) / 4 + (3000 if i % 97 == 0 else 0)) for i in range(800)]
     df = spark.createDataFrame(rows, "t int, m double")
-    exact = AnalysisSpec("t", "m")
+    exact = AnalysisSpec("t", "m", metric_scale=2)
     floats = AnalysisSpec("t", "m", metric_scale=None)
     a = detect(period_totals(df, exact), exact, DETECT).orderBy("t").collect()
     b = detect(period_totals(df, floats), floats, DETECT).orderBy("t").collect()

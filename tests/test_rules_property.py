@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from spikewatch import DETECT, AnalysisSpec
 from spikewatch.operators import detect
 
-SPEC = AnalysisSpec("t", "m")
+SPEC = AnalysisSpec("t", "m", metric_scale=2)
 
 
 def _and(*xs):
