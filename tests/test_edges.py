@@ -148,8 +148,8 @@ def test_the_metric_is_summed_as_given(spark):
 def test_one_sided_jumps_and_null_periods(spark):
     from spikewatch.operators import detect
 
-    s = spark.createDataFrame([(None, 5.0)] + [(f"p{i:02d}", 100.0 if i != 9 else 1.0) for i in range(20)], "t string, total_units double") \
-        .selectExpr("t", "total_units", "1L AS num_data_points")
+    s = spark.createDataFrame([(None, 5000.0)] + [(f"p{i:02d}", 10000.0 if i != 9 else 100.0) for i in range(20)], "t string, total_units double") \
+        .selectExpr("t", "CAST(total_units AS BIGINT) AS total_units", "1L AS num_data_points")
     rules = DETECT.with_(jump_up=None, jump_down=0.5, jump_min_abs=10.0)
     spec = AnalysisSpec("t", "m", metric_scale=2)
     plain = detect(s, spec, rules)
