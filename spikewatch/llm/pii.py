@@ -8,9 +8,14 @@
    all candidates of all documents, counted by feature values (the table of
    counts is bounded by the product of the bins, ``FEATURES``), with the
    validated base spans as positive cases.
-4. *Thresholds* per kind, calibrated on candidates of texts left out of the
-   training: the lowest probability whose candidates reach ``precision``.  The
-   candidates that pass and overlap no span already taken are added.
+4. *Thresholds* per kind, calibrated on those candidates of texts left out of
+   the training that overlap no base span: the lowest probability down to which
+   every level of candidates reaches ``precision``.  The candidates that pass
+   and overlap no span already taken are added.
+
+A candidate is a positive case if it is a validated base span, or by evidence
+that no format decides: its numbers hold (Luhn, octets, digit count, domain) and
+a word of its kind stands before it.
 """
 
 from __future__ import annotations
@@ -45,8 +50,10 @@ GENERATORS = {
 _W = "[A-Za-z0-9._%+@()-]"
 _CORE = rf"[A-Za-z._%+()-]*+[0-9@]{_W}*+"
 ZONE = rf"(?<!{_W}){_CORE}(?:[\x20().-]++{_CORE})*+"
-#: Words before a candidate that speak for personal data, in any case.
-CONTEXT = r"(?i)(mail|tel|phone|call|fax|mobile|card|visa|account|contact|write|server|host|login|addr)"
+#: Words before a candidate that speak for personal data of its kind, in any case.
+CONTEXT = {kind: rf"(?i)(?<!\p{{L}})({some})" for kind, some in {
+    "email": "e-?mail|mail|contact|write|addr", "ip": "server|host|login|addr|ip(?!\\p{L})",
+    "card": "card|credit|visa|account", "phone": "tel|phone|call|fax|mobile|cell|contact"}.items()}
 CONTEXT_CHARS = 24
 #: Binned features and their numbers of values; the counts table has at most
 #: 2 labels x 2 folds x their product of rows.
@@ -128,7 +135,7 @@ def _bins(kind: int, match: Column, left: Column, right: Column) -> dict[str, Co
         "start": match.rlike(r"^(\+|[A-Za-z])").cast("int"),
         "before": _char_class(_last_of(left)),
         "after": _char_class(F.left(right, F.lit(1))),
-        "context": left.rlike(CONTEXT).cast("int"),
+        "context": left.rlike(CONTEXT[KINDS[kind]]).cast("int"),
     }
 
 
@@ -177,22 +184,26 @@ def train(docs: DataFrame, text_col: str = "text", precision: float = 0.98, supp
     own = docs.select(docs[text_col].alias("text")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
     rows = with_candidates(own, F.col("text")).select("fold", "base", F.explode("cands").alias("c"))
     truth = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
-    counts = rows.select("fold", truth.alias("y"), *[F.col(f"c.{n}").alias(n) for n in names]) \
-        .groupBy("fold", *names).agg(F.sum(F.col("y").cast("long")).alias("p"), F.count("*").alias("n")).orderBy("fold", *names).collect()
-    table = np.array([[r["fold"], r["p"], r["n"], *(r[n] for n in names)] for r in counts], np.int64).reshape(-1, 3 + len(names))
+    free = ~F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
+    proven = (F.col("c.valid") == 1) & (F.col("c.context") == 1)
+    counts = rows.select("fold", (truth | proven).cast("long").alias("y"), free.cast("long").alias("free"), *[F.col(f"c.{n}").alias(n) for n in names]) \
+        .groupBy("fold", *names).agg(F.sum("y").alias("p"), F.count("*").alias("n"), F.sum(F.col("y") * F.col("free")).alias("free_p"),
+                                     F.sum("free").alias("free_n")).orderBy("fold", *names).collect()
+    first = ("fold", "p", "n", "free_p", "free_n")
+    at = len(first)
+    table = np.array([[r[c] for c in (*first, *names)] for r in counts], np.int64).reshape(-1, at + len(names))
     learn, left_out = table[table[:, 0] == 0], table[table[:, 0] == 1]
     if not len(learn):
         return PiiModel(Boosted(-10.0, []), [None] * len(KINDS))
-    model = boost(learn[:, 3:], learn[:, 1].astype(float), learn[:, 2].astype(float))
+    model = boost(learn[:, at:], learn[:, 1].astype(float), learn[:, 2].astype(float))
     least: list[float | None] = []
     for k in range(len(KINDS)):
-        mine = left_out[left_out[:, 3] == k]
-        margin = model.margin(mine[:, 3:])
-        order = np.argsort(-margin, kind="stable")
-        n, p, m = np.cumsum(mine[order, 2]), np.cumsum(mine[order, 1]), margin[order]
-        last = np.r_[m[1:] != m[:-1], True] if len(m) else np.zeros(0, bool)
-        good = np.flatnonzero(last & (n >= support) & (p >= precision * n))
-        least.append(float(m[good[-1]]) if len(good) else None)
+        mine = left_out[(left_out[:, at] == k) & (left_out[:, 4] > 0)]
+        levels, level = np.unique(-model.margin(mine[:, at:]), return_inverse=True)
+        p, n = (np.bincount(level, mine[:, c], len(levels)) for c in (3, 4))
+        good = np.cumprod(p >= precision * n).astype(bool) & (np.cumsum(n) >= support)
+        # SQL adds the trees up in another order, which may differ in the last digit
+        least.append(float(-levels[good][-1]) - 1e-6 if good.any() else None)
     return PiiModel(model, least)
 
 

@@ -118,3 +118,37 @@ def test_trees_as_columns(spark):
     df = spark.createDataFrame([tuple(map(int, r)) for r in x], "a int, b int, c int")
     got = df.select("a", "b", "c", model.column([F.col(c) for c in "abc"]).alias("m")).collect()
     assert all(r.m == pytest.approx(model.margin(np.array([[r.a, r.b, r.c]]))[0]) for r in got)
+
+
+def test_variants_with_evidence_are_added_and_clean_numbers_are_not(spark):
+    rng = random.Random(3)
+    n = rng.randint
+
+    def card(good):
+        while True:
+            d = "".join(str(n(0, 9)) for _ in range(16))
+            if (sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(d[::-1])) % 10 == 0) == good:
+                return ".".join(d[i:i + 4] for i in range(0, 16, 4))
+    planted = {"phone": lambda: f"({n(200, 999)}) 555-{n(1000, 9999)}", "card": lambda: card(True), "ip": lambda: "-".join(str(n(1, 255)) for _ in range(4))}
+    word = {"phone": "call", "card": "visa", "ip": "server"}
+    base = {"phone": lambda: f"+1 {n(200, 999)} 555 {n(1000, 9999)}", "card": lambda: card(True).replace(".", "-"),
+            "ip": lambda: ".".join(str(n(1, 255)) for _ in range(4))}
+    clean = [lambda: f"visa {card(False)} x", lambda: f"server {n(256, 999)}-{n(256, 999)}-{n(256, 999)}-{n(256, 999)} x",
+             lambda: f"about {n(1, 255)} {n(1, 255)} {n(1, 255)} {n(1, 255)} points", lambda: f"part {n(200, 999)} {n(200, 999)} {n(1000, 9999)} of it"]
+    rows = []
+    for i in range(900):
+        k = ("phone", "card", "ip")[i % 3]
+        value = planted[k]()
+        rows.append((k, value, f"Please {word[k]} {value} today"))
+        rows.append((None, None, f"it says {base[k]()} here"))
+        rows.append((None, "clean", clean[i % 4]()))
+    texts = [t for _, _, t in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(df)
+    spans = {r.doc_id: r.spans for r in pii.digest(df, model=model).collect()}
+    clear = {r.doc_id: r.text for r in pii.redact(df, count_col=None, model=model).collect()}
+    for i, (k, value, text) in enumerate(rows):
+        if k:
+            assert clear[i] == text.replace(value, f"[{k.upper()}]"), (text, spans[i])
+        elif value == "clean" and not plain(text):
+            assert (spans[i], clear[i]) == ("", text)
