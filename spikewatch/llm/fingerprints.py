@@ -171,13 +171,23 @@ def _typed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
+def _block(start: int, end: int) -> Column:
+    """The bits from ``start`` to ``end`` of ``fp``, as hexadecimal text."""
+    first, last = start // 8, (end - 1) // 8
+    whole = F.hex(F.substring("fp", first + 1, last - first + 1))
+    if start % 8 == 0 and end % 8 == 0:
+        return whole
+    shifted = F.shiftright(F.conv(whole, 16, 10).cast("long"), 8 * (last + 1) - end)
+    return F.hex(shifted.bitwiseAND(F.lit((1 << (end - start)) - 1)))
+
+
 def _tables(fps: DataFrame, bits: int, radius: int, blocks: int) -> DataFrame:
     """The columns of ``fps`` (``fp`` and others) with ``table`` and ``key``, one
     row per choice of blocks."""
-    if blocks <= radius or bits // 8 % blocks:
-        raise ValueError("blocks must be more than the radius and cut the bytes evenly")
-    size = bits // 8 // blocks
-    keys = [F.struct(F.lit(t).alias("table"), F.concat(*[F.substring("fp", b * size + 1, size) for b in chosen]).alias("key"))
+    edges = [bits * b // blocks for b in range(blocks + 1)]
+    if blocks <= radius or max(b - a for a, b in zip(edges, edges[1:])) > 48 and bits // 8 % blocks:
+        raise ValueError("blocks must be more than the radius, and of at most 48 bits or whole bytes")
+    keys = [F.struct(F.lit(t).alias("table"), F.concat_ws(".", *[_block(edges[b], edges[b + 1]) for b in chosen]).alias("key"))
             for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
     return fps.select("*", F.explode(F.array(*keys)).alias("at")).select(*fps.columns, "at.table", "at.key")
 
@@ -191,7 +201,7 @@ def differing(a: str, b: str, bits: int) -> Column:
     return total
 
 
-def within(fps: DataFrame, queries: DataFrame, radius: int = 7, blocks: int = 8, bits: int = 256) -> DataFrame:
+def within(fps: DataFrame, queries: DataFrame, radius: int = 12, blocks: int = 13, bits: int = 256) -> DataFrame:
     """All pairs (``query``, ``fp``, ``differ``) of a fingerprint in
     ``queries.query`` and one in ``fps.fp``, both distinct, that differ in at
     most ``radius`` bits; a query that is in ``fps`` finds itself.  Texts with
@@ -204,7 +214,7 @@ def within(fps: DataFrame, queries: DataFrame, radius: int = 7, blocks: int = 8,
     return met.withColumn("differ", differing("query", "fp", bits)).where(F.col("differ") <= radius)
 
 
-def with_neighbours(rows: DataFrame, queries: Column, radius: int = 7, blocks: int = 8, bits: int = 256) -> DataFrame:
+def with_neighbours(rows: DataFrame, queries: Column, radius: int = 12, blocks: int = 13, bits: int = 256) -> DataFrame:
     """The rows of ``fingerprints()`` with ``near_docs``: for those with
     ``queries`` true, how many other documents have a fingerprint within
     ``radius`` bits; NULL for the others."""

@@ -48,7 +48,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.fingerprints(read_documents(spark, sf_dir), bits=256)
-    near = fingerprints.with_neighbours(rows, F.col("doc_id") % 100 == 0, radius=7, blocks=8, bits=256)
+    near = fingerprints.with_neighbours(rows, F.col("doc_id") % 100 == 0, radius=12, blocks=13, bits=256)
     text = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     return near.select("doc_id", "n_chars", "edited_sha256", *text, "near_edited", "near_next", "near_docs")
 

@@ -92,3 +92,23 @@ def test_block_tables_lose_no_pair(spark):
         assert got == want
     with pytest.raises(ValueError):
         fp.within(df, df.select(F.col("fp").alias("query")), 3, 3, 64)
+
+
+def test_near_copies_with_edited_words_are_counted(spark, tmp_path):
+    import random
+    rng = random.Random(2)
+    rows = []
+    for i in range(30):
+        own = [f"w{rng.randrange(5000)}" for _ in range(700)]
+        copy = list(own)
+        for at in (150, 500):
+            copy[at] = "edited"
+        rows += [(100 * i, " ".join(own)), (100 * i + 1, " ".join(copy))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    make = fp.Fingerprinter(256)
+    at = {n: int.from_bytes(make.of(t.encode())) for n, t in rows}
+    differ = [(at[100 * i] ^ at[100 * i + 1]).bit_count() for i in range(30)]
+    assert sum(7 < d <= 12 for d in differ) > 5
+    near = {r.doc_id: r.near_docs for r in op4_fingerprints(spark, str(tmp_path)).collect()}
+    assert [near[100 * i] for i in range(30)] == [int(d <= 12) for d in differ]
+    assert sum(near[100 * i] for i in range(30)) >= 24
