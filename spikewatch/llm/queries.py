@@ -3,12 +3,14 @@ SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikewatch.llm import fingerprints, kdtree, lm, mixing, packing, pii, quality, sharding, simhash_dedup, toxicity
+from spikewatch.llm import (fingerprints, kdtree, lm, mixing, packing, periodic_runs, pii, quality, sharding, simhash_dedup,
+                            substring_dedup, toxicity, whitening)
 from spikewatch.llm.common import read_documents
 
 
@@ -83,10 +85,49 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8, scale=1024.0, shift=100_000)
+    return rows.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"),
+                       "whitened", "explained", "identity_error")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(read_documents(spark, sf_dir), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def planted_loop(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """From which word on, and with which period, a text of ``n`` words is made to
+    repeat; a row without an id is left as it is."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(read_documents(spark, sf_dir), least=12, loop=planted_loop)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = rows.withColumn("best", best)
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_kdtree_search, op2_simhash_dedup, op3_toxicity, op4_fingerprints, op5_mixing, op6_pii, op7_quality,
-        op8_language_model, op9_packing, op10_sharding)}
+        op8_language_model, op9_packing, op10_sharding, op11_whitening, op12_substring_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
