@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from spikewatch.operators.attribute import ranked_findings  # noqa: E402
 from spikewatch.plans import chart  # noqa: E402
 from spikewatch.plans.report import grouping_text  # noqa: E402
 from spikewatch.operators.lattice import subset_series  # noqa: E402
-from spikewatch.sources import read_table, register_view  # noqa: E402
+from spikewatch.sources import load_config, profile_rows, read_table, register_view  # noqa: E402
 from spikewatch.spec import GUARD_AFTER_Z, GUARD_BEFORE_Z  # noqa: E402
 
 try:  # the training-data operators and their pipeline, if they are there
@@ -62,6 +63,7 @@ EVENTS_SPEC = AnalysisSpec("hour", "value", period_noun="Hours", metric_scale=2)
 EVENTS_RULES = RuleSet(z_cut=2.0, jump_up=2.0, jump_down=0.5, jump_min_abs=100.0,
                        shift_ratio=1.5, shift_min_abs=50.0, backfill_first=True,
                        zero_mean_guard=GUARD_AFTER_Z)
+WIDE = DETECT.with_(half_window=60, shift_span=25)
 EDA_SPEC_GUARD = EDA.with_(zero_mean_guard=GUARD_BEFORE_Z)
 
 
@@ -180,7 +182,27 @@ def q_detect_series(spark, d):
 def q_detect_series_blocked(spark, d):
     """The same series as detect_series, windows run in blocks of 64 days
     with a halo (the form for very long time axes)."""
-    return detect(_day_series(spark, d), DAY_SPEC, DETECT, block_rows=64, bucket="year(o_orderdate)")
+    return detect(_day_series(spark, d), DAY_SPEC, DETECT, block_rows=64)
+
+
+def q_detect_text_axis_blocked(spark, d):
+    """Blocked windows over periods named by text: ordered over range partitions."""
+    days = _t(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_totalprice")
+    return detect(period_totals(days, DAY_SPEC), DAY_SPEC, DETECT, block_rows=64)
+
+
+def q_wide_window_series(spark, d):
+    """A centred window of 121 days, from running sums."""
+    return detect(_day_series(spark, d), DAY_SPEC, WIDE)
+
+
+def q_wide_value_series(spark, d):
+    """The same for every value of every test column."""
+    return value_series(_fact(spark, d), FACT_SPEC, WIDE)
+
+
+def q_wide_series_blocked(spark, d):
+    return detect(_day_series(spark, d), DAY_SPEC, WIDE, block_rows=100)
 
 
 def q_materialized_report_rows(spark, d):
@@ -342,7 +364,26 @@ def q_raw_metric_totals(spark, d):
     """A metric below one cent, summed as doubles."""
     li = _t(spark, d, "lineitem").withColumn("saving", F.col("l_extendedprice") * F.col("l_discount") / 1000)
     s = period_totals(li, AnalysisSpec("l_shipdate", "saving"))
-    return s.select("l_shipdate", F.round("total_units", 9).alias("total_metric"), "num_data_points")
+    return s.select("l_shipdate", F.col("total_units").alias("total_metric"), "num_data_points")
+
+
+RAW_SPEC = AnalysisSpec("o_orderdate", "margin", TESTS)
+
+
+def _margins(spark, d):
+    """A metric in doubles of very different sizes and either sign."""
+    return _fact(spark, d).withColumn("margin", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END / "
+                                                       "CASE o_orderkey % 4 WHEN 0 THEN 7e0 WHEN 1 THEN 65536e0 WHEN 2 THEN 0.0009765625e0 ELSE 3e0 END"))
+
+
+def q_raw_value_totals(spark, d):
+    """Doubles summed as given, for every value: the exact sum, rounded once."""
+    return value_totals(_margins(spark, d), RAW_SPEC).withColumnRenamed("total_units", "total_metric")
+
+
+def q_raw_subset_totals(spark, d):
+    s = subset_series(_margins(spark, d), RAW_SPEC, {"o_orderpriority": "1-URGENT", "c_nationkey": "7", "c_mktsegment": "BUILDING"})
+    return s.select("o_orderdate", "slice_ordinal", F.col("total_units").alias("total_metric"), "num_data_points")
 
 
 def q_decimal_totals(spark, d):
@@ -377,6 +418,23 @@ def q_many_test_columns(spark, d):
     return s.select("l_month", "n_keys", "slice_ordinal", F.col("total_units").alias("total_metric"), "num_data_points")
 
 
+WIDE_TESTS = {f"c{i}": f"l_partkey * {2 * i + 3} + l_orderkey * {i % 7 + 1} + l_linenumber * {i + 1}" for i in range(70)}
+WIDE_SPEC = AnalysisSpec("l_year", "l_quantity", tuple(WIDE_TESTS), metric_scale=0)
+
+
+def _wide_value(i: int) -> str:
+    """Test column ``i`` of 70: one of 61 + i values, so that a row holds few top values."""
+    return f"CAST(({WIDE_TESTS[f'c{i}']}) % {61 + i} AS INT)"
+
+
+def q_seventy_test_columns(spark, d):
+    """Masks of two integers and ordinals beyond a long."""
+    li = _t(spark, d, "lineitem").selectExpr("year(l_shipdate) AS l_year", "l_quantity", *[f"{_wide_value(i)} AS c{i}" for i in range(70)])
+    s = subset_series(li, WIDE_SPEC, {c: "1" for c in WIDE_TESTS})
+    return s.select("l_year", "n_keys", F.col("slice_ordinal").cast("string").alias("slice_ordinal"),
+                    F.col("total_units").alias("total_metric"), "num_data_points")
+
+
 def q_one_description_per_code(spark, d):
     s = subset_series(_fact(spark, d), SEGMENT_SPEC, SEGMENT_TOP)
     return s.select("o_orderdate", "slice_ordinal", "c_mktsegment", _value("total_units"), "num_data_points")
@@ -435,6 +493,37 @@ def q_view_totals(spark, d):
     return period_totals(spark.table("spikewatch_orders"), DAY_SPEC).select("o_orderdate", _value("total_units"), "num_data_points")
 
 
+CONFIG = {
+    "dataset": {"name": "orders", "format": "parquet"},
+    "variables": {"o_orderkey": {"type": "bigint"}, "o_orderdate": {"type": "timestamp", "time_variable": True},
+                  "o_orderpriority": {"type": "string", "test_variable": True}, "o_totalprice": {"type": "double", "metric_variable": True},
+                  "o_orderstatus": {"type": "string", "test_variable": True}},
+}
+
+
+def _configured(spark, d):
+    """S3: table and column roles from a job configuration."""
+    source, spec = load_config(CONFIG, metric_scale=2)
+    return read_table(spark, f"{d}/{source.name}.parquet", source.format, source.options), spec
+
+
+def q_configured_value_totals(spark, d):
+    table, spec = _configured(spark, d)
+    v = value_totals(table, spec)
+    return v.select("variable", "value", "o_orderdate", _value("total_units"), "num_data_points")
+
+
+def q_configured_top_values(spark, d):
+    table, spec = _configured(spark, d)
+    return top_values(anomaly_counts(value_series(table, spec, SCREEN)))
+
+
+def q_configured_profile(spark, d):
+    """The profile that the job writes, of the configured table."""
+    table, _ = _configured(spark, d)
+    return profile_rows(data_profile(table))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -619,6 +708,64 @@ def _many_sql() -> str:
             f"CAST(SUM(n) AS BIGINT) AS num_data_points FROM r JOIN s ON (r.mask & s.mask) = s.mask GROUP BY l_month, n_keys, ordinal")
 
 
+def _wide_sql() -> str:
+    """Every set of top values that some row holds, cleared bit by bit; ordinals from binomials."""
+    k = len(WIDE_TESTS)
+    one = "CAST(1 AS HUGEINT)"
+    bits = " + ".join(f"CASE WHEN {_wide_value(i)} = 1 THEN {one} << {i} ELSE 0 END" for i in range(k))
+    binomials = ", ".join(f"({n}, {r}, CAST('{comb(n, r)}' AS HUGEINT))" for n in range(k + 1) for r in range(n + 1) if r <= 12)
+    return (f"WITH RECURSIVE r AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS l_year, {bits} AS mask, SUM(CAST(l_quantity AS DECIMAL(18,0))) AS q, "
+            f"COUNT(*) AS n FROM lineitem GROUP BY 1, 2), "
+            f"i AS (SELECT CAST(range AS INTEGER) AS i FROM range({k})), c AS (SELECT * FROM (VALUES {binomials}) b(n, r, c)), "
+            f"p AS (SELECT DISTINCT mask AS big, mask AS sub FROM r UNION SELECT big, sub - ({one} << i) FROM p, i WHERE (sub >> i) & 1 = 1), "
+            f"held AS (SELECT sub, i, row_number() OVER (PARTITION BY sub ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY sub) AS size "
+            f"FROM (SELECT DISTINCT sub FROM p) s, i WHERE (sub >> i) & 1 = 1), "
+            f"rest AS (SELECT sub, MIN(size) AS size, SUM(COALESCE(c.c, 0)) AS after FROM held LEFT JOIN c "
+            f"ON c.n = {k} - 1 - i AND c.r = size - j GROUP BY sub), "
+            f"o AS (SELECT sub, size, (SELECT COALESCE(SUM(c), 0) FROM c WHERE n = {k} AND r < size) + (SELECT c FROM c WHERE n = {k} AND r = size) - 1 - after "
+            f"AS ordinal FROM rest UNION ALL SELECT CAST(0 AS HUGEINT), 0, 0) "
+            f"SELECT l_year, CAST(size AS INTEGER) AS n_keys, CAST(CAST(ordinal AS HUGEINT) AS VARCHAR) AS slice_ordinal, "
+            f"CAST(SUM(q) AS BIGINT) AS total_metric, CAST(SUM(r.n) AS BIGINT) AS num_data_points "
+            f"FROM r JOIN p ON r.mask = p.big JOIN o ON p.sub = o.sub GROUP BY l_year, size, ordinal")
+
+
+def _raw_sum(x: str, bits: int = 60) -> str:
+    """The exact sum of doubles whose bits lie above 2 ^ -``bits``, rounded once."""
+    total = f"SUM(CAST(({x}) * CAST({2 ** bits} AS DOUBLE) AS HUGEINT))"
+    return f"({O.signed_double(total)} / CAST({2 ** bits} AS DOUBLE))"
+
+
+_MARGIN = ("CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END / "
+           "CASE o_orderkey % 4 WHEN 0 THEN 7e0 WHEN 1 THEN 65536e0 WHEN 2 THEN 0.0009765625e0 ELSE 3e0 END")
+
+
+def _raw_value_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, o_orderdate, {_raw_sum(_MARGIN)} AS total_metric, "
+        f"COUNT(*) AS num_data_points FROM {FACT} _f GROUP BY {c}, o_orderdate" for c in TESTS)
+
+
+def _raw_subset_sql() -> str:
+    held = ["o_orderpriority = '1-URGENT'", "c_nationkey = 7", "c_mktsegment = 'BUILDING'"]
+    return " UNION ALL ".join(
+        f"SELECT o_orderdate, CAST({j} AS INTEGER) AS slice_ordinal, {_raw_sum(_MARGIN)} AS total_metric, COUNT(*) AS num_data_points "
+        f"FROM {FACT} _f WHERE {' AND '.join(['true', *[held[i] for i in s]])} GROUP BY o_orderdate"
+        for j, s in enumerate(FACT_SPEC.subsets()))
+
+
+def _configured_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, {c} AS value, o_orderdate, CAST(SUM({O.units('o_totalprice')}) AS BIGINT) AS tu, COUNT(*) AS n "
+        f"FROM orders GROUP BY {c}, o_orderdate" for c in ("o_orderpriority", "o_orderstatus"))
+
+
+def _configured_top_sql() -> str:
+    screened = O.detect_sql(_configured_sql(), "o_orderdate", SCREEN, keys=("variable", "value"))
+    counts = f"SELECT variable, value, CAST(COALESCE(SUM(CAST(is_outlier AS INTEGER)), 0) AS BIGINT) AS anomaly_count FROM ({screened}) _x GROUP BY 1, 2"
+    return (f"SELECT variable, value, anomaly_count FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY anomaly_count DESC, value) AS _r "
+            f"FROM ({counts}) _c WHERE value IS NOT NULL) _t WHERE _r = 1")
+
+
 def _one_description_sql() -> str:
     parts = []
     for j, (urgent, nation) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
@@ -672,6 +819,19 @@ def oracle_sql() -> dict[str, str]:
         "shift_means": f"SELECT o_orderdate, mean_prev, mean_next FROM ({rolled}) _r",
         "detect_series": _detect_day_sql(),
         "detect_series_blocked": _detect_day_sql(),
+        "detect_text_axis_blocked": O.detect_sql(O.series_sql("(SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders)",
+                                                              "o_orderdate", "o_totalprice"), "o_orderdate", DETECT),
+        "wide_window_series": _detect_day_sql(WIDE),
+        "wide_series_blocked": _detect_day_sql(WIDE),
+        "wide_value_series": O.detect_sql(_value_totals_sql(), T, WIDE, keys=("variable", "value")),
+        "raw_value_totals": _raw_value_sql(),
+        "raw_subset_totals": _raw_subset_sql(),
+        "seventy_test_columns": _wide_sql(),
+        "configured_value_totals": (f"SELECT variable, value, o_orderdate, {O.to_value('tu')} AS total_metric, n AS num_data_points "
+                                    f"FROM ({_configured_sql()}) _v"),
+        "configured_top_values": _configured_top_sql(),
+        "configured_profile": " UNION ALL ".join(
+            f"SELECT '{c}' AS \"Column\", COUNT(*) - COUNT({c}) AS \"Null Count\", '{kind}' AS \"Data Type\" FROM orders" for c, kind in _ORDERS_COLS),
         "blocked_report_rows": _report_rows_sql(),
         "materialized_report_rows": _report_rows_sql(),
         "detect_day": f"SELECT * FROM ({_detect_day_sql()}) _d WHERE is_outlier",
@@ -730,7 +890,7 @@ def oracle_sql() -> dict[str, str]:
         "weekly_report_rows": _report_rows_sql(WEEK_FACT, "o_week"),
         "weekly_report_text": _report_text_sql(WEEK_FACT, "o_week", "Weeks"),
         "shipments_weekly": O.detect_sql(li_week, "l_week", shipments_rules),
-        "raw_metric_totals": "SELECT l_shipdate, round(SUM(l_extendedprice * l_discount / 1000), 9) AS total_metric, "
+        "raw_metric_totals": f"SELECT l_shipdate, {_raw_sum('(l_extendedprice * l_discount / 1000)')} AS total_metric, "
                              "COUNT(*) AS num_data_points FROM lineitem GROUP BY l_shipdate",
         "decimal_totals": "SELECT o_orderdate, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS total_metric, "
                           "COUNT(*) AS num_data_points FROM orders GROUP BY o_orderdate",

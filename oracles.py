@@ -31,6 +31,14 @@ def _exact_double(h: str) -> str:
             f"+ CAST(({h}) % 4294967296 AS DOUBLE))")
 
 
+def signed_double(h: str) -> str:
+    """Correctly rounded HUGEINT -> DOUBLE of either sign: the 60 bits from the
+    highest one down, a last bit for what lies below them, one rounding."""
+    wide = (f"[CAST(((abs(v) >> s) | CASE WHEN abs(v) & ((CAST(1 AS HUGEINT) << s) - 1) = 0 THEN 0 ELSE 1 END) AS DOUBLE) * pow(2.0, s) "
+            f"for s in [greatest(CAST(ceil(log2(CAST(abs(v) AS DOUBLE))) AS INTEGER) - 60, 1)]][1]")
+    return f"[CASE WHEN abs(v) < 1152921504606846976 THEN CAST(v AS DOUBLE) ELSE sign(v) * {wide} END for v in [{h}]][1]"
+
+
 def series_sql(src: str, t: str, metric: str, keys: Sequence[str] = (), where: str = "",
                carry: Sequence[str] = (), scale: int = 2) -> str:
     """Per (keys, period) totals: columns keys, carry, t, tu (BIGINT units),

@@ -3,43 +3,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rule_names
+from ..functions.exprs import q, rule_names
 from ..spec import AnalysisSpec
+from .order import numbered
 
 
 def _flag(df: DataFrame, name: str):
     return name if name in df.columns else None
 
 
+def with_rule_names(detected: DataFrame) -> DataFrame:
+    """The names of the rules that fired, in the order z_score, metric,
+    change (count for the EDA profile)."""
+    return detected.withColumn("anomaly_types", rule_names(
+        _flag(detected, "is_outlier_z"), _flag(detected, "is_outlier_metric"),
+        _flag(detected, "change_point"), _flag(detected, "is_outlier_count")))
+
+
 def findings(detected: DataFrame) -> DataFrame:
     """F2 + A8: flagged (slice, period) rows with the names of the rules that
-    fired, in the order z_score, metric, change (count for the EDA profile).
-    ``is_outlier`` NULL is not a finding."""
-    types = rule_names(_flag(detected, "is_outlier_z"), _flag(detected, "is_outlier_metric"),
-                       _flag(detected, "change_point"), _flag(detected, "is_outlier_count"))
-    return detected.filter(F.col("is_outlier")).withColumn("anomaly_types", types)
+    fired.  ``is_outlier`` NULL is not a finding."""
+    return with_rule_names(detected.filter(F.col("is_outlier")))
 
 
 def most_specific(found: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """Per period keep the slice with the most keys, then the highest
     total, then the earliest subset.  Also records ``first_ordinal``: the
     earliest subset that flagged the period, the report's tie-break.
-    Partitions are periods: at most 2^k rows each."""
+
+    One aggregate per period (``max_by`` over those three and the smallest
+    ordinal), combined before the shuffle, so of a period's findings at most one
+    per map task travels."""
     t = spec.time_col
-    by_period = Window.partitionBy(t)
-    ranked = by_period.orderBy(F.col("n_keys").desc(), F.col("total_metric").desc(),
-                               F.col("slice_ordinal").asc())
-    return (
-        found.withColumns({
-            "first_ordinal": F.min("slice_ordinal").over(by_period),
-            "_pick": F.row_number().over(ranked),
-        })
-        .filter(F.col("_pick") == 1)
-        .drop("_pick")
-    )
+    row = ", ".join(q(c) for c in found.columns if c != t)
+    picked = found.groupBy(t).agg(F.expr(f"max_by(struct({row}), struct(n_keys, total_metric, -slice_ordinal)) AS _best"),
+                                  F.min("slice_ordinal").alias("first_ordinal"))
+    return picked.select(*[F.col(q(t)) if c == t else F.col(f"_best.{q(c)}") for c in found.columns], "first_ordinal")
 
 
 def report_order(spec: AnalysisSpec):
@@ -50,11 +52,8 @@ def report_order(spec: AnalysisSpec):
 
 def ranked_findings(selected: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """Numbers the selected findings in report order (``report_rank`` from 1)
-    and adds ``n_blocks``.  The input holds one row per flagged period, so the
-    single ordered window here sees at most one row per period of the time
-    axis, never fact rows."""
-    whole = Window.partitionBy()
-    return selected.withColumns({
-        "report_rank": F.row_number().over(whole.orderBy(*report_order(spec))),
-        "n_blocks": F.count(F.lit(1)).over(whole),
-    })
+    and adds ``n_blocks``.  The findings are range-sorted once over all tasks
+    and written to the checkpoint folder; ranks come from the counts per range
+    (``order.numbered``)."""
+    placed = numbered(selected, report_order(spec), "_place", total="n_blocks")
+    return placed.selectExpr("* EXCEPT (_place, n_blocks)", "CAST(_place + 1 AS INT) AS report_rank", "n_blocks")

@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import any_of_sql, dlit, q, units_to_value_sql
 from ..spec import GUARD_AFTER_Z, GUARD_BEFORE_Z, GUARD_NONE, AnalysisSpec, RuleSet
+from .order import numbered
 
 _BIG = "DECIMAL(38,0)"
+#: Frames reaching further than this use running sums.
+_NEIGHBOURS = 8
 
 
 def _bound(v: int) -> str:
@@ -75,6 +78,8 @@ def rolling_columns(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
         return series.selectExpr(*keep, *cols)
 
     reach = max(h, k)
+    if reach > _NEIGHBOURS:
+        return _from_running_sums(series, keep, base, part, order, rules, scale)
     nb = {j: f"_nb_m{-j}" if j < 0 else f"_nb_p{j}" for j in range(-reach, reach + 1) if j}
     nb[0] = u
     fetch = [f"lag({u}, {-j}) OVER ({order}) AS {nb[j]}" if j < 0 else f"lead({u}, {j}) OVER ({order}) AS {nb[j]}"
@@ -111,6 +116,45 @@ def rolling_columns(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
     return out.drop(*helpers)
 
 
+def _from_running_sums(series: DataFrame, keep: Sequence[str], base: Sequence[str], part: str, order: str,
+                       rules: RuleSet, scale: int) -> DataFrame:
+    """W3-W6 for wide frames: running counts, sums and sums of squares, exact, and
+    every frame's moments as the difference of two of them, fetched with ``lag``
+    and ``lead``.  Work per row and plan size are the same for any width; a sum
+    of squares beyond 38 digits fails the job."""
+    h, k = rules.half_window, rules.shift_span if rules.shift_enabled else 0
+    u, sf = "total_units", dlit(10 ** scale)
+    wide = f"CAST({u} AS {_BIG})"
+    moments = {"n": ("count", u), "s1": ("sum", wide), "s2": ("sum", f"{wide} * {wide}")}
+    run, whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    zero = {m: f"CAST(0 AS {'BIGINT' if m == 'n' else _BIG})" for m in moments}
+    sums = [f"coalesce(CAST({f}({x}) OVER ({order} {frame}) AS {'BIGINT' if m == 'n' else _BIG}), {zero[m]}) AS _{at}_{m}"
+            for m, (f, x) in moments.items() for at, frame in (("run", run), ("all", whole))]
+    stage = series.selectExpr(*keep, *base, *sums)
+
+    frames = {"_c": (-h, h), **({"_p": (-k, -1), "_f": (1, k)} if k else {})}
+    fetch = []
+    for name, (lo, hi) in frames.items():
+        for m in moments if name == "_c" else ("n", "s1"):
+            # up to the frame's last row: all of them past the end; up to the row before its first: none
+            last = f"_run_{m}" if hi == 0 else (f"coalesce(lead(_run_{m}, {hi}) OVER ({order}), _all_{m})" if hi > 0
+                                                else f"coalesce(lag(_run_{m}, {-hi}) OVER ({order}), {zero[m]})")
+            first = f"_run_{m}" if lo == 1 else f"coalesce(lag(_run_{m}, {1 - lo}) OVER ({order}), {zero[m]})"
+            fetch.append(f"{last} - {first} AS {name}_{m}")
+    kept = [q(c) for c in stage.columns if not c.startswith(("_run_", "_all_"))]
+    stage = stage.selectExpr(*kept, *fetch)
+
+    def mean(f):
+        return f"CASE WHEN {f}_n > 0 THEN CAST({f}_s1 AS DOUBLE) / CAST({f}_n AS DOUBLE) / {sf} END"
+
+    spread = f"CAST(CAST(_c_n AS {_BIG}) * _c_s2 - _c_s1 * _c_s1 AS {_BIG})"
+    std = (f"CASE WHEN _c_n > 1 THEN SQRT(CAST({spread} AS DOUBLE) / (CAST(_c_n AS DOUBLE) * CAST(_c_n - 1 AS DOUBLE))) / {sf} END")
+    cols = [f"{mean('_c')} AS rolling_mean", f"{std} AS rolling_std"]
+    if k:
+        cols += [f"{mean('_p')} AS mean_prev", f"{mean('_f')} AS mean_next"]
+    return stage.selectExpr(*kept, *cols)
+
+
 def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) -> DataFrame:
     """D1-D8 on the output of ``rolling_columns``, as one projection
     (``drop``: input columns to leave out)."""
@@ -154,71 +198,42 @@ def apply_rules(rolled: DataFrame, rules: RuleSet, drop: Sequence[str] = ()) ->
 
 
 def detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
-           key_cols: Sequence[str] = (), block_rows: Optional[int] = None,
-           bucket: Optional[str] = None, checkpoint_input: bool = True) -> DataFrame:
+           key_cols: Sequence[str] = (), block_rows: Optional[int] = None) -> DataFrame:
     """Windows + rules over a series with ``total_units`` and
     ``num_data_points``; ``key_cols`` identify the slice (window partition).
 
     ``block_rows`` switches to the blocked form for very long series (see
     ``blocked_detect``); the result is identical."""
     if block_rows is not None:
-        return blocked_detect(series, spec, rules, key_cols, block_rows, bucket, checkpoint_input)
+        return blocked_detect(series, spec, rules, key_cols, block_rows)
     return apply_rules(rolling_columns(series, spec, rules, key_cols), rules, drop=("total_units",))
 
 
-def period_index(series: DataFrame, spec: AnalysisSpec, key_cols: Sequence[str] = (),
-                 bucket: Optional[str] = None) -> DataFrame:
-    """Adds ``_i``: the 0-based position of each period within its slice, in
-    time order, computed without ordering a whole slice in one task.
-
-    ``bucket`` is a SQL expression of the time column that never decreases
-    with time (default: the year for date / timestamp columns, the time value
-    itself otherwise).  Periods are numbered inside each bucket; each bucket's
-    offset is the running count of the earlier buckets, a window over one row
-    per (slice, bucket)."""
-    t = q(spec.time_col)
-    if bucket is None:
-        dtype = dict(series.dtypes)[spec.time_col]
-        bucket = f"year({t})" if dtype.startswith(("date", "timestamp")) else t
-    keys = [q(k) for k in key_cols]
-    part = ", ".join(keys)
-    with_b = series.selectExpr("*", f"{bucket} AS _b")
-    counts = with_b.groupBy(*key_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    over_b = f"OVER ({'PARTITION BY ' + part + ' ' if keys else ''}ORDER BY _b " \
-             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = counts.selectExpr(*keys, "_b", f"coalesce(sum(_n) {over_b}, 0) AS _off")
-    local = f"row_number() OVER (PARTITION BY {part + ', ' if keys else ''}_b ORDER BY {t}) - 1"
-    # Null-safe join: a NULL dimension value is a slice of its own.
-    offsets = offsets.selectExpr(*[f"{q(k)} AS {q('_k_' + k)}" for k in key_cols], "_b AS _kb", "_off")
-    cond = [with_b[k].eqNullSafe(offsets["_k_" + k]) for k in key_cols] + [with_b["_b"].eqNullSafe(offsets["_kb"])]
-    joined = with_b.join(offsets, cond).drop(*["_k_" + k for k in key_cols], "_kb")
-    return joined.selectExpr("*", f"_off + {local} AS _i").drop("_b", "_off")
+def period_index(series: DataFrame, spec: AnalysisSpec, key_cols: Sequence[str] = (), ranges: Optional[int] = None) -> DataFrame:
+    """Adds ``_i``: the 0-based place of each row in the order of slices, then
+    time, numbered over range partitions (``order.numbered``), so that no task
+    orders a whole slice and the time column may be of any type that sorts.
+    Within a slice the places follow each other."""
+    return numbered(series, [F.col(q(c)).asc_nulls_first() for c in (*key_cols, spec.time_col)], "_i", ranges=ranges)
 
 
 def blocked_detect(series: DataFrame, spec: AnalysisSpec, rules: RuleSet,
-                   key_cols: Sequence[str] = (), block_rows: int = 4096,
-                   bucket: Optional[str] = None, checkpoint_input: bool = True) -> DataFrame:
+                   key_cols: Sequence[str] = (), block_rows: int = 4096, ranges: Optional[int] = None) -> DataFrame:
     """``detect`` for series too long for one window task.
 
-    Periods are numbered (``period_index``) and cut into blocks of
-    ``block_rows``; every block also receives the ``h`` rows on each side
-    (``h`` = the widest frame reach), the ROWS frames run per (slice, block)
-    and each block keeps its own rows.  Frames never reach past the halo, so
-    the result equals the unblocked window.
+    Rows are numbered in the order of slices and time (``period_index``) and cut
+    into blocks of ``block_rows``; every block also receives the ``h`` rows on
+    each side (``h`` = the widest frame reach), the ROWS frames run per (slice,
+    block) and each block keeps its own rows.  Frames never reach past the halo,
+    so the result equals the unblocked window.
 
-    The series feeds two branches (bucket counts and rows), so by default it
-    is checkpointed first (reliable checkpoint in the session's checkpoint
-    directory): the upstream aggregation then runs once.  Pass
-    ``checkpoint_input=False`` when the series is already materialized."""
+    The numbered series is kept in the session's checkpoint directory: the
+    upstream aggregation runs once.  ``ranges`` is the number of range
+    partitions (default: the session's shuffle partitions)."""
     h = max(rules.half_window, rules.shift_span if rules.shift_enabled else 0, 1)
     if block_rows < h:
         raise ValueError(f"block_rows must be at least {h}")
-    if checkpoint_input:
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(series.sparkSession)
-        series = series.checkpoint(eager=True)
-    idx = period_index(series, spec, key_cols, bucket)
+    idx = period_index(series, spec, key_cols, ranges)
     b = block_rows
     # A NULL period is a period like any other: it sorts first.
     copies = (f"filter(array(named_struct('_blk', _i DIV {b}, '_own', true), "

@@ -101,7 +101,7 @@ class PeriodAnomalyAnalysis:
     @cached_property
     def detected(self) -> DataFrame:
         return detect(self.lattice, self.spec, self.detect_rules, key_cols=["slice_ordinal"],
-                      block_rows=self.block_rows, checkpoint_input=not self.materialize)
+                      block_rows=self.block_rows)
 
     @cached_property
     def found(self) -> DataFrame:
@@ -130,14 +130,14 @@ class PeriodAnomalyAnalysis:
         return chart.bands(self.base, self.detect_rules)
 
     def points(self) -> DataFrame:
-        return chart.chart_points(self.selected, self.base, self.spec)
+        return chart.lattice_points(self.detected, self.spec)
 
     def axis(self) -> DataFrame:
-        return chart.reported_axis(self.base, self.selected, self.spec)
+        return chart.lattice_axis(self.detected, self.spec)
 
     def overlay(self) -> DataFrame:
         """The unsliced series and the full subset; only these two are built."""
-        ordinals = [0, len(self.spec.subsets()) - 1]
+        ordinals = [0, self.spec.n_subsets() - 1]
         if self.materialize:
             return chart.overlay(self.detected, self.spec, ordinals)
         two = subset_series(self.projected, self.spec, self.top_map, wanted=ordinals)

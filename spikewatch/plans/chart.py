@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EDA_POINT_COLORS, EDA_POINT_LABELS, point_class_sql, point_color_sql, point_label_sql, q
-from ..operators.attribute import findings
+from ..operators.attribute import findings, with_rule_names
+from ..operators.lattice import slice_columns
 from ..spec import AnalysisSpec, RuleSet
 
 
@@ -41,6 +42,20 @@ def chart_points(selected: DataFrame, base: DataFrame, spec: AnalysisSpec) -> Da
                           f"{point_color_sql('point_class')} AS color")
 
 
+def lattice_points(detected: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """``chart_points`` straight from the detected lattice, whose subset 0 is the
+    unsliced series: one aggregate per period picks the finding (W7) and the
+    total to place it at, without a join or a second reading."""
+    t = q(spec.time_col)
+    flagged = detected.filter(F.col(spec.time_col).isNotNull() & (F.col("is_outlier") | (F.col("slice_ordinal") == 0)))
+    best = "max_by(struct(slice_key, anomaly_types), struct(n_keys, total_metric, -slice_ordinal)) FILTER (WHERE is_outlier)"
+    out = with_rule_names(flagged).groupBy(spec.time_col).agg(
+        F.expr("max(total_metric) FILTER (WHERE slice_ordinal = 0)").alias("total_metric"), F.expr(best).alias("_best"))
+    return out.filter("_best IS NOT NULL").selectExpr(
+        t, "total_metric", "_best.slice_key", "_best.anomaly_types", f"{point_class_sql('_best.anomaly_types')} AS point_class").selectExpr(
+        "*", f"{point_label_sql('point_class')} AS label", f"{point_color_sql('point_class')} AS color")
+
+
 def reported_axis(base: DataFrame, selected: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """The unsliced series with ``is_reported`` marking the axis ticks."""
     t = spec.time_col
@@ -49,12 +64,24 @@ def reported_axis(base: DataFrame, selected: DataFrame, spec: AnalysisSpec) -> D
         "is_reported", F.coalesce(F.col("is_reported"), F.lit(False)))
 
 
+def lattice_axis(detected: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """``reported_axis`` straight from the detected lattice: one aggregate per
+    period keeps the unsliced row and whether any slice was flagged."""
+    drop = {*slice_columns(spec), spec.time_col}
+    base = [c for c in detected.columns if c not in drop]
+    out = detected.groupBy(spec.time_col).agg(
+        F.expr(f"any_value(struct({', '.join(q(c) for c in base)})) FILTER (WHERE slice_ordinal = 0) AS _base"),
+        F.expr("coalesce(bool_or(is_outlier), false) AS _any"))
+    return out.select(spec.time_col, *[F.col(f"_base.{q(c)}") for c in base], F.lit("all").alias("slice_key"),
+                      (F.col("_any") & F.col(spec.time_col).isNotNull()).alias("is_reported"))
+
+
 def overlay(detected: DataFrame, spec: AnalysisSpec, ordinals: Sequence[int] | None = None) -> DataFrame:
     """Several lattice series on one time axis in long format
     (``series`` = slice key).  Default: the unsliced series and the full
     subset."""
     if ordinals is None:
-        ordinals = [0, len(spec.subsets()) - 1]
+        ordinals = [0, spec.n_subsets() - 1]
     return detected.filter(F.col("slice_ordinal").isin(list(ordinals))).select(
         F.col("slice_key").alias("series"), F.col(spec.time_col), F.col("total_metric"),
         F.col("rolling_mean"), F.col("rolling_std"), F.col("is_outlier"),

@@ -9,6 +9,7 @@ they only shape the Spark plans and never carry data.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from math import comb
 from typing import Mapping, Optional, Sequence
 
 # Zero-mean guard placements (see ``RuleSet.zero_mean_guard``).
@@ -151,6 +152,28 @@ class AnalysisSpec:
         k = len(self.test_cols)
         return [c for r in range(k + 1) for c in combinations(range(k), r)]
 
+    def n_subsets(self) -> int:
+        return 1 << len(self.test_cols)
+
+    def subset_at(self, ordinal: int) -> tuple[int, ...]:
+        """``subsets()[ordinal]``, without listing them."""
+        k, size = len(self.test_cols), 0
+        if not 0 <= ordinal < 1 << k:
+            raise ValueError(f"no subset {ordinal}")
+        while ordinal >= comb(k, size):
+            ordinal -= comb(k, size)
+            size += 1
+        chosen: list[int] = []
+        for i in range(k):
+            if len(chosen) == size:
+                break
+            with_i = comb(k - 1 - i, size - len(chosen) - 1)  # combinations whose next column is i
+            if ordinal < with_i:
+                chosen.append(i)
+            else:
+                ordinal -= with_i
+        return tuple(chosen)
+
 
 def spec_from_roles(variables: Mapping[str, Mapping[str, object]], **kw) -> AnalysisSpec:
     """Build a spec from a role table shaped like ``{column: {flag: bool}}``:

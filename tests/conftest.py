@@ -23,3 +23,13 @@ def spark():
 
 def needs(path):
     return pytest.mark.skipif(not os.path.exists(path), reason=f"{path} not present")
+
+
+def parts_in_order(folder):
+    """The text of a folder's part files, one after the other by name."""
+    text = ""
+    for f in sorted(os.listdir(folder)):
+        if f.startswith("part-"):
+            with open(os.path.join(folder, f), encoding="utf-8", newline="") as fh:
+                text += fh.read()
+    return text

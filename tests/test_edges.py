@@ -154,7 +154,7 @@ def test_one_sided_jumps_and_null_periods(spark):
     spec = AnalysisSpec("t", "m", metric_scale=2)
     plain = detect(s, spec, rules)
     assert [r.t for r in plain.where("is_outlier_metric").collect()] == ["p09"]
-    blocked = detect(s, spec, rules, block_rows=5, checkpoint_input=False)
+    blocked = detect(s, spec, rules, block_rows=5)
     assert sorted(map(str, plain.collect())) == sorted(map(str, blocked.select(*plain.columns).collect()))
 
 

@@ -1,0 +1,95 @@
+"""Sums of doubles: the exact sum rounded once, whatever the order of the rows."""
+
+import math
+import random
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from spikewatch import AnalysisSpec
+from spikewatch.operators import period_totals, subset_series, value_totals
+
+SPEC = AnalysisSpec("t", "m", ("a", "b"))
+
+
+def plain(values):
+    kept = [v for v in values if v is not None]
+    if not kept:
+        return None
+    if any(math.isnan(v) for v in kept) or {math.inf, -math.inf} <= set(kept):
+        return math.nan
+    odd = [v for v in kept if math.isinf(v)]
+    return odd[0] if odd else float(sum((Fraction(v) for v in kept), Fraction(0)))
+
+
+def a_double(rng, kind):
+    if kind == 0:
+        return rng.choice([0.0, -0.0, 0.1, -0.1, 1e16, -1e16, 1.0, 3.3])
+    if kind == 1:  # any exponent
+        return math.ldexp(rng.uniform(-1, 1), rng.randint(-1074, 1000))
+    if kind == 2:
+        return rng.uniform(-1e6, 1e6)
+    if kind == 3:  # bounds of bins
+        return rng.choice([-1, 1]) * math.ldexp(1 + rng.choice([0, 2 ** -52, -(2 ** -53)]), 28 * rng.randint(-38, 35))
+    return rng.choice([5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 3.0, 1e300])
+
+
+def rows_of(rng):
+    rows = []
+    for t in range(60):
+        kind, n = t % 6, rng.choice([1, 2, 3, 40])
+        own = [a_double(rng, kind if kind < 5 else rng.randrange(5)) for _ in range(n)]
+        if t % 3 == 0:  # what cancels
+            own += [-v for v in own[: n - 1]] + [a_double(rng, 2)]
+        if t % 20 == 7:
+            own += [rng.choice([math.inf, -math.inf, math.nan]) for _ in range(rng.randint(1, 3))]
+        if t % 10 == 4:
+            own = [None] * n
+        rows += [(t, v if t % 4 else rng.choice([v, v, None]), f"a{i % 3}", f"b{i % 2}") for i, v in enumerate(own)]
+    return rows
+
+
+def same(a, b):
+    return (a is None) == (b is None) and (a is None or (math.isnan(a) and math.isnan(b)) or a == b)
+
+
+def check(got, want):
+    assert set(got) == set(want)
+    for k in want:
+        assert same(got[k][0], plain(want[k])) and got[k][1] == len(want[k]), (k, want[k], got[k])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_totals_are_the_exact_sum(spark, seed):
+    rows = rows_of(random.Random(seed))
+    df = spark.createDataFrame(rows, "t int, m double, a string, b string").repartition(5)
+    want, values, slices = {}, {}, {}
+    for t, m, a, b in rows:
+        want.setdefault(t, []).append(m)
+        values.setdefault((t, "a", a), []).append(m)
+        values.setdefault((t, "b", b), []).append(m)
+        for j, held in enumerate((True, a == "a1", b == "b0", a == "a1" and b == "b0")):
+            if held:
+                slices.setdefault((t, j), []).append(m)
+    check({r.t: (r.total_units, r.num_data_points) for r in period_totals(df, SPEC).collect()}, want)
+    check({(r.t, r.variable, r.value): (r.total_units, r.num_data_points) for r in value_totals(df, SPEC).collect()}, values)
+    lattice = subset_series(df, SPEC, {"a": "a1", "b": "b0"})
+    check({(r.t, r.slice_ordinal): (r.total_units, r.num_data_points) for r in lattice.collect()}, slices)
+
+
+def test_any_order_gives_the_same_bits(spark):
+    df = spark.range(20_000).selectExpr("CAST(id % 7 AS INT) AS t", "sin(id) * pow(10, id % 30 - 15) AS m", "'x' AS a", "'y' AS b")
+    first = {r.t: r.total_units for r in period_totals(df, SPEC).collect()}
+    for n in (1, 3, 13):
+        again = period_totals(df.repartition(n, F.rand(n)), SPEC).collect()
+        assert {r.t: r.total_units for r in again} == first
+    own = df.collect()
+    assert first == {t: math.fsum(r.m for r in own if r.t == t) for t in range(7)}
+
+
+def test_other_types_as_before(spark):
+    df = spark.createDataFrame([(1, 2.5, 3, None)] * 3, "t int, f float, i int, n double")
+    for c, want, kind in (("f", 7.5, "double"), ("i", 9, "decimal(38,0)"), ("n", None, "double")):
+        out = period_totals(df, AnalysisSpec("t", c))
+        assert out.first().total_units == want and dict(out.dtypes)["total_units"] == kind

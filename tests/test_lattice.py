@@ -111,3 +111,71 @@ def test_value_totals_add_up_to_period_totals(spark):
     assert len(per_var) == len(TESTS) * len(overall)
     for r in per_var:
         assert (r.u, r.n) == overall[r.o_orderdate]
+
+
+@pytest.mark.parametrize("k", [5, 13, 62, 63, 70, 126])
+def test_many_columns_against_filters(spark, k):
+    """Every subset of what rows hold, masks of one, two and three integers."""
+    from itertools import combinations
+    import random
+
+    rng = random.Random(k)
+    spec = AnalysisSpec("t", "m", tuple(f"c{i}" for i in range(k)), metric_scale=0)
+    rows = []
+    for _ in range(60):
+        held = set(rng.sample(range(k), rng.randint(0, 4))) | ({k - 1} if rng.random() < 0.3 else set())
+        rows.append((rng.randint(1, 3), float(rng.randint(0, 9)), *[1 if i in held else rng.choice([None, 0, 2]) for i in range(k)]))
+    df = spark.createDataFrame(rows, "t int, m double, " + ", ".join(f"c{i} int" for i in range(k)))
+    want = {}
+    for t, m, *values in rows:
+        held = [i for i, v in enumerate(values) if v == 1]
+        for n in range(len(held) + 1):
+            for s in combinations(held, n):
+                total, count = want.get((t, s), (0, 0))
+                want[t, s] = (total + int(m), count + 1)
+    top = {f"c{i}": "1" for i in range(k)}
+    got = subset_series(df, spec, top).collect()
+    assert {(r.t, spec.subset_at(int(r.slice_ordinal))): (r.total_units, r.num_data_points) for r in got} == want
+    for r in got:
+        s = spec.subset_at(int(r.slice_ordinal))
+        assert r.n_keys == len(s) and all((r[f"c{i}"] == 1) == (i in s) for i in range(k))
+    some = sorted({int(r.slice_ordinal) for r in got})[1::7]
+    part = subset_series(df, spec, top, wanted=some).collect()
+    assert sorted(map(str, part)) == sorted(str(r) for r in got if int(r.slice_ordinal) in some)
+
+
+def test_subsets_by_number():
+    spec = AnalysisSpec("t", "m", tuple("abcdefg"))
+    assert [spec.subset_at(j) for j in range(spec.n_subsets())] == spec.subsets()
+    wide = AnalysisSpec("t", "m", tuple(f"c{i}" for i in range(100)))
+    assert wide.subset_at(0) == () and wide.subset_at(100) == (99,) and wide.subset_at(101) == (0, 1) and len(wide.subset_at((1 << 100) - 1)) == 100
+    with pytest.raises(ValueError):
+        spec.subset_at(128)
+
+
+def test_facts_are_scanned_once(spark):
+    """Descriptions and the unsliced series come from the pre-aggregated facts."""
+    table = fact(spark)
+    a = PeriodAnomalyAnalysis(table, SPEC)
+
+    def fact_scans(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return sum("Scan parquet" in line and "o_totalprice" in line for line in plan.splitlines())
+
+    # of the lattice, one scan is in the description's subquery, whose exchange the totals read
+    assert fact_scans(a.lattice) <= 1
+    assert [fact_scans(df) for df in (a.points(), a.axis())] == [1, 1]
+
+
+def test_points_equal_the_join(spark):
+    from spikewatch.plans import chart
+
+    a = PeriodAnomalyAnalysis(fact(spark), SPEC)
+    joined = chart.chart_points(a.selected, a.base, SPEC)
+    got = a.points()
+    assert got.columns == joined.columns and sorted(map(str, got.collect())) == sorted(map(str, joined.collect()))
+    joined = chart.reported_axis(a.base, a.selected, SPEC)
+    got = a.axis()
+    assert sorted(got.columns) == sorted(joined.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, joined.select(*got.columns).collect()))

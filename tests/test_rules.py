@@ -125,7 +125,7 @@ def test_blocked_detect_equals_plain(spark, block):
     xs = [float((i * 37) % 101) * 100 + (5000 if i % 17 == 0 else 0) for i in range(120)]
     s = series(spark, xs, counts=[1 + i % 5 for i in range(120)])
     plain = detect(s, SPEC, DETECT, ["k"]).orderBy("t").collect()
-    blocked = detect(s, SPEC, DETECT, ["k"], block_rows=block, bucket="t DIV 13").orderBy("t").collect()
+    blocked = detect(s, SPEC, DETECT, ["k"], block_rows=block).orderBy("t").collect()
     assert [r.asDict() for r in plain] == [r.asDict() for r in blocked]
 
 
@@ -152,3 +152,26 @@ def test_float_metric_path_matches_exact_path(spark):
                 assert y[c] == pytest.approx(x[c], rel=1e-9, abs=1e-9)
         for c in ("is_outlier_z", "is_outlier_metric", "change_point", "is_outlier"):
             assert x[c] == y[c]
+
+
+@pytest.mark.parametrize("half,span", [(3, 3), (9, 2), (2, 12), (40, 25)])
+def test_running_sums_equal_neighbours(spark, monkeypatch, half, span):
+    """Frames from differences of running sums, NULL totals and short slices included."""
+    from spikewatch.operators import rules as R
+
+    rows = [(k, t, None if (t * 7 + len(k)) % 11 == 0 else (t * 7919 + len(k) * 31) % 100_003 - 40_000, 1)
+            for k, n in (("a", 1), ("bb", 2), ("ccc", 30), ("dddd", 130)) for t in range(n)] + [("e", t, None, 1) for t in range(5)]
+    s = spark.createDataFrame(rows, "k string, t int, total_units bigint, num_data_points bigint").repartition(4)
+    rules = DETECT.with_(half_window=half, shift_span=span)
+    out = []
+    for limit in (0, 1000):
+        monkeypatch.setattr(R, "_NEIGHBOURS", limit)
+        df = detect(s, SPEC, rules, ["k"])
+        out.append((df.columns, sorted(map(str, df.collect()))))
+    assert out[0] == out[1]
+
+
+def test_wide_frames_keep_the_plan_small(spark):
+    s = spark.range(50).selectExpr("'x' AS k", "CAST(id AS INT) AS t", "id AS total_units", "1L AS num_data_points")
+    sizes = [len(detect(s, SPEC, DETECT.with_(half_window=h), ["k"])._jdf.queryExecution().optimizedPlan().toString()) for h in (20, 2000)]
+    assert sizes[1] < sizes[0] + 200

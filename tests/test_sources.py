@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, needs
+from conftest import REF, SF001, needs, parts_in_order
 from spikewatch import AnalysisSpec, PeriodAnomalyAnalysis, spec_from_roles
 from spikewatch.operators import data_profile, null_profile, type_profile
 from spikewatch.sources import (read_csv, read_series_files, read_table, register_view, write_profile,
@@ -63,10 +63,7 @@ def test_report_and_series_round_trip(spark):
     a = PeriodAnomalyAnalysis(o, spec)
     d = _tmp()
     write_report(a.report, os.path.join(d, "report"))
-    files = [f for f in os.listdir(os.path.join(d, "report")) if f.startswith("part-")]
-    assert len(files) == 1
-    with open(os.path.join(d, "report", files[0])) as fh:
-        text = fh.read()
+    text = parts_in_order(os.path.join(d, "report"))
     want = "".join(r.value + "\n" for r in a.report.orderBy("report_rank", "line_no").collect())
     assert text == want and text.startswith("ANOMALY REPORT SUMMARY\n")
 
@@ -177,7 +174,91 @@ def test_command_line_job():
                          cwd=d, env=env, capture_output=True, text=True, timeout=600)
     assert res.returncode == 0, res.stderr[-2000:]
     rep = os.path.join(out, "service_week", "outliers_summary")
-    part = [f for f in os.listdir(rep) if f.startswith("part-")][0]
-    with open(os.path.join(rep, part)) as fh:
-        text = fh.read()
+    text = parts_in_order(rep)
     assert text.startswith("ANOMALY REPORT SUMMARY\n") and "Week: 2019-12" in text
+
+
+def write(folder, name, text):
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as fh:
+        fh.write(text)
+
+
+def test_series_files_are_read_by_their_own_header(spark):
+    d = _tmp()
+    write(d, "a.csv", "t,x,is_a,is_b\nw01,1.5,True,False\nw02,2.5,False,True\n")
+    write(d, "b 1+%[x].csv", "\ufefft,is_b,is_a,x\nw01,True,False,7\n")
+    write(d, "c.csv", 'x,"t"\n3,w03\n')
+    write(d, "empty.csv", "")
+    write(d, "only.csv", "t,x,is_a,is_b\n")
+    want = {("a", "w01", 1.5, True, False), ("a", "w02", 2.5, False, True), ("b 1+%[x]", "w01", 7.0, False, True),
+            ("c", "w03", 3.0, None, None)}
+    for df in (read_series_files(spark, d, "t string, x double, is_a boolean, is_b boolean"), read_series_files(spark, d),
+               read_series_files(spark, [os.path.join(d, "a.csv"), os.path.join(d, "b*.csv"), os.path.join(d, "[co]*.csv")])):
+        assert {tuple(r) for r in df.select("series", F.col("t").cast("string"), F.col("x").cast("double"), "is_a", "is_b").collect()} == want
+    some = read_series_files(spark, d, "is_b boolean, other int, t string")
+    assert some.columns == ["is_b", "other", "t", "series"]
+    assert {(r.series, r.is_b) for r in some.where("t = 'w01'").collect()} == {("a", False), ("b 1+%[x]", True)}
+
+
+def test_series_files_that_disagree_on_types(spark):
+    d = _tmp()
+    write(d, "a.csv", "t;n;k\n1;2;3\n")
+    write(d, "b.csv", "k;n;t\nx;2.5;4\n")
+    df = read_series_files(spark, d, delimiter=";")
+    assert dict(df.dtypes) == {"t": "int", "n": "double", "k": "string", "series": "string"}
+    assert {tuple(r) for r in df.select("t", "n", "k").collect()} == {(1, 2.0, "3"), (4, 2.5, "x")}
+
+
+def test_many_files_with_few_headers(spark):
+    d = _tmp()
+    for i in range(60):
+        write(d, f"s{i:02d}.csv", f"t,a,b\n{i},1,2\n" if i % 2 else f"b,t,a\n2,{i},1\n")
+    got = read_series_files(spark, d, "t int, a int, b int").collect()
+    assert sorted((r.series, r.t, r.a, r.b) for r in got) == [(f"s{i:02d}", i, 1, 2) for i in range(60)]
+
+
+@needs(os.path.join(REF, "EDA"))
+def test_both_generations_of_series_files_in_one_call(spark):
+    """The older file has its count flag before its metric flag."""
+    schema = "service_week string, total_metric double, num_data_points int, is_outlier_z boolean, is_outlier_metric boolean, " \
+             "is_outlier_count boolean, is_outlier boolean"
+    files = [f"{REF}/EDA/outliers_all_data/weekly_outliers.csv", f"{REF}/EDA/outlier_results/outliers_all.csv"]
+    import csv
+
+    want = set()
+    for f, name in zip(files, ("weekly_outliers", "outliers_all")):
+        with open(f, newline="") as fh:
+            want |= {(name, r["service_week"], r["is_outlier_metric"], r["is_outlier_count"]) for r in csv.DictReader(fh)}
+    rows = read_series_files(spark, files, schema).collect()
+    text = {None: "", True: "True", False: "False"}
+    assert {(r.series, r.service_week, text[r.is_outlier_metric], text[r.is_outlier_count]) for r in rows} == want
+    assert {"True", "False"} <= {w[2] for w in want} and {"True", "False"} <= {w[3] for w in want}
+
+
+def test_a_long_series_beside_short_ones(spark):
+    """One series a hundred times the others: pieces of a bounded size, in time
+    order by file name."""
+    from spikewatch.sources import write_value_series, write_value_table
+
+    spec = AnalysisSpec("t", "m", ("code",))
+    long = spark.range(2000).selectExpr("'code' AS variable", "'0/1 a%b' AS value", "CAST(id AS INT) AS t", "CAST(id AS DOUBLE) AS total_metric")
+    short = spark.range(400).selectExpr("'code' AS variable", "CASE WHEN id DIV 20 = 3 THEN NULL ELSE concat('0', id DIV 20) END AS value",
+                                        "CAST(id % 20 AS INT) AS t", "CAST(id AS DOUBLE) AS total_metric")
+    rows = long.unionByName(short)
+    want = sorted(map(str, rows.select("variable", "value", "t", "total_metric").collect()))
+    out = os.path.join(_tmp(), "values")
+    write_value_series(rows.repartition(5), spec, out, file_rows=300)
+    back = read_series_files(spark, out, "t int, total_metric double")
+    assert sorted(map(str, back.select("variable", "value", "t", "total_metric").collect())) == want
+    longest = [n for n in os.listdir(os.path.join(out, "variable=code")) if n.startswith("value=0%2F1")]
+    folder = os.path.join(out, "variable=code", longest[0])
+    lines, files = [], sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    for f in files:
+        with open(os.path.join(folder, f)) as fh:
+            own = [int(r.split(",")[0]) for r in fh.read().splitlines()[1:]]
+        assert len(own) <= 300
+        lines += own
+    assert lines == list(range(2000)) and len(files) >= 7
+    table = os.path.join(_tmp(), "table")
+    write_value_table(rows.repartition(5), spec, table, file_rows=300)
+    assert sorted(map(str, spark.read.parquet(table).select("variable", "value", "t", "total_metric").collect())) == want
