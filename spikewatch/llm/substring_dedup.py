@@ -49,7 +49,7 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 def anchor_hashes(code: np.ndarray) -> np.ndarray:
     """A hash of the ``ANCHOR`` bytes at each place, from the numbers of ``words8``."""
-    n = len(code) - ANCHOR + FIRST
+    n = max(len(code) - ANCHOR + 1, 0)
     h = code[:n] * np.uint64(0x9E3779B97F4A7C15)
     for at in range(FIRST, ANCHOR, FIRST):
         h ^= h >> np.uint64(31)
@@ -69,13 +69,14 @@ def window_minima(key: np.ndarray, w: int) -> np.ndarray:
 
 class Stretches:
     """Stretches of window starts with one anchor: ``row`` of the part, first
-    ``start`` in its text, number of ``windows`` and ``anchor`` hash."""
+    ``start`` in its text, number of ``windows``, the anchor's ``offset`` from
+    the start and its hash ``anchor``."""
 
     def __init__(self, texts: list[bytes], length: int):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.base = np.concatenate(([0], np.cumsum(sizes)))
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        row, start, windows, anchor = [], [], [], []
+        row, start, windows, offset, anchor = [], [], [], [], []
         w = length - ANCHOR + 1
         last = self.base[1:] - length  # the last window start of each row
         for a in range(0, len(self.data) - length + 1, BLOCK):
@@ -84,7 +85,8 @@ class Stretches:
             keyed = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
             at = (window_minima(keyed, w) & np.uint64((1 << 20) - 1)).astype(np.int64)
             place = np.arange(a, a + len(at))
-            own = np.searchsorted(self.base, place, side="right") - 1
+            near = slice(*(np.searchsorted(self.base, (a, a + len(at) - 1), side="right") + (-1, 0)))
+            own = np.repeat(np.arange(near.start, near.stop), np.diff(np.clip(self.base[near.start:near.stop + 1], a, a + len(at))))
             ok = place <= last[own]
             at, place, own = at[ok], place[ok], own[ok]
             if not len(at):
@@ -93,9 +95,10 @@ class Stretches:
             row.append(own[new])
             start.append(place[new] - self.base[own[new]])
             windows.append(np.diff(np.concatenate((new, [len(at)]))))
+            offset.append(at[new] + a - place[new])
             anchor.append(h[at[new]])
         none = [np.zeros(0, np.int64)]
-        self.row, self.start, self.windows = (np.concatenate(x or none) for x in (row, start, windows))
+        self.row, self.start, self.windows, self.offset = (np.concatenate(x or none) for x in (row, start, windows, offset))
         self.anchor = np.concatenate(anchor) if anchor else np.zeros(0, np.uint64)
 
     def anchors(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -180,14 +183,16 @@ class Held:
         self.at: dict[bytes, int] = {}
         self.texts: list[bytes] = []
         self.ids: list[int] = []
+        self.offsets: list[int] = []
         self.places: list[list[tuple]] = []
 
-    def add(self, text: bytes, doc: int, place: tuple) -> bool:
+    def add(self, text: bytes, doc: int, place: tuple, offset: int) -> bool:
         """False if an earlier document holds the string; ids must not fall."""
         k = self.at.setdefault(text, len(self.texts))
         if k == len(self.texts):
             self.texts.append(text)
             self.ids.append(doc)
+            self.offsets.append(offset)
             self.places.append([place])
         elif self.ids[k] == doc:
             self.places[k].append(place)
@@ -198,13 +203,20 @@ class Held:
     def later_ranges(self, length: int) -> Iterator[tuple[tuple, int, int]]:
         """(place, first, last) window of every string's range of windows that
         documents with smaller ids hold too."""
-        ids = np.array(self.ids, np.int64)
-        sizes = np.array([len(t) for t in self.texts], np.int64)
-        ends = np.cumsum(sizes)
-        if not len(ids):
+        if not self.ids:
             return
-        data = np.frombuffer(b"".join(self.texts), np.uint8)
-        _, owner = np.unique(ids, return_inverse=True)
+        _, owner = np.unique(np.array(self.ids, np.int64), return_inverse=True)
+        # equal windows have equal anchors, so strings whose anchor one document holds need no sorting
+        anchors = [t[p:p + ANCHOR] for t, p in zip(self.texts, self.offsets)]
+        _, anchor = np.unique(np.array(anchors, f"S{ANCHOR}"), return_inverse=True)
+        low, high = np.full(len(anchor), len(anchor)), np.full(len(anchor), -1)
+        np.minimum.at(low, anchor, owner)
+        np.maximum.at(high, anchor, owner)
+        kept = np.flatnonzero(low[anchor] != high[anchor])
+        owner, names = owner[kept], kept.tolist()
+        ends = np.cumsum([len(self.texts[k]) for k in names], dtype=np.int64)
+        sizes = np.diff(np.concatenate(([0], ends)))
+        data = np.frombuffer(b"".join([self.texts[k] for k in names]), np.uint8)
         pointer = bucket_pointers(data, ends, owner, length)
         place = np.flatnonzero(pointer >= 0)
         string = np.searchsorted(ends, place, side="right")
@@ -224,11 +236,11 @@ class Held:
         last = np.concatenate((cut[1:], [len(string)]))[:len(cut)] - 1
         # windows of one stretch overlap, so what they cover is one range
         for k, a, b in zip(string[cut].tolist(), offset[cut].tolist(), offset[last].tolist()):
-            for p in self.places[k]:
+            for p in self.places[names[k]]:
                 yield p, a, b
 
 
-RECORD = np.dtype([("id", "<i8"), ("row", "<i4"), ("start", "<i4"), ("size", "u1")])
+RECORD = np.dtype([("id", "<i8"), ("row", "<i4"), ("start", "<i4"), ("size", "u1"), ("offset", "u1")])
 RANGE = np.dtype([("row", "<i4"), ("start", "<i4"), ("end", "<i4")])
 NAMES = ["place", "part", "body"]
 SENT = "place long, part long, body binary"
@@ -292,25 +304,24 @@ def _send_stretches(buckets: int, into: int, length: int):
         place = cut.anchors(buckets)[3]
         flag = np.frombuffer(b"".join(zlib.decompress(b) for _, b in sorted(zip(flags["place"], flags["body"]))), np.uint8)[place]
         chosen = np.flatnonzero(flag != ALONE)
-        to = ((cut.anchor * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(into)
-        sent: dict[int, tuple[list, list]] = {}
+        to = (((cut.anchor * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(into))[chosen]
+        sent: dict[int, tuple[list, list]] = {b: ([], []) for b in range(into)}
         settled = []
         held = Held()
-        for k in chosen.tolist():
-            row, start, windows = int(cut.row[k]), int(cut.start[k]), int(cut.windows[k])
-            text, doc = texts[row], int(ids[row])
-            crowded = flag[k] == CROWDED
-            for at in (range(start, start + windows) if crowded else (start,)):
+        columns = (cut.row, ids[cut.row], cut.start, cut.windows, cut.start + cut.offset, flag == CROWDED)
+        for row, doc, start, windows, anchor, crowded, bucket in zip(*(c[chosen].tolist() for c in columns), to.tolist()):
+            text = texts[row]
+            for at in range(start, start + windows) if crowded else (start,):
                 size = 1 if crowded else windows
                 own = text[at:at + size + length - 1]
-                if held.add(own, doc, (row, at)):
-                    records, bodies = sent.setdefault(zlib.crc32(own) % into if crowded else int(to[k]), ([], []))
-                    records.append((doc, row, at, size))
+                if held.add(own, doc, (row, at), anchor - at):
+                    records, bodies = sent[zlib.crc32(own) % into if crowded else bucket]
+                    records.append((doc, row, at, size, anchor - at))
                     bodies.append(own)
                 else:
                     settled.append((row, at, at + len(own)))
         rows = [(b, part, _packed(np.array(records, RECORD), b"".join(bodies)))
-                for b, (records, bodies) in sent.items()]
+                for b, (records, bodies) in sent.items() if records]
         if settled:
             rows.append((-1 - part, part, _packed(np.array(settled, RANGE))))
         return pd.DataFrame(rows, columns=NAMES)
@@ -331,10 +342,11 @@ def _find_ranges(length: int):
             parts.append(np.full(len(own), part))
         every, parts = np.concatenate(records), np.concatenate(parts)
         held, later = Held(), {}
-        for k in np.argsort(every["id"], kind="stable").tolist():
-            doc, row, start, size = every[k].item()
-            if not held.add(bodies[k], doc, (int(parts[k]), row, start)):
-                later.setdefault(int(parts[k]), []).append((row, start, start + size + length - 1))
+        order = np.argsort(every["id"], kind="stable")
+        every, parts = every[order], parts[order].tolist()
+        for k, part, (doc, row, start, size, offset) in zip(order.tolist(), parts, every.tolist()):
+            if not held.add(bodies[k], doc, (part, row, start), offset):
+                later.setdefault(part, []).append((row, start, start + size + length - 1))
         for (part, row, start), a, b in held.later_ranges(length):
             later.setdefault(part, []).append((row, start + a, start + b + length))
         place = int(pdf["place"].iloc[0])
