@@ -15,10 +15,12 @@ nothing is shuffled and a task holds one run.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 
+#: Windows sent on at a time.
+FRAME = 128
+
+
 class BpeEncoder:
     """Ids of a public byte-level BPE tokenizer file.  Where the same vocabulary
     also comes as ranks, these give the same ids several times faster; texts
@@ -33,10 +39,9 @@ class BpeEncoder:
     library's pattern engine cannot take) go through the tokenizer file."""
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.held = path, None
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file).get("added_tokens") or []]
         self.long_blank = re.compile(r"\s{1000}")
         self.fast = None
         if ranks:
@@ -46,6 +51,15 @@ class BpeEncoder:
                 known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
+    @property
+    def whole(self):
+        """The tokenizer of the file, loaded when a text needs it."""
+        if self.held is None:
+            from tokenizers import Tokenizer
+
+            self.held = Tokenizer.from_file(self.path)
+        return self.held
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast and not any(s in text for s in self.special) and not self.long_blank.search(text):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
@@ -169,18 +183,20 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], *,
     are documents of their own.  An empty table gives no rows; other columns
     are not looked at.  A sequence has ``window`` ids or a smaller power of two."""
 
-    def run(names: list, ids: list[np.ndarray], base: int) -> tuple[pd.DataFrame, int]:
-        rows = []
+    def run(names: list, ids: list[np.ndarray], base: int) -> Generator[pd.DataFrame, None, int]:
         windows = packed(ids, window)
-        for k, pieces in enumerate(windows):
-            at = 0
-            for d, start, n in pieces:
-                own = ids[d][start:start + n].astype("<u4")
-                rows.append((names[d], start, n, len(ids[d]), base + k, at, zlib.crc32(own.tobytes()), own if with_ids else None))
-                at += n
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return (out if with_ids else out.drop(columns="ids")), base + len(windows)
+        for first in range(0, len(windows), FRAME):
+            rows = []
+            for k, pieces in enumerate(windows[first:first + FRAME], base + first):
+                at = 0
+                for d, start, n in pieces:
+                    own = ids[d][start:start + n].astype("<u4")
+                    rows.append((names[d], start, n, len(ids[d]), k, at, zlib.crc32(own.tobytes()), own if with_ids else None))
+                    at += n
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out if with_ids else out.drop(columns="ids")
+        return base + len(windows)
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
@@ -194,11 +210,10 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], *,
                 ids.append(own)
                 held += len(own)
                 if held >= run_tokens:
-                    out, base = run(names, ids, base)
-                    yield out
+                    base = yield from run(names, ids, base)
                     names, ids, held = [], [], 0
         if ids:
-            yield run(names, ids, base)[0]
+            yield from run(names, ids, base)
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -212,9 +227,15 @@ def public_bpe(path: str | None = None) -> Callable[[], Callable[[str], np.ndarr
     def make() -> Callable[[str], np.ndarray]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path is not None:
-            return BpeEncoder(path).ids
+            return _encoder(path).ids
         import public_tokenizers as public
 
-        return BpeEncoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).ids
+        return _encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).ids
 
     return make
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, ranks: str | None = None, pattern: str | None = None) -> BpeEncoder:
+    """One encoder per worker process, whatever the number of its tasks."""
+    return BpeEncoder(path, ranks, pattern)
