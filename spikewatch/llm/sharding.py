@@ -53,8 +53,9 @@ def shard(docs: DataFrame, shards: int = 40, *, text_col: str = "text", bucket_b
     scattered = rows.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("long"))
     starts = bucket_starts(cut(scattered.groupBy("bucket").agg(F.count("*").alias("n"))))
     # pass one: every bucket whole in one place, its rows in a fixed order
-    gathered = scattered.repartition(min(buckets, 100_000), "bucket") \
-        .groupBy("bucket").agg(F.collect_list(F.struct("draw", "doc")).alias("held"))
+    parts = max(1, min(buckets, n, 100_000))  # a bucket each, no more than there are rows
+    gathered = scattered.withColumn("part", F.pmod("bucket", F.lit(parts)).cast("int")).repartitionById(parts, "part") \
+        .groupBy("part", "bucket").agg(F.collect_list(F.struct("draw", "doc")).alias("held"))
     held = gathered.select("bucket", F.array_sort("held", _by_draw).alias("held")).sortWithinPartitions("bucket")
     # pass two: Fisher-Yates in each bucket
     mixed = held.select("bucket", F.shuffle("held", seed).alias("held"))
