@@ -98,6 +98,36 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT))) AS p FROM d)
+), m AS (
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s
+), g AS (
+  SELECT w.doc_id, w.p, CASE WHEN w.p - lag(w.p) OVER (PARTITION BY w.doc_id ORDER BY w.p) <= 50 THEN 0 ELSE 1 END AS new
+  FROM w JOIN m ON w.s = m.s WHERE m.first < w.doc_id
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run
+), edges AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM spans
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(s.b), 0), max(length(d.h)) // 2 FROM d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT e.doc_id, string_agg(substr(d.h, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (hi - lo) AS BIGINT)), '' ORDER BY lo) AS h
+  FROM edges e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id
+), sizes AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(z.removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(z.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN sizes z ON d.doc_id = z.doc_id
+"""
+
+
 def planted_loop(doc_id: int | None, n: int) -> tuple[int, int] | None:
     """From which word on, and with which period, a text of ``n`` words is made to
     repeat; a row without an id is left as it is."""
@@ -131,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_kdtree_search": OP1_SQL}
+    return {"op1_kdtree_search": OP1_SQL, "op12_substring_dedup": OP12_SQL}
