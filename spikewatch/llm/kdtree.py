@@ -66,7 +66,7 @@ class Tree:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray) -> list[list[tuple[float, int]]]:
         """Per query its best (score, id) pairs, best first, that are at least
-        as good as ``kth``; the row with the query's own id is left out."""
+        as good as ``kth``; the query's own row (its id and vector) is left out."""
         wide = max(float(np.abs(queries).max(initial=0)), 1.0) * max(float(np.abs(self.points).max(initial=0)), 1.0)
         exact = wide * max(queries.shape[1], 1) < EXACT
         kind = np.float64 if exact else object  # object: Python's integers
@@ -91,7 +91,10 @@ class Tree:
                 a, b = self.spans[node]
                 scores = points[a:b] @ asked[q]
                 bar = max(least, best[0][0]) if len(best) == k else least
-                fit = np.flatnonzero((scores >= bar) & (self.ids[a:b] != own[q]))
+                fit = np.flatnonzero(scores >= bar)
+                mine = self.ids[a:b][fit] == own[q]
+                mine[mine] = (self.points[a:b][fit[mine]] == queries[q]).all(axis=1)
+                fit = fit[~mine]
                 if len(fit) > k:
                     fit = fit[np.lexsort((self.ids[a:b][fit], -scores[fit]))[:k]]
                 for i in fit:
@@ -115,7 +118,7 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
 
 def _built(pdf: pd.DataFrame) -> pd.DataFrame:
     dim = int(pdf["dim"].iloc[0])
-    pdf = pdf.sort_values("id")
+    pdf = pdf.sort_values(["id", "row"])
     tree = Tree(pdf["id"].to_numpy(), _matrix(pdf["vector"], dim))
     return pd.DataFrame({"dim": [dim], "shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
 
@@ -127,9 +130,10 @@ def _found(k: int):
             own = queries["id"].to_numpy()
             kth = queries["kth"].to_numpy(dtype=np.float64)
             asked = _matrix(queries["vector"], int(queries["dim"].iloc[0]))
-            for q, hits in zip(own, pickle.loads(trees["tree"].iloc[0]).search(asked, own, k, kth)):
-                rows += [(int(q), int(i), int(s)) for s, i in hits]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            found = pickle.loads(trees["tree"].iloc[0]).search(asked, own, k, kth)
+            for row, q, hits in zip(queries["row"], own, found):
+                rows += [(int(row), int(q), int(i), int(s)) for s, i in hits]
+        return pd.DataFrame(rows, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     return visit
 
@@ -140,22 +144,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec
     ``query_id``, ``rank`` from 1, ``vec_id``, ``score``; ties go to the smaller id.
 
     Components become floor(times * x).  Vectors that are NULL or hold a NULL
-    or non-finite component take no part, nor do rows with a NULL id.  An id
-    names one vector: repeated rows count once, and where the rows of an id
-    differ, the smallest array stands for it.  Only vectors of the same length
-    meet.  An empty table gives no rows; other columns are not looked at."""
+    or non-finite component take no part, nor do rows with a NULL id.  Rows that
+    agree in id and components count once; rows of one id with other components
+    are rows of their own, as queries (each with its ranks) and as candidates,
+    also for one another.  Only vectors of the same length meet.  An empty table
+    gives no rows; other columns are not looked at."""
     own = vectors.select(vectors[id_col].cast("long").alias("id"), scaled(vectors[vector_col], times).alias("vector"), queries.alias("asks"))
-    own = own.where("id IS NOT NULL AND vector IS NOT NULL").groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
-    own = cut(own.withColumn("dim", F.size("vector")))
+    own = own.where("id IS NOT NULL AND vector IS NOT NULL").groupBy("id", "vector").agg(F.max("asks").alias("asks"))
+    own = cut(own.withColumn("dim", F.size("vector")).withColumn("row", F.monotonically_increasing_id()))
     rows, asking = own.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-asking // block_rows))
-    draw = F.xxhash64("id")
+    draw = F.xxhash64("id", "vector")
     trees = cut(own.withColumn("shard", F.pmod(draw, F.lit(shards))).groupBy("dim", "shard").applyInPandas(
         _built, "dim int, shard long, tree binary"))  # one bounded tree a row
     block = F.pmod(F.shiftrightunsigned(draw, 20), F.lit(blocks))
-    asked = own.where("asks").select("dim", "id", "vector", block.alias("block"))
+    asked = own.where("asks").select("dim", "row", "id", "vector", block.alias("block"))
     key = ["dim", "shard", "block"]
-    schema = "query_id long, vec_id long, score long"
+    schema = "row long, query_id long, vec_id long, score long"
 
     def visits(pairs: DataFrame) -> DataFrame:
         """Search each (tree, block of queries) that ``pairs`` of queries name."""
@@ -165,10 +170,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec
 
     home = F.pmod("block", F.lit(shards))
     first = cut(visits(asked.withColumn("shard", home).withColumn("kth", F.lit(float("-inf")))))
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    others = asked.join(kth, F.col("id") == F.col("query_id"), "left") \
+    kth = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    others = asked.join(kth, "row", "left") \
         .withColumn("kth", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf")))) \
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(F.col("shard") != home)
-    hits = first.union(visits(others.select(*key, "id", "vector", "kth")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    hits = first.union(visits(others.select(*key, "row", "id", "vector", "kth")))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return hits.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

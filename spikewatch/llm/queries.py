@@ -25,15 +25,15 @@ def op1_kdtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e
+  SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.e AS own, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON (q.vec_id <> c.vec_id OR q.e <> c.e) AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 ) WHERE rank <= 5
 """
 

@@ -8,16 +8,15 @@ from spikewatch.llm import kdtree
 
 
 def plain(rows, k=5, every=50):
-    usable = {}
+    usable = set()
     for name, v in rows:
         if name is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        vec = [math.floor(256 * float(x)) for x in v]
-        usable[name] = min(usable.get(name, vec), vec)
+        usable.add((name, tuple(math.floor(256 * float(x)) for x in v)))
     out = []
-    for q, a in usable.items():
+    for q, a in usable:
         if q % every == 0:
-            near = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable.items() if i != q and len(b) == len(a))
+            near = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if (i, b) != (q, a) and len(b) == len(a))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k])]
     return sorted(out)
 
@@ -44,6 +43,15 @@ def test_odd_vectors(spark):
     assert search(spark, [(0, [1.0])]) == [] and search(spark, []) == []
 
 
+def test_rows_of_one_id_stay_apart(spark):
+    rows = [(1, [3.0]), (1, [2.0]), (50, [1.0]), (50, [1.0]), (50, [4.0])]
+    assert search(spark, rows) == [  # queries [1.0] and [4.0]
+        (50, 1, 1, 786432), (50, 1, 50, 262144), (50, 2, 1, 196608), (50, 2, 1, 524288), (50, 3, 1, 131072), (50, 3, 50, 262144)]
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.choice([1, 2, 50, 100, 100, 100, 100], 400), np.round(rng.normal(size=(400, 3)), 1))]
+    assert search(spark, rows, shard_rows=60, block_rows=20) == plain(rows)
+
+
 def test_large_values_stay_exact(spark):
     rows = [(i, [float(np.float32(3e6 + i * 1000)), float(np.float32(-2e6 + 7 * i))]) for i in range(101)]
     assert search(spark, rows, shard_rows=30) == plain(rows)
