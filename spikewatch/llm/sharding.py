@@ -16,6 +16,10 @@ from spikewatch.llm.common import cut, row_hash
 
 #: Buckets whose counts are added up in one task of the prefix sum.
 BLOCK = 4096
+#: Copies of a row that one task numbers.
+COPIES = 1 << 14
+#: Common rows whose hashes are broadcast; more of them are joined by shuffle.
+FEW = 100_000
 
 
 def text_bytes(text: Column) -> Column:
@@ -37,6 +41,25 @@ def _by_draw(a: Column, b: Column) -> Column:
     return F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)
 
 
+def numbered_copies(rows: DataFrame, key: str, share: int) -> DataFrame:
+    """``rows``, one of (``doc``, ``bytes``, ``key``, ``copy``) each.  Rows that agree
+    in every column and whose copies hold more than ``share`` bytes are counted
+    before the shuffle and dealt out again as numbered copies; all others are
+    copy 0 of themselves."""
+    common = cut(rows.groupBy(key).agg(F.sum("bytes").alias("held"), F.max("bytes").alias("one"))
+                 .where((F.col("held") > share) & (F.col("held") > F.col("one"))).select(key))
+    found = common.count()
+    if not found:
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    common = F.broadcast(common) if found <= FEW else common
+    alone = rows.join(common, key, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    counted = rows.join(common, key, "left_semi").groupBy("doc", "bytes", key).agg(F.count("*").alias("n"))
+    last = F.least(F.col("n"), F.col("first") + COPIES) - 1
+    spread = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))) \
+        .repartition(key, "first").withColumn("copy", F.explode(F.sequence(F.col("first"), last)))
+    return alone.select("doc", "bytes", key, "copy").union(spread.select("doc", "bytes", key, "copy"))
+
+
 def shard(docs: DataFrame, shards: int = 40, *, text_col: str = "text", bucket_bytes: int = 8 << 20, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: ``doc`` (the row as a struct), ``shard``
     (0 to ``shards`` - 1) and ``slot``, its gapless place in the shard from 0.
@@ -44,13 +67,16 @@ def shard(docs: DataFrame, shards: int = 40, *, text_col: str = "text", bucket_b
     rows, the seed and the number of buckets alone, so reruns agree.
 
     NULL and empty texts are rows like any other, as are rows with the same or
-    a NULL id; rows that agree in every column scatter to the same bucket.  An
-    empty table gives no rows; names of extra columns do not matter."""
+    a NULL id.  The copies of a row that agrees with others in every column are
+    numbered and scattered one by one where together they would crowd a bucket.
+    An empty table gives no rows; names of extra columns do not matter."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
-                       (text_bytes(docs[text_col]) + 64).alias("bytes"), F.xxhash64(F.lit(seed), row_hash(docs)).alias("draw"))
+                       (text_bytes(docs[text_col]) + 64).alias("bytes"), row_hash(docs).alias("same"))
     total = rows.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")).first()
     n, buckets = total["rows"], max(1, -(-(total["bytes"] or 0) // bucket_bytes))
-    scattered = rows.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("long"))
+    scattered = numbered_copies(rows, "same", max(bucket_bytes // 8, 1)) \
+        .withColumn("draw", F.xxhash64(F.lit(seed), "same", "copy")) \
+        .withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("long"))
     starts = bucket_starts(cut(scattered.groupBy("bucket").agg(F.count("*").alias("n"))))
     # pass one: every bucket whole in one place, its rows in a fixed order
     parts = max(1, min(buckets, n, 100_000))  # a bucket each, no more than there are rows

@@ -48,6 +48,23 @@ def test_reruns_agree_and_seeds_differ(spark):
     assert abs(np.corrcoef(first, np.arange(3000))[0, 1]) < 0.08
 
 
+@pytest.mark.parametrize("few", [sharding.FEW, 0])
+def test_one_row_repeated(spark, monkeypatch, few):
+    """A row that comes 100,000 times scatters over all buckets and shards."""
+    monkeypatch.setattr(sharding, "FEW", few)
+    same = spark.range(100_000, numPartitions=7).select(F.lit(5).cast("long").alias("doc_id"), F.lit("again and again").alias("text"))
+    other = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = same.union(other).union(other.where("doc_id < 3")).cache()
+    out = sharding.shard(docs, 40, bucket_bytes=1 << 20).cache()
+    check([(r.shard, r.slot) for r in out.select("shard", "slot").collect()], 100_903, 40)
+    assert out.groupBy("doc").count().exceptAll(docs.select(F.struct("doc_id", "text").alias("doc")).groupBy("doc").count()).count() == 0
+    spread = [r["count"] for r in out.where("doc.doc_id <> 5").groupBy("shard").count().collect()]
+    assert len(spread) == 40 and max(spread) < 60
+    rows = docs.select(F.struct("doc_id", "text").alias("doc"), F.lit(79).cast("long").alias("bytes"), F.xxhash64("doc_id", "text").alias("same"))
+    draws = sharding.numbered_copies(rows, "same", 1 << 17).where("doc.text = 'again and again'").select("same", "copy")
+    assert draws.count() == draws.distinct().count() == 100_000
+
+
 def test_bucket_starts_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK", 4)
     n = [3, 0, 5, 1, 2, 2, 9, 4, 1, 7, 6]
