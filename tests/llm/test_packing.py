@@ -30,7 +30,9 @@ def plain_best_fit(lengths, window):
 def test_best_fit_and_closing(lengths, window):
     whole = packing.best_fit(lengths, window)
     assert sorted(window - sum(p[2] for p in w) for w in whole) == plain_best_fit(lengths, window)
-    closed = packing.close_gaps(whole, window)
+    done, left = packing.fill_gaps(whole, window)
+    assert all(sum(p[2] for p in w) == window for w in done) and sum(p[2] for p in left) < window
+    closed = done + packing.in_powers(left)
     seen = sorted(p for w in closed for p in w)
     at = {}
     for d, start, n in seen:
@@ -101,6 +103,29 @@ def test_odd_rows_rebuild(odd, none, tokenizer, run):
     assert packing.pack(none, packing.public_bpe()).collect() == []
 
 
+def test_small_partitions_share_their_rests(spark, tokenizer):
+    """100 partitions take as many sequences as one, up to the last short ones."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.collect()]
+    one = packing.pack(docs.coalesce(1), packing.public_bpe(), with_ids=False)
+    many = packing.pack(docs.repartition(100, "doc_id"), packing.public_bpe()).collect()
+    check(many, texts, tokenizer)
+    for r in many:
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
+    own, ids = {}, {}
+    for r in sorted(many, key=lambda r: r.start):
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+        own[r.doc_id] = r.doc_tokens
+    assert all(len(ids[d]) == n for d, n in own.items())
+    lengths = {}
+    for r in many:
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert sum(n < 2048 for n in lengths.values()) <= 11
+    assert len(lengths) <= 1.05 * one.select("sequence_id").distinct().count()
+    few = packing.pack(docs.repartition(100, "doc_id"), packing.public_bpe(), gather=7, run_tokens=1500).collect()
+    check(few, texts, tokenizer)
+
+
 def test_a_tokenizer_file_may_be_given(spark, tokenizer):
     one = spark.createDataFrame([(1, "some text <|endoftext|>")], "doc_id long, text string")
     rows = packing.pack(one, packing.public_bpe(public_tokenizers.path("byte_bpe_50k.json"))).collect()
