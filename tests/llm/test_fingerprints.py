@@ -61,7 +61,7 @@ def test_query(spark):
     near = {r.doc_id: int(r.fingerprint, 16) for r in rows}
     for r in rows:
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == want[r.doc_id][1:5]
-        others = sum((near[r.doc_id] ^ x).bit_count() <= 7 for x in near.values()) - 1
+        others = sum((near[r.doc_id] ^ x).bit_count() <= 12 for x in near.values()) - 1
         assert r.near_docs == (others if r.doc_id % 100 == 0 else None)
     assert sum(r.near_edited > r.near_next for r in rows) > 0.97 * len(rows)
 
