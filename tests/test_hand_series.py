@@ -1,0 +1,112 @@
+"""A hand-written series through the whole analysis, with the text it must give.
+
+Apples are sold in the north for 10,000 a week, beans in the south for 1,000.
+Apples cost four times as much in week 6 alone and five times as much from week
+14 on; beans cost 30,000 in week 10, which no slice of the top values shows.
+All figures are worked out by hand.
+"""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import parts_in_order
+from spikewatch import DETECT, SCREEN, AnalysisSpec, PeriodAnomalyAnalysis
+from spikewatch.sources import write_report
+
+SPEC = {"time_col": "week", "metric_col": "cost", "test_cols": ("region", "kind"),
+        "desc_cols": {"region": "region_name", "kind": "kind_name"}}
+HEADER = """ANOMALY REPORT SUMMARY
+==================================================
+This report sums up total costs by week.
+
+Anomaly Types:
+  - Metric Anomaly: The week's total cost doubled or halved from the previous week.
+  - Z-Score Anomaly: The total cost for the week was over or under the rolling mean (over 7 time periods) by more than 2.1 standard deviations.
+  - Change Points: Significant change in data (the mean double/halved over a month)
+==================================================
+
+
+"""
+
+
+def apples(k):
+    return 40_000.0 if k == 6 else 50_000.0 if k >= 14 else 10_000.0
+
+
+def facts(spark):
+    rows = []
+    for k in range(1, 21):
+        week = f"2024-{k:02d}"
+        rows += [(week, "n", "North", "a", "Apples", apples(k) - 4000.25), (week, "n", "North", "a", "Apples", 4000.25),
+                 (week, "s", "South", "b", "Beans", 30_000.0 if k == 10 else 1000.0)]
+    return spark.createDataFrame(rows, "week string, region string, region_name string, kind string, kind_name string, cost double")
+
+
+def metric(cost, before):
+    return ["Metric Anomaly:", f"  - Total Cost: ${cost}", f"  - Previous Week Cost: ${before}"]
+
+
+def change(cost, before, after):
+    return ["Change Point:", f"  - Total Cost: ${cost}", f"  - Previous Two Weeks Average Cost: ${before}",
+            f"  - Next Two Weeks Average Cost: ${after}"]
+
+
+def z_score(cost, mean, deviation, z):
+    return ["Z-Score Anomaly:", f"  - Total Cost: ${cost}", f"  - Rolling Mean: ${mean}", f"  - Standard Deviation: ${deviation}",
+            f"  - Z-Score: {z}"]
+
+
+#: Highest cost first.
+BLOCKS = [
+    (14, "North, Apples", metric("50000.00", "10000.00") + change("50000.00", "10000.00", "50000.00")),
+    (15, "North, Apples", change("50000.00", "23333.33", "50000.00")),
+    (6, "North, Apples", metric("40000.00", "10000.00") + z_score("40000.00", "14285.71", "11338.93", "2.27")),
+    (10, "All, All", metric("40000.00", "11000.00") + z_score("40000.00", "15142.86", "10960.97", "2.27")),
+    (7, "North, Apples", metric("10000.00", "40000.00") + change("10000.00", "20000.00", "10000.00")),
+    (11, "North, Apples", change("10000.00", "10000.00", "23333.33")),
+    (13, "North, Apples", change("10000.00", "10000.00", "50000.00")),
+    (3, "North, Apples", change("10000.00", "10000.00", "20000.00")),
+    (4, "North, Apples", change("10000.00", "10000.00", "20000.00")),
+    (5, "North, Apples", change("10000.00", "10000.00", "20000.00")),
+    (8, "North, Apples", change("10000.00", "20000.00", "10000.00")),
+    (9, "North, Apples", change("10000.00", "20000.00", "10000.00")),
+    (12, "North, Apples", change("10000.00", "10000.00", "36666.67")),
+]
+
+
+def block(week, names, sections):
+    title = f"Grouping: {names}"
+    return "\n".join([f"Week: 2024-{week:02d}", "=" * 40, title, "-" * len(title), *sections]) + "\n"
+
+
+def parsed(text):
+    """The header, and the blocks by week."""
+    head, *blocks = text.split("Week: 2024-")
+    return head, {int(b[:2]): "Week: 2024-" + b.rstrip("\n") + "\n" for b in blocks}, [int(b[:2]) for b in blocks]
+
+
+@pytest.mark.parametrize("scale,block_rows", [(None, None), (2, None), (2, 5)])
+def test_report_of_a_hand_written_series(spark, tmp_path, scale, block_rows):
+    a = PeriodAnomalyAnalysis(facts(spark), AnalysisSpec(**SPEC, metric_scale=scale), DETECT, SCREEN, block_rows=block_rows)
+    assert a.top_map == {"region": "n", "kind": "a"}
+    write_report(a.report, str(tmp_path / "report"))
+    head, blocks, order = parsed(parts_in_order(tmp_path / "report"))
+    assert head == HEADER
+    assert blocks == {week: block(week, names, sections) for week, names, sections in BLOCKS}
+    cost = {week: sections[1] for week, _, sections in BLOCKS}
+    assert [cost[w] for w in order] == [cost[w] for w, _, _ in BLOCKS]
+
+
+def test_blank_lines_between_blocks(spark):
+    a = PeriodAnomalyAnalysis(facts(spark).where("week < '2024-11'"), AnalysisSpec(**SPEC), DETECT, SCREEN)
+    lines = [r.value for r in a.report.orderBy("report_rank", "line_no").collect()]
+    text = "".join(x + "\n" for x in lines)
+    week_6 = next(b for b in BLOCKS if b[0] == 6)
+    assert text.startswith(HEADER + block(*week_6) + "\n" * 4 + "Week: ") and text.endswith("\n" * 4) and not text.endswith("\n" * 5)
+
+
+def test_the_series_does_not_depend_on_its_rows_order(spark):
+    spec = AnalysisSpec(**SPEC)
+    one = PeriodAnomalyAnalysis(facts(spark).coalesce(1), spec, DETECT, SCREEN)
+    other = PeriodAnomalyAnalysis(facts(spark).repartition(5).orderBy(F.desc("cost")), spec, DETECT, SCREEN)
+    assert sorted(one.report.collect()) == sorted(other.report.collect())
