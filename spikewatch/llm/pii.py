@@ -4,18 +4,25 @@
    format below must lie; the rest of the text is scanned once.
 2. *Base spans* (fixed formats, always kept) and high-recall *generators*, whose
    spans may overlap each other and the base spans.
-3. *Boosted trees* over binned format and context features.  They learn from
-   all candidates of all documents, counted by feature values (the table of
-   counts is bounded by the product of the bins, ``FEATURES``), with the
-   validated base spans as positive cases.
-4. *Thresholds* per kind, calibrated on those candidates of texts left out of
-   the training that overlap no base span: the lowest probability down to which
-   every level of candidates reaches ``precision``.  The candidates that pass
-   and overlap no span already taken are added.
-
-A candidate is a positive case if it is a validated base span, or by evidence
-that no format decides: its numbers hold (Luhn, octets, digit count, domain) and
-a word of its kind stands before it.
+3. *Boosted trees* over binned features of the format and of the characters
+   around it.  They learn from all candidates of all documents, counted by
+   feature values (the table of counts is bounded by the product of the bins,
+   ``FEATURES``).
+4. *Thresholds* per kind, calibrated on texts left out of the training: the
+   lowest margin down to which every level of candidates is good enough.  The
+   candidates that pass, hold their own check and overlap no span already taken
+   are added.
+
+The labels come from evidence that is no input of the trees.  A candidate is a
+positive case if it holds its check (Luhn, octets, digit count, domain) and
+either is a card, lies in a base span of its kind, or follows a word of its
+kind.  Of a level's candidates that hold their check count as wrong:
+
+* those that overlap base spans without lying in one of their kind;
+* of the cards without a word of their kind, base spans too, as many as pass
+  Luhn by chance: a ninth of the candidates of that level that fail it;
+* of the other kinds, those without evidence (``evidence`` is the least share
+  with it).
 """
 
 from __future__ import annotations
@@ -45,6 +52,7 @@ GENERATORS = {
     "ip": [r"(?<![0-9])[0-9]{1,3}(?:[.\x20-][0-9]{1,3}){3}(?![0-9])", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"],
     "card": [r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){11,18}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){3}(?![0-9])"],
     "phone": [r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+              r"(?<![0-9])\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
               r"(?<![0-9])(?:\+|00)[0-9]{1,3}[\x20.-]{0,2}\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){1,4}(?![0-9])"],
 }
 _W = "[A-Za-z0-9._%+@()-]"
@@ -56,8 +64,13 @@ CONTEXT = {kind: rf"(?i)(?<!\p{{L}})({some})" for kind, some in {
     "card": "card|credit|visa|account", "phone": "tel|phone|call|fax|mobile|cell|contact"}.items()}
 CONTEXT_CHARS = 24
 #: Binned features and their numbers of values; the counts table has at most
-#: 2 labels x 2 folds x their product of rows.
-FEATURES = {"kind": 4, "digits": 6, "marks": 6, "valid": 2, "start": 2, "before": 4, "after": 4, "context": 2}
+#: 2 folds x their product of rows.
+FEATURES = {"kind": 4, "digits": 6, "marks": 6, "start": 2, "before": 4, "after": 4, "lead": 10}
+#: Evidence, no input of the trees.
+EVIDENCE = ("valid", "context")
+CARD = KINDS.index("card")
+#: The share of numbers with any check digit that pass Luhn.
+LUHN_CHANCE = 0.1
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -131,10 +144,11 @@ def _bins(kind: int, match: Column, left: Column, right: Column) -> dict[str, Co
         "digits": F.when(n < 4, 0).when(n < 9, 1).when(n < 11, 2).when(n < 13, 3).when(n < 17, 4).otherwise(5),
         "marks": F.when(marks == "", 0).when(marks.rlike("^[.]+$"), 1).when(marks.rlike("^-+$"), 2)
                   .when(marks.rlike("^ +$"), 3).when(marks.rlike("[@]"), 4).otherwise(5),
-        "valid": valid.cast("int"),
         "start": match.rlike(r"^(\+|[A-Za-z])").cast("int"),
         "before": _char_class(_last_of(left)),
         "after": _char_class(F.left(right, F.lit(1))),
+        "lead": F.left(match, F.lit(1)).cast("int") if kind == CARD else F.lit(0),
+        "valid": valid.cast("int"),
         "context": left.rlike(CONTEXT[KINDS[kind]]).cast("int"),
     }
 
@@ -177,31 +191,39 @@ class PiiModel:
     least: list[float | None]
 
 
-def train(docs: DataFrame, text_col: str = "text", precision: float = 0.98, support: int = 5) -> PiiModel:
-    """Count the candidates of all documents by bins, fold and label; boost on
-    four fifths of the texts, calibrate the thresholds on the rest."""
+def train(docs: DataFrame, text_col: str = "text", precision: float = 0.98, evidence: float = 0.9, support: int = 5) -> PiiModel:
+    """Count the candidates of all documents by bins, fold and evidence; boost
+    on four fifths of the texts, calibrate the thresholds on the rest.  Equal
+    texts are in one fold.  Only levels of ``support`` candidates that hold
+    their check are judged.  Without candidates nothing is added."""
     names = list(FEATURES)
     own = docs.select(docs[text_col].alias("text")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
     rows = with_candidates(own, F.col("text")).select("fold", "base", F.explode("cands").alias("c"))
-    truth = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
+    inside = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] <= F.col("c.s")) & (F.col("c.e") <= b["e"]))
     free = ~F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
-    proven = (F.col("c.valid") == 1) & (F.col("c.context") == 1)
-    counts = rows.select("fold", (truth | proven).cast("long").alias("y"), free.cast("long").alias("free"), *[F.col(f"c.{n}").alias(n) for n in names]) \
-        .groupBy("fold", *names).agg(F.sum("y").alias("p"), F.count("*").alias("n"), F.sum(F.col("y") * F.col("free")).alias("free_p"),
-                                     F.sum("free").alias("free_n")).orderBy("fold", *names).collect()
-    first = ("fold", "p", "n", "free_p", "free_n")
-    at = len(first)
-    table = np.array([[r[c] for c in (*first, *names)] for r in counts], np.int64).reshape(-1, at + len(names))
-    learn, left_out = table[table[:, 0] == 0], table[table[:, 0] == 1]
-    if not len(learn):
+    rows = rows.select("fold", F.col("c.valid").alias("valid"), ((inside & (F.col("c.kind") != CARD)) | (F.col("c.context") == 1)).alias("known"), inside.alias("inside"),
+                       free.alias("free"), *[F.col(f"c.{n}").alias(n) for n in names])
+    holds_check, card = F.col("valid") == 1, F.col("kind") == CARD
+    apart = F.col("inside") | F.col("free")
+    sums = {"n": F.lit(True), "y": holds_check & (F.col("known") | card), "known": holds_check & apart & F.col("known"),
+            "open": holds_check & apart & ~F.col("known"), "wrong": holds_check & ~apart, "fails": ~holds_check}
+    counts = rows.groupBy("fold", *names).agg(*[F.sum(c.cast("long")).alias(f"n_{n}") for n, c in sums.items()]).orderBy("fold", *names).collect()
+    bins = np.array([[r[n] for n in names] for r in counts], np.int64).reshape(-1, len(names))
+    of = {n: np.array([r[f"n_{n}"] for r in counts], float) for n in sums}
+    left_out = np.array([r["fold"] for r in counts], bool)
+    if left_out.all():
         return PiiModel(Boosted(-10.0, []), [None] * len(KINDS))
-    model = boost(learn[:, at:], learn[:, 1].astype(float), learn[:, 2].astype(float))
+    model = boost(bins[~left_out], of["y"][~left_out], of["n"][~left_out])
     least: list[float | None] = []
     for k in range(len(KINDS)):
-        mine = left_out[(left_out[:, at] == k) & (left_out[:, 4] > 0)]
-        levels, level = np.unique(-model.margin(mine[:, at:]), return_inverse=True)
-        p, n = (np.bincount(level, mine[:, c], len(levels)) for c in (3, 4))
-        good = np.cumprod(p >= precision * n).astype(bool) & (np.cumsum(n) >= support)
+        mine = left_out & (bins[:, 0] == k)
+        levels, level = np.unique(-model.margin(bins[mine]), return_inverse=True)
+        known, undecided, wrong, fails = (np.bincount(level, of[c][mine], len(levels)) for c in ("known", "open", "wrong", "fails"))
+        n = known + undecided + wrong
+        by_chance = np.minimum(undecided, (fails + 1) * LUHN_CHANCE / (1 - LUHN_CHANCE))
+        fine = known + undecided - by_chance >= precision * n if k == CARD else (known >= precision * (known + wrong)) & (known >= evidence * n)
+        told = n >= support  # smaller levels neither set nor stop the threshold
+        good = told & np.cumprod(fine | ~told).astype(bool)
         # SQL adds the trees up in another order, which may differ in the last digit
         least.append(float(-levels[good][-1]) - 1e-6 if good.any() else None)
     return PiiModel(model, least)
@@ -223,7 +245,7 @@ def find(docs: DataFrame, text_col: str = "text", model: PiiModel | None = None)
         for k, least in enumerate(model.least):
             if least is not None:
                 bound = F.when(c["k"] == k, F.lit(least)).otherwise(bound)
-        return F.coalesce(margin >= bound, F.lit(False))
+        return F.coalesce((c["valid"] == 1) & (margin >= bound), F.lit(False))
 
     chosen = F.filter("cands", passes) if any(x is not None for x in model.least) else F.slice("cands", 1, 0)
     plain = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e")))

@@ -152,3 +152,39 @@ def test_variants_with_evidence_are_added_and_clean_numbers_are_not(spark):
             assert clear[i] == text.replace(value, f"[{k.upper()}]"), (text, spans[i])
         elif value == "clean" and not plain(text):
             assert (spans[i], clear[i]) == ("", text)
+
+
+def test_spans_that_the_base_loses_are_found_without_words_before_them(spark):
+    """No word speaks for any of these: cards are told from other numbers by how
+    often numbers of their format pass Luhn, phones by the base phones' format."""
+    rng = random.Random(6)
+    n = rng.randint
+
+    def number(lead, good=None):
+        while True:
+            d = str(lead) + "".join(str(n(0, 9)) for _ in range(15))
+            if good is None or valid("card", d) == good:
+                return d
+
+    def dotted(d):
+        return ".".join(d[i:i + 4] for i in range(0, 16, 4))
+
+    def phone():
+        return f"+1 ({n(200, 999)}) 555-{n(1000, 9999)}"
+
+    rows = [(f"la {number(4, True)} mi", None) for _ in range(300)] + [(f"la {number(9)} mi", None) for _ in range(300)]
+    rows += [(f"la {phone()} mi", None) for _ in range(300)] + [(f"la {n(1, 99)}.{n(1, 99)}.{n(100, 255)}.{n(1, 99)} mi", None) for _ in range(50)]
+    rows += [(f"la {dotted(number(9))} mi", "") for _ in range(300)]
+    for _ in range(10):
+        other, card, call = number(9, True), number(4, True), phone()
+        rows += [(f"la {other} {card} mi", card), (f"la {call} 10.20.{n(100, 255)}.40 mi", call)]
+    cards = [dotted(number(5, True)) for _ in range(300)]
+    rows += [(f"la {c} mi", c) for c in cards]
+    texts = dict(enumerate(t for t, _ in rows))
+    found = pii.digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    check(found, texts)
+    for r in found:
+        text, want = rows[r.doc_id]
+        base = plain(text)
+        added = [text[int(a):int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if (k, int(a), int(b)) not in base]
+        assert added == ([want] if want else []), (text, r.spans)
