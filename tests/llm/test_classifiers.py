@@ -93,3 +93,46 @@ def test_unlabelled_positives_do_not_count_as_clean():
 def test_keep_good_keeps_columns(odd, odd_labels):
     kept = quality.keep_good(odd, odd_labels)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+def test_the_prior_comes_from_the_whole_fold(spark, monkeypatch):
+    """However few texts the sample of the unlabelled holds, the prior behind the
+    scores is that of a plain count over all texts of the learning fold; toxic
+    texts, one in 150, are found and clean ones left alone."""
+    rng = np.random.default_rng(2)
+    clean, bad = [f"w{i}" for i in range(400)], [f"vile{i}" for i in range(8)]
+    rows, toxic = [], {}
+    for i in range(6000):
+        toxic[i] = i % 150 == 0
+        own = list(rng.choice(clean, 30)) + (list(rng.choice(bad, 5)) if toxic[i] else [])
+        rows.append((i, " ".join(rng.permutation(own))))
+    extra = [(10_000 + i, " ".join([*rng.choice(clean, 30), *rng.choice(bad, 5)])) for i in range(60)]
+    labels = [(i, int(toxic[i])) for i in range(0, 1500)] + [(i, 1) for i, _ in extra]
+    toxic |= {i: True for i, _ in extra}
+    kept, real = {}, toxicity.train
+
+    def train(*given, **options):
+        kept["model"] = real(*given, **options)
+        return kept["model"]
+
+    monkeypatch.setattr(toxicity, "train", train)
+    got = toxicity.classify(spark.createDataFrame(rows + extra, "doc_id long, text string"),
+                            spark.createDataFrame(labels, "doc_id long, toxic int"), unlabelled=400).collect()
+    import pickle
+    model, features = pickle.loads(kept["model"]), toxicity.make_features()
+    marks, odds, texts = 0, {}, 0
+    w, b = pickle.loads(model.linear)
+    for i, t in rows + extra:
+        own = features.of(t.encode())
+        odds[i] = float(w[own].sum() + b)
+        if not held(i, 3, 1):
+            marks, texts = marks + len(set(own) & set(model.marks)), texts + 1
+    prior = marks / texts / model.marks_of_toxic
+    real_share = np.mean([toxic[i] for i, _ in rows + extra if not held(i, 3, 1)])
+    assert 0 < prior < model.most and prior == pytest.approx(real_share, rel=0.2)
+    move = np.log(prior / (1 - prior)) - np.log(model.prior / (1 - model.prior))
+    for r in got:
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(odds[r.doc_id] + move, -30, 30))), rel=1e-5, abs=1e-9)
+    unseen = [r for r in got if r.held_out]
+    assert np.mean([r.predicted for r in unseen if toxic[r.doc_id]]) >= 0.9
+    assert np.mean([r.predicted for r in unseen if not toxic[r.doc_id]]) <= 0.005
